@@ -62,3 +62,43 @@ AUDIT = """au AS (
          'set_status:' || event_type AS action
   FROM events WHERE event_type = 'click'),
 us AS (SELECT c_custkey AS user_id, lower(c_name) || '@example.com' AS email FROM customer WHERE c_acctbal > 0)"""
+
+RAW = """raw AS (
+  SELECT CAST(event_id AS VARCHAR) AS "TransactionID",
+         CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' AND value > 60 THEN '1' ELSE '0' END AS "isFraud",
+         CAST(CAST(floor((epoch_us(ts) - 1704067200000000) / 60000000) AS BIGINT) AS VARCHAR) AS "TransactionDT",
+         CASE WHEN value < 0.5 THEN '' WHEN value < 0.7 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS "TransactionAmt",
+         upper(substr(event_type, 1, 1)) AS "ProductCD",
+         CASE WHEN regexp_extract(props, '"k": *([0-9]+)', 1) <> '7' THEN CAST(user_id AS VARCHAR) END AS card1,
+         'visa' AS card4, 'debit' AS card6,
+         CASE WHEN regexp_extract(props, '"k": *([0-9]+)', 1) <> '13'
+              THEN ' M' || regexp_extract(props, '"k": *([0-9]+)', 1) || ' ' END AS "P_emaildomain",
+         CAST(NULL AS VARCHAR) AS "R_emaildomain"
+  FROM events, (SELECT 1 AS r UNION ALL SELECT 2) WHERE r = 1 OR value > 300)"""
+
+IDENTITY = """ident AS (
+  SELECT CAST(event_id AS VARCHAR) AS "TransactionID", upper(event_type) || ' ' AS "DeviceType",
+         CASE WHEN regexp_extract(props, '"k": *([0-9]+)', 1) <> '5'
+              THEN 'Info-' || right(regexp_extract(props, '"k": *([0-9]+)', 1), 1) END AS "DeviceInfo"
+  FROM events WHERE event_type <> 'view'
+  UNION ALL
+  SELECT CAST(c_custkey + 999000000000 AS VARCHAR), 'MOBILE', 'Info-x' FROM customer WHERE c_acctbal < 0)"""
+
+TYPED = RAW + """,
+typed AS (
+  SELECT TRY_CAST("TransactionID" AS BIGINT) AS transaction_id, TRY_CAST("TransactionDT" AS DOUBLE) AS event_time_seconds,
+         TRY_CAST("TransactionAmt" AS DOUBLE) AS amount, card1 AS account_source,
+         lower(trim("P_emaildomain")) AS merchant_source, coalesce(TRY_CAST("isFraud" AS INTEGER), 0) AS is_fraud
+  FROM raw)"""
+
+CLEAN = TYPED + ", " + IDENTITY + """,
+good AS (SELECT DISTINCT * FROM typed WHERE transaction_id IS NOT NULL AND amount IS NOT NULL AND event_time_seconds IS NOT NULL),
+idn AS (SELECT DISTINCT TRY_CAST("TransactionID" AS BIGINT) AS transaction_id, lower(trim("DeviceType")) AS device_type,
+               lower(trim("DeviceInfo")) AS device_info FROM ident),
+cleaned AS (
+  SELECT g.transaction_id, coalesce(account_source, 'unknown') AS account_id,
+         coalesce(device_type, 'na') || ':' || coalesce(device_info, 'na') AS device_id,
+         coalesce(merchant_source, 'unknown') AS merchant_id, amount, event_time_seconds,
+         TIMESTAMP '1970-01-01' + to_seconds(event_time_seconds) AS event_ts, is_fraud,
+         device_info IS NOT NULL AS has_identity, i.transaction_id IS NOT NULL AS identity_matched
+  FROM good g LEFT JOIN idn i USING (transaction_id))"""

@@ -116,3 +116,39 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as users; some actors have no row here."""
     rows = table(spark, folder, "customer").where(F.col("c_acctbal") > 0)
     return rows.select(F.col("c_custkey").alias("user_id"), F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"))
+
+
+def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as raw text rows with dirt: unreadable and blank amounts, blank accounts, odd merchant spelling, and
+    a second copy of every large row."""
+    events = table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k")
+    amount = F.when(F.col("value") < 0.5, "").when(F.col("value") < 0.7, "n/a").otherwise(F.col("value").cast("string"))
+    fraud = F.when(F.col("event_type") == "view", None).when(
+        (F.col("event_type") == "error") & (F.col("value") > 60), "1").otherwise("0")
+    seconds = F.floor((F.unix_micros(utc("ts")) - FAST_CLOCK_START * 1_000_000) / 60_000_000).cast("long")
+    copies = F.when(F.col("value") > 300, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = events.withColumn("_copy", F.explode(copies))
+    return rows.select(
+        F.col("event_id").cast("string").alias("TransactionID"), fraud.alias("isFraud"),
+        seconds.cast("string").alias("TransactionDT"), amount.alias("TransactionAmt"),
+        F.upper(F.substring("event_type", 1, 1)).alias("ProductCD"),
+        F.when(k != "7", F.col("user_id").cast("string")).alias("card1"),
+        F.lit("visa").alias("card4"), F.lit("debit").alias("card6"),
+        F.when(k != "13", F.concat(F.lit(" M"), k, F.lit(" "))).alias("P_emaildomain"),
+        F.lit(None).cast("string").alias("R_emaildomain"))
+
+
+def raw_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """Identity rows for all events but views, and one orphan per customer in debt."""
+    events = table(spark, folder, "events").where(F.col("event_type") != "view")
+    k = F.get_json_object("props", "$.k")
+    known = events.select(
+        F.col("event_id").cast("string").alias("TransactionID"),
+        F.concat(F.upper("event_type"), F.lit(" ")).alias("DeviceType"),
+        F.when(k != "5", F.concat(F.lit("Info-"), F.right(k, F.lit(1)))).alias("DeviceInfo"),
+        k.alias("id_01"), F.lit(None).cast("string").alias("id_31"))
+    orphans = table(spark, folder, "customer").where(F.col("c_acctbal") < 0).select(
+        (F.col("c_custkey") + 999_000_000_000).cast("string").alias("TransactionID"), F.lit("MOBILE").alias("DeviceType"),
+        F.lit("Info-x").alias("DeviceInfo"), F.lit("0").alias("id_01"), F.lit(None).cast("string").alias("id_31"))
+    return known.unionByName(orphans)
