@@ -159,7 +159,7 @@ def set3(spark, folder):
 @query("jon11_case_files", f"""WITH {ALERTS}, {NOTES}, {LATEST_FEEDBACK}, n AS (SELECT alert_id, count(*) AS c,
 string_agg(body, '; ' ORDER BY created_at, id) AS bodies FROM nt GROUP BY 1)
 SELECT al.id, risk_label, status, label AS disposition, coalesce(c, 0) AS note_count, bodies AS note_text,
-round(tx_count_5m * 0.05, 4) AS first_attribution, tx_count_24h::DOUBLE AS third_feature
+round(tx_count_5m * 0.05::DOUBLE, 4) AS first_attribution, tx_count_24h::DOUBLE AS third_feature
 FROM al LEFT JOIN lf ON lf.alert_id = al.id LEFT JOIN n ON n.alert_id = al.id""")
 def jon11(spark, folder):
     files = cases.case_files(tables.alerts(spark, folder).withColumn("avg_amount_1h", F.col("sum_amount_1h") / F.col("tx_count_1h")),

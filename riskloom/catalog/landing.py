@@ -228,7 +228,7 @@ def dq1(spark, folder):
     return _rates(spark, folder)
 
 
-@query("dq2_null_breaches", f"""{NULLS} SELECT column_name, null_rate, CASE column_name WHEN 'account_source' THEN 0.02 ELSE 0.0 END AS bound
+@query("dq2_null_breaches", f"""{NULLS} SELECT column_name, null_rate, CASE column_name WHEN 'account_source' THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS bound
 FROM rates WHERE column_name IN ('transaction_id', 'amount', 'event_time_seconds', 'account_source')
 AND null_rate > CASE column_name WHEN 'account_source' THEN 0.02 ELSE 0.0 END""")
 def dq2(spark, folder):

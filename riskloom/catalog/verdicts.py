@@ -19,7 +19,7 @@ RULE_SQL = {
     "Device shift + high amount": "device_shift = 1 AND amount > 1000", "Rapid hourly spending": "tx_count_1h > 20",
     "Burst over two": "tx_count_5m > 2", "Amount over 100": "amount > 100", "Shift over 50": "device_shift = 1 AND amount > 50",
 }
-NAMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in RULE_SQL.items()) + "], x -> x IS NOT NULL)"
+NAMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in RULE_SQL.items()) + "], lambda x: x IS NOT NULL)"
 
 
 # ---------------------------------------------------------------- projections
@@ -337,7 +337,7 @@ def sca14(spark, folder):
     return tables.plain_alerts(spark, folder).select("id", scalar.percent_text(F.col("risk_score")).alias("text"))
 
 
-@query("sca15_array_predicates", f"""WITH {ALERTS} SELECT id, len(list_filter([tx_count_5m, tx_count_1h, tx_count_24h], x -> x > 2)) AS above_two,
+@query("sca15_array_predicates", f"""WITH {ALERTS} SELECT id, len(list_filter([tx_count_5m, tx_count_1h, tx_count_24h], lambda x: x > 2)) AS above_two,
 tx_count_5m > 1 AND tx_count_1h > 1 AND tx_count_24h > 1 AS all_repeat, tx_count_24h > 10 OR tx_count_1h > 10 OR tx_count_5m > 10 AS any_ten
 FROM al""")
 def sca15(spark, folder):

@@ -139,9 +139,9 @@ def recent_feedback(feedback: DataFrame, k: int = 12) -> DataFrame:
 
 def latency_histogram(scored: DataFrame, latency: str = "latency_s", bounds=LATENCY_BUCKETS) -> DataFrame:
     """Cumulative counts per upper bound and per verdict, with an unbounded last bucket."""
-    wide = scored.groupBy("risk_label").agg(
-        *[F.count_if(F.col(latency) <= b).alias(str(b)) for b in bounds], F.count(F.lit(1)).alias("+Inf"))
-    return wide.unpivot(["risk_label"], [*[str(b) for b in bounds], "+Inf"], "le", "count")
+    counts = [F.struct(F.lit(str(b)).alias("le"), F.count_if(F.col(latency) <= b).alias("count")) for b in bounds]
+    counts.append(F.struct(F.lit("+Inf").alias("le"), F.count(F.lit(1)).alias("count")))
+    return scored.groupBy("risk_label").agg(F.array(*counts).alias("buckets")).select("risk_label", F.inline("buckets"))
 
 
 def key_skew(tx: DataFrame, key: str = "account_id", window: int = SECONDS_30D, hot_rows: int | None = HOT_ROWS) -> DataFrame:

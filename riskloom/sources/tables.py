@@ -152,3 +152,33 @@ def raw_identity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("c_custkey") + 999_000_000_000).cast("string").alias("TransactionID"), F.lit("MOBILE").alias("DeviceType"),
         F.lit("Info-x").alias("DeviceInfo"), F.lit("0").alias("id_01"), F.lit(None).cast("string").alias("id_31"))
     return known.unionByName(orphans)
+
+
+def purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as card transactions with account, device, card and address keys."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    keys = {
+        "Device": F.concat(F.lit("dev_"), day("o_orderdate"), F.lit("|"), F.col("o_orderpriority")),
+        "Card": F.concat(F.lit("card_"), F.col("l_partkey").cast("string"), F.lit("|"), F.col("l_quantity").cast("int").cast("string")),
+        "Address": F.concat(F.lit("addr_"), F.col("l_suppkey").cast("string"), F.lit("|"), day("l_shipdate")),
+    }
+    return lines.select(
+        F.col("o_custkey").cast("string").alias("account"), *[c.alias(k) for k, c in keys.items()],
+        *[c.alias(f"{k}_label") for k, c in keys.items()], F.col("l_extendedprice").alias("amount"),
+        (F.col("o_custkey") * 7919 % 997 / 997).alias("risk"), (F.col("l_returnflag") == "R").cast("int").alias("is_fraud"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).alias("day"))
+
+
+def raw_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with the raw card, address and device columns, some of them blank or unknown."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
+                    F.col("l_shipdate").cast("string")).alias("row"),
+        F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.col("o_custkey").cast("string")).alias("card1"),
+        F.col("l_partkey").alias("card2"), F.lit(None).cast("string").alias("card3"), F.lit("visa").alias("card4"),
+        F.col("l_quantity").cast("int").alias("card5"), F.lit("debit").alias("card6"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("addr1"), F.col("l_linenumber").alias("addr2"),
+        F.lower("l_linestatus").alias("DeviceType"),
+        F.when(F.col("l_returnflag") == "A", "unknown").otherwise(F.date_format("l_shipdate", "yyyy-MM")).alias("DeviceInfo"))
