@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "landing", "verdicts", "analytics", "rings", "models")
+MODULES = ("windows", "landing", "verdicts", "analytics", "rings", "models", "streams")
 
 
 def load():
