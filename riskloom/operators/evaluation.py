@@ -27,7 +27,7 @@ def roc(scored: DataFrame) -> DataFrame:
     points = running(slice_ordered(counts, [], ["_order"]), [], ["_order"], {
         "tp": ("sum", F.col("positives")), "fp": ("sum", F.col("negatives")), "point": ("count", F.lit(1))}).drop(SLICE, "_order")
     totals = counts.agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n")).first()
-    p, n = F.lit(totals.p or 0), F.lit(totals.n or 0)
+    p, n = F.lit(float(totals.p or 0)), F.lit(float(totals.n or 0))  # their product outgrows a long
     return points.withColumns({"fpr": safe_div(F.col("fp"), n), "tpr": safe_div(F.col("tp"), p), "_p": p, "_n": n})
 
 
