@@ -154,10 +154,16 @@ def raw_identity(spark: SparkSession, folder: str) -> DataFrame:
     return known.unionByName(orphans)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan of very few files whose rows are expensive to expand; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as card transactions with account, device, card and address keys."""
-    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    lines = spread(table(spark, folder, "lineitem")).join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = lambda c: F.to_date(c).cast("string")
     keys = {
         "Device": F.concat(F.lit("dev_"), day("o_orderdate"), F.lit("|"), F.col("o_orderpriority")),
         "Card": F.concat(F.lit("card_"), F.col("l_partkey").cast("string"), F.lit("|"), F.col("l_quantity").cast("int").cast("string")),

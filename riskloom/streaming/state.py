@@ -22,6 +22,7 @@ FEATURES = ("entity_id string, transaction_id bigint, event_ts timestamp, amount
             "unique_merchants_1h int, device_shift int, amount_zscore double")
 STATE = ("n bigint, mean double, m2 double, last double, b5 bigint, b1 bigint, b24 bigint, s1 double, device string, device_at double, "
          "shift_at double, seconds array<double>, counts array<bigint>, amounts array<double>, merchants array<string>, seen array<double>")
+COMPUTED = [c.split()[0] for c in FEATURES.split(", ")][6:]
 BURSTS = (SECONDS_5M, SECONDS_1H, SECONDS_24H)
 
 
@@ -74,24 +75,26 @@ class Entity:
             self.recent.append((t, 1, amount))
 
 
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one entity in one trigger, in event order. A trigger admits a bounded number of rows."""
+    parts = list(batches)
+    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+    return rows if len(rows) == 1 else rows.sort_values(["event_time_seconds", "transaction_id"])
+
+
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
     entity = Entity(state.get if state.exists else None)
-    # a trigger admits a bounded number of rows, hence also of rows per entity
-    rows = pd.concat(list(batches)).sort_values(["event_time_seconds", "transaction_id"])
-    features = [entity.add(t, a, d, m) for t, a, d, m in zip(
-        rows["event_time_seconds"], rows["amount"], rows["device_id"], rows["merchant_id"])]
+    rows = _ordered(batches)
+    columns = {c: rows[c].tolist() for c in ("event_time_seconds", "amount", "device_id", "merchant_id")}
+    features = [entity.add(*event) for event in zip(*columns.values())]
     state.update(entity.stored())
     expires = int((rows["event_ts"].max().timestamp() + SECONDS_30D) * 1000)
     state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-    names = [c.split()[0] for c in FEATURES.split(", ")][6:]
-    out = pd.DataFrame(features, columns=names)
-    for column in ("transaction_id", "event_ts", "amount", "device_id", "merchant_id"):
-        out[column] = rows[column].to_numpy()
-    out["entity_id"] = key[0]
-    yield out[[c.split()[0] for c in FEATURES.split(", ")]]
+    passed = {c: rows[c].to_numpy() for c in ("transaction_id", "event_ts", "amount", "device_id", "merchant_id")}
+    yield pd.DataFrame({"entity_id": key[0], **passed, **dict(zip(COMPUTED, zip(*features)))})
 
 
 def live_features(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -108,7 +111,7 @@ WINDOWED = "entity_id string, transaction_id bigint, window_start double, window
 def _first_event_window(width: float, limit: int):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["event_time_seconds", "transaction_id"])
+        rows = _ordered(batches)
         out = []
         for identifier, t in zip(rows["transaction_id"], rows["event_time_seconds"]):
             if start is None or t - start >= width:
