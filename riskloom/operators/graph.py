@@ -226,19 +226,25 @@ def communities(link_table: DataFrame, component_table: DataFrame, max_local_lin
     return out.unionByName(_distributed(large, 2 * total, rounds)) if large.take(1) else out
 
 
-def _distributed(edges: DataFrame, total: float, rounds: int) -> DataFrame:
-    """Louvain rounds as joins and aggregations. Half of the nodes may move per round, which prevents swaps; merged
-    communities are the nodes of the next level."""
+def _distributed(edges: DataFrame, total: float, rounds: int, levels: int = 10) -> DataFrame:
+    """Louvain rounds as joins and aggregations; merged communities are the nodes of the next level.
+
+    Nodes move at the same time, so a round lets them move only to smaller community names and the next only to larger
+    ones: no two nodes can swap. A level ends when neither direction moves a node."""
     level = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
-    member = materialise(level.select(F.col("u").alias("account"), F.col("u").alias("node")).distinct())
-    while True:
-        degree = materialise(level.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
-        state = degree.select("node", F.col("node").alias("community"))
+    member = level.select(F.col("u").alias("account"), F.col("u").alias("node")).distinct()
+    for _ in range(levels):
+        degree = level.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+        state = materialise(degree.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("moved")))
+        quiet = 0
         for number in range(rounds):
-            state = materialise(_one_round(level, degree, state, total, number))
+            state = materialise(_one_round(level, state, total, number))
+            quiet = 0 if state.where("moved").take(1) else quiet + 1
+            if quiet == 2:
+                break
         member = materialise(member.join(state, "node").select("account", F.col("community").alias("node")))
-        if state.where("node <> community").limit(1).count() == 0:
+        if not state.where("node <> community").take(1):
             break
         of = lambda name: state.select(F.col("node").alias(name), F.col("community").alias(f"c_{name}"))
         level = materialise(level.join(of("u"), "u").join(of("v"), "v").groupBy(
@@ -247,21 +253,22 @@ def _distributed(edges: DataFrame, total: float, rounds: int) -> DataFrame:
     return member.join(names, "node").select("account", "community")
 
 
-def _one_round(level: DataFrame, degree: DataFrame, state: DataFrame, total: float, number: int) -> DataFrame:
-    volume = state.join(degree, "node").groupBy("community").agg(F.sum("k").alias("volume"))
-    reach = level.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy(
-        F.col("u").alias("node"), "community").agg(F.sum("w").alias("inside"))
+def _one_round(level: DataFrame, state: DataFrame, total: float, number: int) -> DataFrame:
+    """Each movable node goes to the neighbouring community with the largest gain, or stays."""
+    volume = state.groupBy("community").agg(F.sum("k").alias("volume"))
+    reach = level.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").select(
+        F.col("u").alias("node"), "community", F.col("w").alias("inside"))
     home = state.select("node", "community", F.lit(0.0).alias("inside"))
     options = reach.union(home).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
-    options = options.join(volume, "community").join(degree, "node").join(
-        state.withColumnRenamed("community", "home"), "node")
+    options = options.join(volume, "community").join(state.select("node", "k", F.col("community").alias("home")), "node")
     stays = F.col("community") == F.col("home")
     others = F.col("volume") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
     gain = F.round(F.col("inside") - others * F.col("k") / total, 9)
-    movable = F.pmod(F.xxhash64("node"), F.lit(2)) == number % 2
-    best = options.where(stays | movable).groupBy("node").agg(
-        F.min_by("community", F.struct((-gain).alias("g"), (~stays).cast("int").alias("s"), F.col("community"))).alias("community"))
-    return best
+    movable = F.col("community") < F.col("home") if number % 2 == 0 else F.col("community") > F.col("home")
+    best = F.min_by("community", F.struct((-gain).alias("g"), (~stays).cast("int").alias("s"), F.col("community")))
+    chosen = options.where(stays | movable).groupBy("node").agg(
+        best.alias("community"), F.first("k").alias("k"), F.first("home").alias("home"))
+    return chosen.select("node", "k", "community", (F.col("community") != F.col("home")).alias("moved"))
 
 
 # ---------------------------------------------------------------- rings
