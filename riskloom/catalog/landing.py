@@ -94,7 +94,7 @@ sum(is_fraud)::BIGINT AS fraud_count FROM tx GROUP BY 1""")
 def src9(spark, folder):
     tx = tables.transactions(spark, folder).withColumn("date_key", star.date_key())
     path = files.scratch(spark, "fact")
-    files.write_table(tx.repartition("date_key", "account_id"), path, partition_by=["date_key"])
+    files.write_table(tx.repartition("date_key", F.pmod(F.xxhash64("transaction_id"), F.lit(8))), path, partition_by=["date_key"])
     return files.read_table(spark, path).groupBy("date_key").agg(
         F.count(F.lit(1)).alias("tx_count"), F.sum("is_fraud").alias("fraud_count"))
 

@@ -335,7 +335,9 @@ def ring_documents(ring_table: DataFrame, members: DataFrame, ring_edge_table: D
     parts = _in_parts(members.join(kept, "ring_id", "left_semi"), F.col("account"), "accounts", max_items)
     for rows, item, name in ((ring_edge_table, edge, "edges"), (ring_identifier_table, identifier, "identifiers")):
         parts = parts.join(_in_parts(rows.join(kept, "ring_id", "left_semi"), item, name, max_items), ["ring_id", "part"], "full")
-    return parts.join(ring_table, "ring_id").join(shared_kinds(ring_identifier_table), "ring_id", "left")
+    types = dict(parts.dtypes)
+    filled = {c: F.coalesce(F.col(c), F.array().cast(types[c])) for c in ("accounts", "edges", "identifiers")}
+    return parts.withColumns(filled).join(ring_table, "ring_id").join(shared_kinds(ring_identifier_table), "ring_id", "left")
 
 
 # ---------------------------------------------------------------- signature rings

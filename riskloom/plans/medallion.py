@@ -9,6 +9,7 @@ import argparse
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.contracts import RAW_IDENTITY, RAW_TRANSACTION, QualityBounds
 from riskloom.operators import cleaning, features, quality, star
@@ -38,12 +39,13 @@ def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds
     return report
 
 
-def gold(spark: SparkSession, root: str) -> None:
+def gold(spark: SparkSession, root: str, files_per_day: int = 8) -> None:
     """The dimensions need no features, so they read the clean table and not the windowed plan."""
     tx = files.read_table(spark, f"{root}/silver/transactions_cleaned")
     fact = star.fact(features.behaviour(tx))
-    # rows of a day go to few files: the shuffle key is the day and a spread over its accounts
-    files.write_table(fact.repartition("date_key", "account_id"), f"{root}/gold/fact_transactions", partition_by=["date_key"])
+    # a day goes to a few files of equal size, whatever its accounts look like
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_day))
+    files.write_table(fact.repartition("date_key", part), f"{root}/gold/fact_transactions", partition_by=["date_key"])
     for name, build in (("dim_account", star.dim_account), ("dim_device", star.dim_device), ("dim_date", star.dim_date)):
         files.write_table(build(tx), f"{root}/gold/{name}")
 
