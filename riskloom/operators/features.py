@@ -257,14 +257,22 @@ def amount_zscore(tx: DataFrame, mode: str = "expanding", window: int = SECONDS_
 
 
 def _sliced_rolling_zscore(tx: DataFrame, window: int) -> DataFrame:
-    """Rolling moments from exact decimal sums of the amount and of its square, both around the overall mean."""
-    centre = float(tx.agg(F.avg("amount")).first()[0] or 0.0)
+    """Rolling moments from decimal sums of the amount and of its square, both around the overall mean.
+
+    The squared deviations are subtracted as decimals, so that equal amounts give exactly 0; sums too large for that
+    fall back to doubles.
+    """
+    centre = round(float(tx.agg(F.avg("amount")).first()[0] or 0.0), 2)
     out = tx.withColumns({"_amount": F.col("amount"), "amount": F.col("amount") - centre})
     out = _sliced_windows(out, {"_s1": ("sum", window), "_n": ("count", window)}, "closed")
     out = out.withColumn("amount", F.col("amount") * F.col("amount"))
     out = _sliced_windows(out, {"_s2": ("sum", window)}, "closed").withColumn("amount", F.col("_amount"))
     mean = F.col("_s1") / F.col("_n") + centre
-    var = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)
+    s1, s2 = F.col("_s1").try_cast("decimal(18,4)"), F.col("_s2").try_cast("decimal(26,8)")
+    exact = (F.col("_n").try_cast("decimal(10,0)") * s2 - s1 * s1).cast("double")
+    scatter = F.coalesce(exact, F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1"))
+    pairs = F.col("_n").cast("double") * (F.col("_n") - 1)
+    var = scatter / F.nullif(pairs, F.lit(0.0))
     std = F.when(F.col("_n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
     return out.withColumn("amount_zscore", F.coalesce(_zscore(mean, std), F.lit(0.0))).drop("_amount", "_s1", "_s2", "_n")
 
