@@ -50,9 +50,9 @@ class Automaton:
         self.parent, self.removed, self.since = [0], [-1], [0]  # by state
         self.known: dict[int, int] = {}
         for step, (a, b, ab) in enumerate(merges, 1):
-            at = self.target[a]
-            if ab in self.born or not self.allows(at, b):
+            if ab in self.born or a not in self.born or b not in self.born or not self.allows(self.target[a], b):
                 continue  # the pair never meets, or the token has another derivation already
+            at = self.target[a]
             self.left[ab], self.born[ab], self.target[ab] = a, step, self.target[b]
             self.token[labels[ab]] = ab
             self.parent.append(at)

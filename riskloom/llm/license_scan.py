@@ -3,7 +3,7 @@
 Texts are words of ASCII letters and digits in lower case. Hashes of ``GRAM`` words are winnowed: of each ``WINNOW`` hashes in a
 row the smallest is a fingerprint, so any passage of ``GRAM + WINNOW - 1`` words that a document shares with a template leaves
 a shared fingerprint. An inverted index from fingerprint to (template, position) gives candidates with the diagonal on which
-they lie. Along each group of near diagonals the template is aligned with the document (matches 2, others -1, within ``BAND``
+they lie. Along each diagonal the template is aligned with the document (matches 2, others -1, within ``BAND``
 words of the diagonal), which gives matched words, coverage of the template and the span in the document's words.
 
 Templates are a few short texts that every task holds; their number does not grow with the corpus. The texts below are notices
@@ -89,13 +89,13 @@ class Index:
         self.known = np.array(sorted(self.posting), np.uint64)
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int] | None:
-    """Best local alignment within the band: (matched words, first word, word after the last)."""
+def align(template: list[bytes], words: list[bytes], diagonal: int, first: int = 0) -> tuple[int, int, int] | None:
+    """Best local alignment within the band, from word ``first`` on: (matched words, first word, word after the last)."""
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}
     for i, want in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)):
+        for j in range(max(first, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)):
             s, m, a = above.get(j - 1, (0, 0, j))
             same = words[j] == want
             cell = (s + 2, m + 1, a) if same else (s - 1, m, a)
@@ -120,15 +120,13 @@ def scan_text(text: str | None, index: Index, least: float) -> list[tuple[str, i
             diagonals.setdefault(t, []).append(p - q)
     out = []
     for t, found in diagonals.items():
-        last = None
-        for d in sorted(found):
-            if last is not None and d - last <= BAND:
-                continue
-            last = d
-            hit = align(index.words[t], words, d)
+        end = 0  # spans of one template do not overlap
+        for d in sorted(set(found)):
+            hit = align(index.words[t], words, d, end)
             if hit and hit[0] >= least * len(index.words[t]):
+                end = hit[2]
                 out.append((index.names[t], hit[0], hit[0] / len(index.words[t]), hit[1], hit[2]))
-    return sorted(set(out), key=lambda x: (x[3], x[0], x[4]))
+    return sorted(out, key=lambda x: (x[3], x[0], x[4]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

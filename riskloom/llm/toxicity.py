@@ -2,7 +2,7 @@
 
 A document is as toxic as its worst sentence. A sentence is the set of its words and of the beginnings of longer words (so that
 families of words are learned), and logistic regression weighs them. Labels are given for documents, so each round of training
-takes the sentences of a toxic document that the last round found worst as examples, and all sentences of a clean one. In every labelled sentence that names an identity, the term is swapped for the others of its group, and
+takes the sentences of a toxic document that the last round found worst as examples, and all sentences of a clean one. In every labelled sentence that names an identity, the term is swapped for the others of its group and for a neutral word, and
 the squared change of the score is a penalty: a neutral mention then cannot raise the score. An L1 penalty of ``evidence``
 quarter documents removes words that a few labels put there by chance, and only features at least twice as frequent in toxic documents as in all
 are weighed at all (identity terms always are).
@@ -34,6 +34,7 @@ IDENTITIES = (("women", "men"), ("woman", "man"), ("girls", "boys"), ("christian
               ("gay", "straight", "lesbian", "bisexual", "transgender"), ("immigrants", "refugees", "natives"), ("disabled", "deaf", "blind"))
 
 
+NEUTRAL = "people"
 #: Lengths of beginnings that are features of longer words; the mark tells them from words.
 STEMS, MARK = range(3, 9), "\u2026"
 
@@ -66,8 +67,8 @@ def logistic(z: float) -> float:
 
 
 def swaps(words: frozenset[str], groups=IDENTITIES) -> list[frozenset[str]]:
-    """The sentence with each identity term replaced by the others of its group."""
-    return [words - {term} | {other} for group in groups for term in group if term in words for other in group if other != term]
+    """The sentence with each identity term replaced by the others of its group, and by a neutral word."""
+    return [words - {term} | {other} for group in groups for term in group if term in words for other in (*group, NEUTRAL) if other != term]
 
 
 def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0, evidence: float = 2.0, rounds: int = 4, steps: int = 150) -> Classifier | None:
@@ -113,6 +114,13 @@ def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0,
     def sums(x):
         return np.bincount(col, x[row], len(w))
 
+    def pull(x):
+        """Gradient of the penalty on score changes."""
+        if not len(origin):
+            return 0.0
+        change = 2 * penalty / len(origin) * (margins(x)[origin] - np.bincount(pair_row, x[pair_col], len(origin)))
+        return sums(np.bincount(origin, change, m)) - np.bincount(pair_col, change[pair_row], len(w))
+
     for round_ in range(rounds if len(w) else 0):
         p = 1 / (1 + np.exp(-np.clip(margins(w) + b, -500, 500)))
         top = np.zeros(n)
@@ -124,20 +132,16 @@ def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0,
         weight /= n
         y = toxic.astype(float)
         v, steep = np.ones(len(w)), 0.0
-        for _ in range(15):
-            v = sums(weight * margins(v))
+        for _ in range(20):  # the steepest direction of the loss
+            v = 0.25 * sums(weight * margins(v)) + pull(v)
             steep = float(np.linalg.norm(v))
             v = v / steep if steep else v
-        pull = 4 * penalty * len(STEMS) if len(origin) else 0.0
-        rate = 1 / (0.3 * steep + 0.25 * weight.sum() + pull + 1e-9)
+        rate = 1 / (1.2 * steep + 0.25 * weight.sum() + 1e-9)
         near_w, near_b, t = w.copy(), b, 1.0
         for _ in range(steps):
             z = margins(near_w)
             g = weight * (1 / (1 + np.exp(-np.clip(z + near_b, -500, 500))) - y)
-            grad = sums(g)
-            if len(origin):
-                change = 2 * penalty / len(origin) * (z[origin] - np.bincount(pair_row, near_w[pair_col], len(origin)))
-                grad += sums(np.bincount(origin, change, m)) - np.bincount(pair_col, change[pair_row], len(w))
+            grad = sums(g) + pull(near_w)
             new = near_w - rate * grad
             new = np.sign(new) * np.maximum(np.abs(new) - rate * evidence / (4 * n), 0)
             new_b, t2 = near_b - rate * g.sum(), (1 + math.sqrt(1 + 4 * t * t)) / 2
