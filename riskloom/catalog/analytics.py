@@ -156,8 +156,9 @@ def set3(spark, folder):
     return _timeline(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jon11_case_files", f"""WITH {ALERTS}, {NOTES}, {LATEST_FEEDBACK}, n AS (SELECT alert_id, count(*) AS c,
-string_agg(body, '; ' ORDER BY created_at, id) AS bodies FROM nt GROUP BY 1)
+@query("jon11_case_files", f"""WITH {ALERTS}, {NOTES}, {LATEST_FEEDBACK}, pn AS (SELECT *, (row_number() OVER (PARTITION BY alert_id
+ORDER BY created_at, id) - 1) // 100 AS page, count(*) OVER (PARTITION BY alert_id) AS c FROM nt),
+n AS (SELECT alert_id, page, any_value(c) AS c, string_agg(body, '; ' ORDER BY created_at, id) AS bodies FROM pn GROUP BY 1, 2)
 SELECT al.id, risk_label, status, label AS disposition, coalesce(c, 0) AS note_count, bodies AS note_text,
 round(tx_count_5m * 0.05::DOUBLE, 4) AS first_attribution, tx_count_24h::DOUBLE AS third_feature
 FROM al LEFT JOIN lf ON lf.alert_id = al.id LEFT JOIN n ON n.alert_id = al.id""")

@@ -31,7 +31,7 @@ def _batch(spark, folder, batch_id="b1"):
 @query("src1_raw_csv_scan", f"""WITH {RAW} SELECT "TransactionID", "isFraud", "TransactionDT",
 nullif("TransactionAmt", '') AS "TransactionAmt", card1, "P_emaildomain" FROM raw""")
 def src1(spark, folder):
-    raw = files.read_raw(spark, _landed(spark, folder), RAW_TRANSACTION)
+    raw = files.read_raw(spark, _landed(spark, folder))
     return raw.select("TransactionID", "isFraud", "TransactionDT", "TransactionAmt", "card1", "P_emaildomain")
 
 
@@ -45,7 +45,7 @@ def src2(spark, folder):
 
 @query("src3_head_checksums")
 def src3(spark, folder):
-    return files.head_checksums(spark, f"{folder}/*.parquet")
+    return files.head_checksums(spark, f"{folder}/*.parquet").drop("_source_path")
 
 
 @query("src4_idempotent_append", f"""WITH {RAW} SELECT b AS _batch_id, count(*) AS batch_rows,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.catalog.analytics import CODES, _mod_sql, uuid5_sql
 from riskloom.catalog.registry import query
 from riskloom.catalog.sqlparts import ALERTS, FEEDBACK, PLAIN_ALERTS, TX
 from riskloom.catalog.verdicts import NAMES_SQL, RULES, WATCH, WATCHED, watchlist
@@ -265,14 +266,21 @@ def str13(spark, folder):
 
 # ---------------------------------------------------------------- the analytics job
 
-@query("job4_analytics_pack", f"""WITH {ALERTS}, {FEEDBACK} SELECT 'series' AS part, count(DISTINCT created_at::DATE) AS n FROM al
-WHERE created_at >= (SELECT max(created_at) FROM al) - INTERVAL 14 DAY UNION ALL SELECT 'countries', 10 UNION ALL SELECT 'top_entities', 8
-UNION ALL SELECT 'profiles', count(DISTINCT entity_id) FROM al UNION ALL SELECT 'drift', 3 UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'impact', 1
-UNION ALL SELECT 'monitor', 1 UNION ALL SELECT 'feedback', 1""")
+@query("job4_analytics_pack", f"""WITH {ALERTS}, {FEEDBACK}, recent AS (SELECT * FROM al WHERE created_at >= (SELECT max(created_at) FROM al) - INTERVAL 30 DAY),
+placed AS (SELECT {CODES}[{_mod_sql('u', 10)} + 1] AS code FROM (SELECT {uuid5_sql('entity_id')} AS u FROM recent)),
+flagged AS (SELECT count(*) AS flags FROM al WHERE risk_label <> 'SAFE' GROUP BY entity_id ORDER BY flags DESC LIMIT 8),
+people AS (SELECT least(count(*), 500) AS n FROM al GROUP BY entity_id)
+SELECT 'series' AS part, count(DISTINCT created_at::DATE) AS n, 0::BIGINT AS total FROM al WHERE created_at >= (SELECT max(created_at) FROM al) - INTERVAL 14 DAY
+UNION ALL SELECT 'countries', count(DISTINCT code), count(*) FROM placed UNION ALL SELECT 'top_entities', count(*), sum(flags)::BIGINT FROM flagged
+UNION ALL SELECT 'profiles', count(*), sum(n)::BIGINT FROM people UNION ALL SELECT 'drift', 3, 0 UNION ALL SELECT 'summary', 1, 0 UNION ALL SELECT 'impact', 1, count(*) FILTER
+(WHERE risk_label = 'FRAUD') FROM recent UNION ALL SELECT 'monitor', 1, count(*) FROM al WHERE created_at >= (SELECT max(created_at) FROM al) - INTERVAL 24 HOUR
+UNION ALL SELECT 'feedback', 1, count(*) FROM fb""")
 def job4(spark, folder):
-    parts = analytics.pack(tables.alerts(spark, folder), tables.feedback(spark, folder))
+    """Rows of each part, and a total of what it counts where it counts alerts or answers."""
+    counted = {"countries": "total", "top_entities": "flags", "profiles": "transactions", "impact": "fraud_count", "monitor": "baseline_total", "feedback": "total"}
     out = None
-    for name, part in parts.items():
-        row = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    for name, part in analytics.pack(tables.alerts(spark, folder), tables.feedback(spark, folder)).items():
+        total = F.coalesce(F.sum(counted[name]), F.lit(0)).cast("long") if name in counted else F.lit(0).cast("long")
+        row = part.agg(F.count(F.lit(1)).alias("n"), total.alias("total")).select(F.lit(name).alias("part"), "n", "total")
         out = row if out is None else out.unionByName(row)
     return out

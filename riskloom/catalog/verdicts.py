@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog.registry import query
 from riskloom.catalog.sqlparts import ALERTS, LATEST_FEEDBACK, PLAIN_ALERTS, TX
-from riskloom.contracts import SCALED_RULES, SEED_RULES
+from riskloom.contracts import TEST_RULES
 from riskloom.functions import scalar
 from riskloom.operators import cases, decisions, insights
 from riskloom.sources import tables
 
-RULES = (*SEED_RULES, *SCALED_RULES)
+RULES = TEST_RULES
 RULE_SQL = {
-    "High-velocity burst": "tx_count_5m > 8", "Large single transfer": "amount > 5000",
-    "Device shift + high amount": "device_shift = 1 AND amount > 1000", "Rapid hourly spending": "tx_count_1h > 20",
     "Burst over two": "tx_count_5m > 2", "Amount over 100": "amount > 100", "Shift over 50": "device_shift = 1 AND amount > 50",
+    "Over a million a day": "amount > 1000000 AND tx_count_24h > 1",
 }
 NAMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in RULE_SQL.items()) + "], lambda x: x IS NOT NULL)"
 
@@ -213,7 +212,7 @@ def agg16(spark, folder):
 @query("agg16_backtest_samples", f"""WITH {ALERTS} SELECT id AS transaction_id, entity_id, risk_label, round(risk_score, 3) AS risk_score
 FROM al WHERE device_shift = 1 AND sum_amount_1h > 50 ORDER BY created_at DESC, id LIMIT 8""")
 def agg16_samples(spark, folder):
-    return decisions.backtest_samples(tables.alerts(spark, folder), RULES[6])
+    return decisions.backtest_samples(tables.alerts(spark, folder), RULES[2])
 
 
 # ---------------------------------------------------------------- scalar functions

@@ -52,16 +52,16 @@ def note_pages(notes: DataFrame, size: int = 100, hot_rows: int | None = 20_000)
 
 
 def case_files(alerts: DataFrame, notes: DataFrame, feedback: DataFrame, attributions: Column) -> DataFrame:
-    """One row per alert: latest disposition, features, attributions, the number of notes and their first page.
-
-    Further pages are in :func:`note_pages`.
+    """One row per alert and page of its notes (one row where there are none): latest disposition, features, attributions, the
+    number of notes, ``page`` of ``pages``. No note is left out, and no array grows with the busiest alert.
     """
     pages = note_pages(notes)
     counts = pages.groupBy("alert_id").agg(
         F.sum(F.size("notes")).alias("note_count"), F.max("page").alias("last_page"))
-    first = pages.where(F.col("page") == 0).join(counts, "alert_id").drop("page").withColumnRenamed("alert_id", "id")
+    paged = pages.join(counts, "alert_id").withColumnRenamed("alert_id", "id")
     features = F.array(*[F.col(c).cast("double") for c in ("tx_count_5m", "tx_count_1h", "tx_count_24h", "sum_amount_1h", "device_shift")])
-    out = with_feedback(alerts, feedback).join(first, "id", "left")
+    out = with_feedback(alerts, feedback).join(paged, "id", "left")
     return out.select(
         "id", "transaction_id", "entity_id", "risk_score", "risk_label", "status", F.col("disposition"),
-        F.coalesce("note_count", F.lit(0)).alias("note_count"), "notes", attributions.alias("attributions"), features.alias("features"))
+        F.coalesce("note_count", F.lit(0)).alias("note_count"), F.coalesce("page", F.lit(0)).alias("page"),
+        (F.coalesce("last_page", F.lit(0)) + 1).alias("pages"), "notes", attributions.alias("attributions"), features.alias("features"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contracts import SECONDS_1H, SECONDS_24H, SECONDS_30D, SECONDS_5M, SHIFT_MEMORY, SHIFT_STICKY
-from riskloom.operators.ordered import HOT_ROWS, SLICE, by_heat, running, slice_ordered
+from riskloom.operators.ordered import HOT_ROWS, SLICE, by_heat, null_safe_left, running, slice_ordered
 
 KEY, TIME, ID = "account_id", "event_time_seconds", "transaction_id"
 ORDER = [TIME, ID]
@@ -119,7 +119,7 @@ def _sliced_windows(tx: DataFrame, measures: dict[str, tuple[str, int]], boundar
                      {n: ("sum", F.col(n)) for n in measures}).where(F.col("phase") == 1)
     typed = [F.col(n).cast("double" if kind == "sum" else "long").alias(n) for n, (kind, _) in measures.items()]
     totals = totals.select(KEY, F.col("at").alias(TIME), *typed)
-    out = tx.join(totals, [KEY, TIME])
+    out = null_safe_left(tx, totals, [KEY, TIME])
     if boundary == "left_open" and exclude_later_ties:
         out = _drop_later_ties(out, measures)
     return out.drop("_money")
@@ -142,7 +142,7 @@ def _drop_later_ties(df: DataFrame, measures: dict) -> DataFrame:
     peers = df.groupBy(KEY, TIME).agg(F.count(F.lit(1)).alias("_peer_count"), F.sum("_money").alias("_peer_sum"))
     upto = running(slice_ordered(df, [KEY, TIME], [ID]), [KEY, TIME], [ID],
                    {"_upto_count": ("count", F.lit(1)), "_upto_sum": ("sum", F.col("_money"))}).drop(SLICE)
-    out = upto.join(peers, [KEY, TIME])
+    out = null_safe_left(upto, peers, [KEY, TIME])
     late = {"count": F.col("_peer_count") - F.col("_upto_count"), "sum": (F.col("_peer_sum") - F.col("_upto_sum")).cast("double")}
     out = out.withColumns({n: F.col(n) - late[kind] for n, (kind, _) in measures.items()})
     return out.drop("_peer_count", "_peer_sum", "_upto_count", "_upto_sum")

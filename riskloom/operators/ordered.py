@@ -32,10 +32,19 @@ def split_hot(df: DataFrame, key: str, hot_rows: int | None = HOT_ROWS) -> tuple
     if len(hot) > MAX_HOT_KEYS:
         return None, df
     keys = df.sparkSession.createDataFrame([(k,) for k in hot], df.select(key).schema)
-    marked = df.join(F.broadcast(keys.withColumn("_hot", F.lit(True))), key, "left")
+    marked = null_safe_left(df, F.broadcast(keys.withColumn("_hot", F.lit(True))), [key])
     return marked.where(F.col("_hot").isNull()).drop("_hot"), marked.where(F.col("_hot")).drop("_hot")
 
 
+def null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which null meets null, as in a window's partitions."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match &= left[k].eqNullSafe(other[f"_right_{k}"])
+    return left.join(other, match, "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def by_heat(df: DataFrame, key: str, plain, sliced, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Apply ``plain`` to ordinary keys, ``sliced`` to hot ones, and put the results together."""
     ordinary, hot = split_hot(df, key, hot_rows)
@@ -75,7 +84,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], spec: dict[str, tu
 
     ``spec`` maps an output name to (kind, column); kinds are ``sum``, ``count``, ``max``, ``lag`` and ``moments``
     (a struct n, mean, m2). With a slice column the totals of earlier slices are carried in; without one these are
-    plain windows. Keys must not be null.
+    plain windows. A null key is a key of its own, as in a plain window.
     """
     sliced = SLICE in df.columns
     part = ([SLICE] if sliced else []) + keys
@@ -100,7 +109,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], spec: dict[str, tu
     out = df.withColumns(local)
     if sliced:
         carry = _carry(df, keys, order, spec)
-        out = out.join(F.broadcast(carry), [SLICE, *keys], "left")
+        out = null_safe_left(out, F.broadcast(carry), [SLICE, *keys])
     final = {}
     for name, (kind, _) in spec.items():
         here, before = F.col(name), F.col(f"_carry_{name}")
@@ -168,5 +177,7 @@ def at_most(order: list[Column], bound: tuple | None) -> Column:
         return F.lit(False)
     result = F.lit(True)
     for col, value in reversed(list(zip(order, bound))):
-        result = (col < F.lit(value)) | ((col == F.lit(value)) & result)
+        # nulls come first, as in the sort that found the bound
+        below = F.coalesce(col < F.lit(value), col.isNull()) if value is not None else F.lit(False)
+        result = below | (col.eqNullSafe(F.lit(value)) & result)
     return result

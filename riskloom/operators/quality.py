@@ -75,11 +75,12 @@ def schema_drift(df: DataFrame, expected: list[str]) -> dict[str, list[str]]:
 
 
 def assess(raw: DataFrame, identity: DataFrame | None, batch_id: str, checked_at, expected: list[str],
-           bounds: QualityBounds = QualityBounds()) -> DataFrame:
-    """The one-row report of a batch. Reads only the columns it checks; nothing has been published yet."""
+           bounds: QualityBounds = QualityBounds(), drift: dict[str, list[str]] | None = None) -> DataFrame:
+    """The one-row report of a batch. Reads only the columns it checks; nothing has been published yet. ``drift``: of the columns as
+    they landed, where ``raw`` has been completed since."""
     named = canonical(raw)
     typed = cleaning.enforce_types(raw)
-    drift = schema_drift(raw, expected)
+    drift = schema_drift(raw, expected) if drift is None else drift
     watched = [c for c in bounds.null_rate if c in named.columns]
     rates = {r.column_name: r.null_rate for r in null_rates(named.select(*watched)).collect()}
     row = typed.agg(

@@ -8,44 +8,66 @@ from __future__ import annotations
 import argparse
 import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.contracts import RAW_IDENTITY, RAW_TRANSACTION, QualityBounds
 from riskloom.operators import cleaning, features, quality, star
-from riskloom.session import pin_utc
+from riskloom.session import materialise, pin_utc
 from riskloom.sources import files
 
 STAGES = ("bronze", "silver", "gold", "export")
 
 
 def bronze(spark: SparkSession, transactions: str, identity: str | None, root: str, batch_id: str) -> None:
-    for path, schema, name in ((transactions, RAW_TRANSACTION, "transactions"), (identity, RAW_IDENTITY, "identity")):
+    for path, name in ((transactions, "transactions"), (identity, "identity")):
         if path is None:
             continue
-        raw = files.with_lineage(files.read_raw(spark, path, schema), batch_id, checksums=files.head_checksums(spark, path))
+        raw = files.with_lineage(files.read_raw(spark, path), batch_id, checksums=files.head_checksums(spark, path))
         files.write_batch(raw, f"{root}/bronze/{name}")
 
 
+def _batch(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
+    """The rows that one batch landed, with its own columns, or None."""
+    try:
+        return spark.read.parquet(f"{path}/_batch_id={batch_id}").withColumn("_batch_id", F.lit(batch_id))
+    except AnalysisException:
+        return None
+
+
 def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds = QualityBounds()) -> DataFrame:
-    """Assess the batch, keep the report, stop on failure, and only then publish the clean rows of all batches."""
-    raw = files.read_table(spark, f"{root}/bronze/transactions")
-    identity = files.read_optional(spark, f"{root}/bronze/identity", RAW_IDENTITY)
-    batch = raw.where(raw["_batch_id"] == batch_id)
-    report = quality.assess(batch, identity, batch_id, datetime.datetime.now(datetime.UTC), RAW_TRANSACTION.names, bounds)
+    """Assess the batch by itself, keep the report, stop on failure, and only then publish its clean rows.
+
+    Other batches are neither read again nor published. A transaction that another batch has published stays as it is there,
+    so the same file under a new batch id adds nothing.
+    """
+    landed = _batch(spark, f"{root}/bronze/transactions", batch_id)
+    identity = _batch(spark, f"{root}/bronze/identity", batch_id)
+    batch = files.completed(landed, RAW_TRANSACTION)
+    identity = files.completed(identity, RAW_IDENTITY) if identity is not None else spark.createDataFrame([], RAW_IDENTITY)
+    drift = quality.schema_drift(landed, RAW_TRANSACTION.names)
+    report = quality.assess(batch, identity, batch_id, datetime.datetime.now(datetime.UTC), RAW_TRANSACTION.names, bounds, drift)
     files.write_table(quality.flat_report(report), f"{root}/silver/dq_report", "append")
     quality.gate(report)
-    files.write_table(cleaning.clean(raw, identity), f"{root}/silver/transactions_cleaned")
+    path, rows = f"{root}/silver/transactions_cleaned", cleaning.clean(batch, identity)
+    try:
+        others = spark.read.parquet(path)
+    except AnalysisException:
+        others = None
+    if others is not None:
+        rows = rows.join(others.where(F.col("_batch_id") != batch_id).select("transaction_id"), "transaction_id", "left_anti").select(*rows.columns)
+    files.write_batch(materialise(rows.withColumn("_batch_id", F.lit(batch_id))), path)
     return report
 
 
 def gold(spark: SparkSession, root: str, files_per_day: int = 8) -> None:
     """The dimensions need no features, so they read the clean table and not the windowed plan."""
-    tx = files.read_table(spark, f"{root}/silver/transactions_cleaned")
+    tx = files.read_table(spark, f"{root}/silver/transactions_cleaned").drop("_batch_id")
     fact = star.fact(features.behaviour(tx))
     # a day goes to a few files of equal size, whatever its accounts look like
     part = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_day))
-    files.write_table(fact.repartition("date_key", part), f"{root}/gold/fact_transactions", partition_by=["date_key"])
+    files.write_table(fact.repartition("date_key", part), f"{root}/gold/fact_transactions", partition_by=["date_key"], rebuild=True)
     for name, build in (("dim_account", star.dim_account), ("dim_device", star.dim_device), ("dim_date", star.dim_date)):
         files.write_table(build(tx), f"{root}/gold/{name}")
 

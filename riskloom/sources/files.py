@@ -22,9 +22,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; every column stays text, the schema is never inferred. Any Hadoop scheme works."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with the columns that its header names, in any order and number; all stay text, no type is inferred. Any Hadoop scheme works."""
+    return spark.read.option("header", True).csv(path)
+
+
+def completed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema`` that it lacks, as nulls."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
+
+
+def _plain_path(path: F.Column) -> F.Column:
+    """One spelling of a path: readers write file:/x and file:///x."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/{1,3}(?=[^/])", "$1:/")
 
 
 def with_lineage(df: DataFrame, batch_id: str, ingested_at=None, checksums: DataFrame | None = None) -> DataFrame:
@@ -33,12 +43,13 @@ def with_lineage(df: DataFrame, batch_id: str, ingested_at=None, checksums: Data
     ``df`` must come straight from a file reader, which knows the file of each row.
     """
     path = F.col("_metadata.file_path")
+    named = ["_source_path"] if checksums is not None else []
     out = df.select(
         "*", (F.lit(ingested_at) if ingested_at else F.current_timestamp()).cast("timestamp").alias("_ingested_at"),
-        F.lit(batch_id).alias("_batch_id"), F.element_at(F.split(path, "/"), -1).alias("_source_file"))
+        F.lit(batch_id).alias("_batch_id"), F.element_at(F.split(path, "/"), -1).alias("_source_file"), *[_plain_path(path).alias(c) for c in named])
     if checksums is None:
         return out
-    return out.join(checksums.select("_source_file", "_source_checksum"), "_source_file", "left")
+    return out.join(checksums.select("_source_path", "_source_checksum"), "_source_path", "left")
 
 
 def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -46,11 +57,11 @@ def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES)
 
     Spark lists the files (their content column is never read), tasks read only the head of each.
     """
-    schema = "_source_file string, _source_checksum string"
+    schema = "_source_file string, _source_checksum string, _source_path string"
     try:
         listed = spark.read.format("binaryFile").load(path).select("path")
     except AnalysisException:
-        return spark.createDataFrame([(path.rsplit("/", 1)[-1], "missing")], schema)
+        return spark.createDataFrame([(path.rsplit("/", 1)[-1], "missing", path)], schema)
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -60,15 +71,15 @@ def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES)
             for uri in pdf["path"]:
                 system, name = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(name) as stream:
-                    found.append((name.rsplit("/", 1)[-1], hashlib.sha256(stream.read(head_bytes)).hexdigest()[:16]))
-            yield pd.DataFrame(found, columns=["_source_file", "_source_checksum"])
+                    found.append((name.rsplit("/", 1)[-1], hashlib.sha256(stream.read(head_bytes)).hexdigest()[:16], uri))
+            yield pd.DataFrame(found, columns=["_source_file", "_source_checksum", "_source_path"])
 
-    return listed.mapInPandas(heads, schema)
+    return listed.mapInPandas(heads, schema).withColumn("_source_path", _plain_path(F.col("_source_path")))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """Parquet. With partitions, overwriting replaces only the partitions that ``df`` holds."""
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if partition_by else "static")
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, rebuild: bool = False) -> None:
+    """Parquet. With partitions, overwriting replaces only the partitions that ``df`` holds, unless it is a ``rebuild``."""
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if partition_by and not rebuild else "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

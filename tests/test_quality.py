@@ -113,3 +113,45 @@ def test_scoring_csv_needs_an_amount(spark, tmp_path):
     (tmp_path / "v.csv").write_text("a\n1\n")
     with pytest.raises(ValueError, match="amount"):
         files.read_scoring_csv(spark, str(tmp_path / "v.csv"))
+
+
+def _batch_file(spark, path, ids, blank=False, columns=("card1", "TransactionAmt", "TransactionID", "P_emaildomain", "extra", "TransactionDT", "isFraud")):
+    """Columns in another order than the contract's, one that it does not know and some missing."""
+    rows = [("c%d" % (i % 3), "" if blank else str(5 + i), str(i), "mail", "x", str(86400 * (i % 4)), "0") for i in ids]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).coalesce(1).write.option("header", True).csv(path)
+    return path
+
+
+def test_batches_pass_the_gate_by_themselves(spark, tmp_path):
+    """Header order, a refused batch, a good one, the good one again, the same file under another batch id, and stale days."""
+    root = str(tmp_path / "root")
+    bad = _batch_file(spark, f"{tmp_path}/bad", range(100, 140), blank=True)
+    good = _batch_file(spark, f"{tmp_path}/good", range(40))
+    with pytest.raises(quality.QualityFailure):
+        medallion.run(spark, bad, None, root, "b1")
+    for batch in ("b2", "b2", "b3"):
+        medallion.run(spark, good, None, root, batch)
+    silver = spark.read.parquet(f"{root}/silver/transactions_cleaned").collect()
+    assert sorted(r.transaction_id for r in silver) == list(range(40)) and {r._batch_id for r in silver} == {"b2"}
+    assert {r.amount for r in silver} == {float(5 + i) for i in range(40)}
+    report = {r.batch_id: r for r in spark.read.parquet(f"{root}/silver/dq_report").collect()}
+    assert report["b1"].passed is False and report["b2"].passed and report["b2"].orphan_identity_rows == 0
+    assert '"new":["extra"]' in report["b2"].schema_drift_json and "card4" in report["b2"].schema_drift_json
+    days = spark.read.parquet(f"{root}/gold/fact_transactions")
+    assert days.select("date_key").distinct().count() == 4
+    few = files.scratch(spark, "days")
+    files.write_table(days, few, partition_by=["date_key"], rebuild=True)
+    files.write_table(days.limit(1), few, partition_by=["date_key"], rebuild=True)
+    assert spark.read.parquet(few).select("date_key").distinct().count() == 1
+
+
+def test_lineage_joins_on_the_whole_path(spark, tmp_path):
+    """Two folders with a file of the same name."""
+    import shutil
+    for k in ("x", "y"):
+        _batch_file(spark, f"{tmp_path}/{k}_", range(3 if k == "x" else 5))
+        (tmp_path / "in" / k).mkdir(parents=True)
+        shutil.copy(next((tmp_path / f"{k}_").glob("part-*.csv")), tmp_path / "in" / k / "part.csv")
+    path = f"{tmp_path}/in/*"
+    rows = files.with_lineage(files.read_raw(spark, path), "b", checksums=files.head_checksums(spark, path)).collect()
+    assert len(rows) == 8 and {r._source_file for r in rows} == {"part.csv"} and len({r._source_checksum for r in rows}) == 2

@@ -75,3 +75,13 @@ def test_stratified_split_keeps_class_shares(skewed):
     out = ranking.stratified_split(skewed.withColumn("y", (F.col("transaction_id") % 10 == 0).cast("int")), "y", "transaction_id")
     counts = {(r.y, r.part): r["count"] for r in out.groupBy("y", "part").count().collect()}
     assert counts == {(0, "train"): 432, (0, "validation"): 108, (1, "train"): 48, (1, "validation"): 12}
+
+
+def test_null_accounts_and_times_survive_the_sliced_path(spark):
+    """Rows with a null account or time get the same answer from both paths."""
+    rows = [(i, None if i % 5 == 0 else "a", None if i % 7 == 3 else 100 * (i // 3), float(i)) for i in range(60)]
+    tx = spark.createDataFrame(rows, "transaction_id long, account_id string, event_time_seconds long, amount double")
+    both = lambda h: features.velocity(features.amount_1h(tx, 400, hot_rows=h), {"c": 300}, hot_rows=h)
+    plain, sliced = both(None), both(0)
+    order = lambda df: sorted((tuple(r) for r in df.select(*plain.columns).collect()), key=repr)
+    assert order(plain) == order(sliced)
