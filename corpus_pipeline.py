@@ -31,8 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are toxic. Learns from ``labels`` of the documents it gets."""
-    found = toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~divisible("doc_id", 5), 5000)
-    return toxicity.keep(docs, toxicity.train(found))
+    return toxicity.keep(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), ~divisible("doc_id", 5)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import map_batches, type_of
+from riskloom.session import materialise
 
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
 #: Groups of terms that may stand for each other in a neutral sentence.
@@ -66,47 +67,77 @@ def logistic(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def swaps(words: frozenset[str], groups=IDENTITIES) -> list[frozenset[str]]:
-    """The sentence with each identity term replaced by the others of its group, and by a neutral word."""
-    return [words - {term} | {other} for group in groups for term in group if term in words for other in (*group, NEUTRAL) if other != term]
+def sentences_of(text: str | None) -> list[frozenset[str]]:
+    """The distinct sentences of a text as sets of words, in a fixed order; one empty sentence where there is none."""
+    return [frozenset(x) for x in sorted(map(sorted, {frozenset(WORD.findall(s)) for s in SENTENCE.split((text or "").lower())}))] or [frozenset()]
 
 
-def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0, evidence: float = 2.0, rounds: int = 4, steps: int = 150) -> Classifier | None:
-    """``rows``: (text, 0 or 1). Proximal gradient steps with momentum; the step length comes from the largest singular value."""
-    if not rows:
-        return None
-    sentences, owner, label = [], [], np.array([y for _, y in rows], float)
-    for i, (text, _) in enumerate(rows):
-        own = sorted(map(sorted, {frozenset(WORD.findall(s)) for s in SENTENCE.split((text or "").lower())})) or [[]]
-        sentences += map(frozenset, own)
-        owner += [i] * len(own)
-    terms = {t for g in groups for t in g}
-    pairs = [(k, x) for k, words in enumerate(sentences) if not terms.isdisjoint(words) for x in swaps(words, groups)]
-    n, m, owner = len(rows), len(sentences), np.array(owner)
-    toxic, size = label[owner] == 1, np.bincount(owner, minlength=n)
-    # documents that have a feature, toxic ones and all
+def swaps(present: frozenset[str], groups=IDENTITIES) -> list[frozenset[str]]:
+    """The sentence's features with each identity term replaced by the others of its group, and by a neutral word."""
+    return [present - set(features(term)) | set(features(other)) for group in groups for term in group if term in present for other in (*group, NEUTRAL) if other != term]
+
+
+def count_features(rows: list[tuple[str | None, int]]) -> dict[str, list[int]]:
+    """Feature -> [toxic documents that have it, documents that have it]."""
     have: dict[str, list[int]] = {}
-    known: dict[str, list[str]] = {}
-    at = 0
-    for i in range(n):
-        words = frozenset().union(*sentences[at:at + size[i]])
-        at += size[i]
-        for f in {f for w in words for f in (known.get(w) or known.setdefault(w, features(w)))}:
+    for text, label in rows:
+        for f in {f for w in frozenset().union(*sentences_of(text)) for f in features(w)}:
             c = have.setdefault(f, [0, 0])
-            c[0] += label[i] == 1
+            c[0] += label == 1
             c[1] += 1
-    base = label.mean()
-    kept = {f for f, (a, b) in have.items() if a > evidence and a >= 2 * base * b or f in terms} | {w for _, x in pairs for w in x if w in terms}
-    vocabulary = {f: k for k, f in enumerate(sorted(kept))}
+    return have
+
+
+def telling(toxic: int | Column, all_: int | Column, base: float, evidence: float):
+    """Whether a feature in so many toxic and so many documents is weighed."""
+    return (toxic > evidence) & (toxic >= 2 * base * all_)
+
+
+def reduced(text: str | None, kept: set[str]) -> dict[frozenset[str], int]:
+    """A document's sentences by the features that are weighed, with how many sentences each stands for."""
+    out: dict[frozenset[str], int] = {}
+    for words in sentences_of(text):
+        key = frozenset(f for w in words for f in features(w) if f in kept)
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+def always_kept(groups) -> set[str]:
+    return {t for g in groups for t in g}
+
+
+def train(rows: list[tuple[str | None, int]], groups=IDENTITIES, penalty: float = 0.05, evidence: float = 2.0) -> Classifier | None:
+    """``rows``: (text, 0 or 1)."""
+    if not rows:
+        return None
+    base = sum(y for _, y in rows) / len(rows)
+    kept = {f for f, (a, b) in count_features(rows).items() if telling(a, b, base, evidence)} | always_kept(groups)
+    return fit([(reduced(t, kept), y) for t, y in rows], groups, penalty, evidence)
+
+
+def fit(rows: list[tuple[dict[frozenset[str], int], int]], groups=IDENTITIES, penalty: float = 0.05, evidence: float = 2.0, rounds: int = 4, steps: int = 150) -> Classifier | None:
+    """Proximal gradient steps with momentum on reduced documents; the step length comes from the steepest direction."""
+    if not rows:
+        return None
+    label, n = np.array([y for _, y in rows], float), len(rows)
+    sentences, owner, times = [], [], []
+    for i, (own, _) in enumerate(rows):
+        for key in sorted(own, key=sorted):
+            sentences.append(key)
+            owner.append(i)
+            times.append(own[key])
+    pairs = [(k, x) for k, present in enumerate(sentences) for x in swaps(present, groups)]
+    place = {f: k for k, f in enumerate(sorted(frozenset().union(*sentences, *(x for _, x in pairs))))}
+    m, owner, times = len(sentences), np.array(owner), np.array(times, float)
+    toxic, size = label[owner] == 1, np.bincount(owner, times, n)
 
     def matrix(sets):
-        r = [(k, j) for k, words in enumerate(sets) for j in {vocabulary[f] for w in words for f in known.get(w, (w,)) if f in vocabulary}]
-        return np.array(r, np.int64).reshape(-1, 2).T
+        return np.array([(k, place[f]) for k, present in enumerate(sets) for f in sorted(present)], np.int64).reshape(-1, 2).T
 
     row, col = matrix(sentences)
     pair_row, pair_col = matrix([x for _, x in pairs])
     origin = np.array([k for k, _ in pairs], np.int64)
-    w, b = np.zeros(len(vocabulary)), math.log((label.sum() + 0.5) / (n - label.sum() + 0.5))
+    w, b = np.zeros(len(place)), math.log((label.sum() + 0.5) / (n - label.sum() + 0.5))
 
     def margins(x):
         return np.bincount(row, x[col], m)
@@ -125,14 +156,15 @@ def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0,
         p = 1 / (1 + np.exp(-np.clip(margins(w) + b, -500, 500)))
         top = np.zeros(n)
         np.maximum.at(top, owner, p)
-        weight = 1.0 / size[owner]
+        weight = times / size[owner]
         if round_:
-            weight = np.where(toxic, 0.0, weight) + (p >= 0.5 * top[owner]) * np.where(toxic, 1.0, 0.0) + (p == top[owner]) * np.where(toxic, 0.0, weight)
-            weight /= np.where(toxic, np.bincount(owner, weight * toxic, n)[owner] + ~toxic, 1.0)  # a toxic document counts once
+            worst = np.where(toxic, (p >= 0.5 * top[owner]) * times, 0.0)
+            share = np.bincount(owner, worst, n)[owner]
+            weight = np.where(toxic, worst / np.where(share > 0, share, 1), weight)  # a toxic document counts once, by its worst sentences
         weight /= n
         y = toxic.astype(float)
         v, steep = np.ones(len(w)), 0.0
-        for _ in range(20):  # the steepest direction of the loss
+        for _ in range(20):
             v = 0.25 * sums(weight * margins(v)) + pull(v)
             steep = float(np.linalg.norm(v))
             v = v / steep if steep else v
@@ -141,21 +173,45 @@ def train(rows: list[tuple[str, int]], groups=IDENTITIES, penalty: float = 2.0,
         for _ in range(steps):
             z = margins(near_w)
             g = weight * (1 / (1 + np.exp(-np.clip(z + near_b, -500, 500))) - y)
-            grad = sums(g) + pull(near_w)
-            new = near_w - rate * grad
+            new = near_w - rate * (sums(g) + pull(near_w))
             new = np.sign(new) * np.maximum(np.abs(new) - rate * evidence / (4 * n), 0)
             new_b, t2 = near_b - rate * g.sum(), (1 + math.sqrt(1 + 4 * t * t)) / 2
             near_w, near_b = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
             w, b, t = new, new_b, t2
-    return Classifier(float(b), {f: float(w[i]) for f, i in vocabulary.items() if w[i]})
+    return Classifier(float(b), {f: float(w[i]) for f, i in place.items() if w[i]})
+
+
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_documents: int = 5000, groups=IDENTITIES, penalty: float = 0.05, evidence: float = 2.0,
+          id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier | None:
+    """Train on a bounded sample of labelled texts.
+
+    The ids are chosen among the labels first, so that only chosen texts travel. Tasks count the features and reduce sentences to
+    the telling ones; the driver gets the telling features and the reduced sentences of at most ``most_documents`` documents.
+    """
+    chosen = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "label").limit(most_documents)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("text", "label")
+    rows = materialise(rows)
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n:
+        return None
+
+    def count(batch):
+        have = count_features(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        return {"f": list(have), "a": [c[0] for c in have.values()], "b": [c[1] for c in have.values()]}
+
+    totals = map_batches(rows, count, {"f": "string", "a": "long", "b": "long"}).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    kept = {r.f for r in totals.where(telling(F.col("a"), F.col("b"), positive / n, evidence)).select("f").collect()} | always_kept(groups)
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
 
+    def cut(batch):
+        found = [reduced(t, shared.value) for t in batch.column(0).to_pylist()]
+        return {"label": batch.column(1), "sets": [[" ".join(sorted(s)) for s in x] for x in found], "times": [list(x.values()) for x in found]}
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_documents: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts. The ids are chosen among the labels first, so that only chosen texts travel."""
-    chosen = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most_documents)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    return sorted((r[0] or "", r[1]) for r in rows.select("__text", "__label").collect())
+    taken = map_batches(rows, cut, {"label": "int", "sets": "array<string>", "times": "array<long>"}).collect()
+    small = [({frozenset(s.split()): k for s, k in zip(r.sets, r.times)}, r.label) for r in taken]
+    small.sort(key=lambda x: (x[1], sorted((sorted(s), k) for s, k in x[0].items())))
+    return fit(small, groups, penalty, evidence)
 
 
 def score(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,4 +240,4 @@ def keep(docs: DataFrame, model: Classifier | None, threshold: float = 0.5, id_c
 
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, most_documents: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Train on the usable labels, then score all rows."""
-    return score(docs, train(labelled(docs, labels, usable, most_documents, id_col, text_col, label_col)), id_col, text_col)
+    return score(docs, learn(docs, labels, usable, most_documents, id_col=id_col, text_col=text_col, label_col=label_col), id_col, text_col)
