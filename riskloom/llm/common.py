@@ -12,7 +12,9 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
          "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 #: Bytes of text that one step inside a task works on at a time.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of a record batch, where the session has Spark's default of 64 MB: a worker holds a batch several times over.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: dic
 
 def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: dict[str, str]) -> DataFrame:
     """As ``map_batches``, for work that keeps bounded state between the batches of a task."""
+    small_batches(df.sparkSession)
     fields = pa.schema([(k, ARROW[v]) for k, v in schema.items()])
 
     def run(batches):
@@ -40,6 +43,13 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default size of record batches; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def type_of(df: DataFrame, column: str) -> str:
     """Type of an id column that is handed through Python."""
     kind = df.schema[column].dataType.simpleString()

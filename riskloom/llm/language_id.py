@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import STEP_BYTES, map_batches, steps, type_of
+from riskloom.llm.common import STEP_BYTES, map_batches, small_batches, steps, type_of
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 LATIN = re.compile("[A-Za-z]")
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
 def keep(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
     """The rows in some language with that probability or more, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
 
     @F.pandas_udf("boolean")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches, type_of
+from riskloom.llm.common import map_batches, small_batches, type_of
 from riskloom.session import materialise
 
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
@@ -229,6 +229,7 @@ def keep(docs: DataFrame, model: Classifier | None, threshold: float = 0.5, id_c
     """The rows that are not toxic, with all their columns. Without a model all stay."""
     if model is None:
         return docs
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
