@@ -46,7 +46,7 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
 def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default size of record batches; a session's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+    if spark.conf.get(key).rstrip("b") == str(DEFAULT_BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
