@@ -14,7 +14,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 #: Bytes of text that one step inside a task works on at a time.
 STEP_BYTES = 1 << 20
 #: Bytes of a record batch, where the session has Spark's default of 64 MB: a worker holds a batch several times over.
-BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
