@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import byte_alphabet
-from riskloom.llm.common import map_batches, type_of
+from riskloom.llm.common import map_partitions, type_of
 from riskloom.session import materialise
 
-#: Distinct blank-separated words whose ids a Python worker keeps. Only speed depends on it.
+#: Distinct blank-separated words whose ids a task keeps. Only speed depends on it.
 MEMO_WORDS = 300_000
 
 _loaded: dict = {}
@@ -70,6 +70,10 @@ class WordEncoder:
             return b"".join(map(self.stem, self.SPLIT.findall(word.lower())))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.stems.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         memo, out = self.memo, []
@@ -102,7 +106,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
     schema = {id_col: type_of(docs, id_col), "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
     end, width = array("I", [end_id]).tobytes(), 4 * capacity
 
-    def cut(batch):
+    def cut(batches):
+        try:
+            for batch in batches:
+                yield cut_batch(batch)
+        finally:
+            encoder(path).forget()  # the worker outlives its task, and other stages need the memory
+
+    def cut_batch(batch):
         own, at, size, crc, ids = [], [], [], [], []
         texts = batch.column(1).cast("binary").to_pylist()
         encoder_ = encoder(path)
@@ -118,7 +129,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
                     ids.append(part)
         return {id_col: own, "piece": [x // capacity for x in at], "start": at, "length": size, "ids_crc32": crc, "ids": ids}
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), cut, schema)
+    return map_partitions(docs.select(F.col(id_col), F.col(text_col).cast("string")), cut, schema)
 
 
 def bound(counts: np.ndarray, capacity: int) -> int:
