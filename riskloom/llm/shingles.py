@@ -15,6 +15,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 EMPTY = U(2**64 - 1)
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Powers that a worker keeps; those of a longer text are computed for it and dropped.
+KEPT_POWERS = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,11 +35,15 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    def table(base, size):
+        p = np.full(size, base, U)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    if n > KEPT_POWERS:
+        return table(BASE, n), table(INVERSE, n)
     if len(_powers[0]) < n:
-        for i, base in enumerate((BASE, INVERSE)):
-            p = np.full(max(n, 1 << 16), base, U)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
+        _powers[:] = [table(base, max(n, 1 << 16)) for base in (BASE, INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
 
