@@ -37,6 +37,12 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     fields = pa.schema([(k, ARROW[v]) for k, v in schema.items()])
 
     def run(batches):
+        try:
+            yield from made(batches)
+        finally:
+            pa.default_memory_pool().release_unused()  # a worker waits for its next task without them
+
+    def made(batches):
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((out[f.name] for f in fields), fields)], schema=fields)
 
