@@ -6,8 +6,9 @@ frequency, counted over the whole training part. So the vocabulary is that of th
 
 1. Words of the training texts are counted inside each task and summed over all of them.
 2. Every text becomes a sequence of classes, written once; words outside the frequent ones are kept beside it.
-3. Baum-Welch, started on a bounded sample of training sequences (``most_start``, by hash) to tell the states apart: each round runs forward and backward over all training sequences, sums expected counts inside each task, adds
-   them over the tasks, and re-estimates. For training alone, long texts are cut into segments of ``SEGMENT`` tokens.
+3. Baum-Welch from a random tilt: each round runs forward and backward over all training sequences, sums expected counts inside
+   each task, adds them over the tasks, and re-estimates. Rounds end when one gains too little likelihood, or after ``rounds``.
+   For training alone, long texts are cut into segments of ``SEGMENT`` tokens.
 4. A scaled forward recursion over each whole text gives its exact likelihood under the states; the words outside the frequent
    ones meet their counts in a join and add their share.
 
@@ -166,13 +167,6 @@ def initial(weights: np.ndarray, states: int, seed: int = 5) -> Model:
     return Model(np.full((2, states), 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), prior)
 
 
-def warm(seqs: list[np.ndarray], model: Model, rounds: int) -> Model:
-    """Baum-Welch on a bounded sample."""
-    for _ in range(rounds if seqs else 0):
-        model = model.from_counts(*expected(seqs, model)[:3])
-    return model
-
-
 def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log likelihood as segments."""
     K, C = model.move.shape[0], len(model.emit)
@@ -216,7 +210,8 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
 
 
 def baum_welch(rows: DataFrame, model: Model) -> tuple[Model, float]:
-    """One round over all given sequences (column ``seq``); expected counts are summed inside tasks, then over tasks."""
+    """One round over all given sequences (column ``seq``): the new model, and the log likelihood of the old one. Expected counts
+    are summed inside tasks, then over tasks."""
     K, C = model.move.shape[0], len(model.emit)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -279,17 +274,26 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
     return map_partitions(rows.select(*keep, "seq"), run, keep | {"score": "double"})
 
 
-def fit_and_score(docs: DataFrame, usable: Column, states: int = 8, rounds: int = 1, frequent: int = FREQUENT, most_start: int = 1500, start_rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn(train: DataFrame, model: Model, tokens: int, rounds: int, start_rounds: int, least_gain: float) -> Model:
+    """Baum-Welch over all of ``train`` in every round. A tilted start gains slowly at first, so ``start_rounds`` run in any case
+    (at most ``rounds``); after them a round that gains less than ``least_gain`` nats per token is the last."""
+    before = -math.inf
+    for number in range(rounds):
+        model, total = baum_welch(train, model)
+        if number >= start_rounds and total - before < least_gain * tokens:
+            break
+        before = total
+    return model
+
+
+def fit_and_score(docs: DataFrame, usable: Column, states: int = 8, rounds: int = 13, frequent: int = FREQUENT, start_rounds: int = 6, least_gain: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from the usable ones."""
     counts = materialise(count_words(docs.where(usable), text_col))
     lex, others, share = lexicon(counts, frequent)
     rows = materialise(encode(docs, lex, usable, id_col, text_col))
     model = initial(np.concatenate([lex.counts, lex.ending_tokens]), states)
-    train = rows.where("trained")
-    sample = train.select("seq", F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(most_start).collect()
-    model = warm([np.frombuffer(r.seq, np.uint16) for r in sample], model, start_rounds)
-    for _ in range(rounds):
-        model, _ = baum_welch(train, model)
+    if lex.tokens:
+        model = learn(rows.where("trained"), model, lex.tokens, rounds, start_rounds, least_gain)
     scored = likelihoods(rows, model)
     of_class = F.array(*[F.lit(float(math.log10(x))) for x in share])
     rare = rows.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("w")).select("row", F.col("w").cast("binary").alias("word"))

@@ -100,3 +100,18 @@ def test_language_model_odd(odd, none):
     assert {r.n_tokens for r in found if r.doc_id in (1, 2, 3)} == {1}
     assert hmm_lm.fit_and_score(none, F.lit(True), states=2).count() == 0
     assert hmm_lm.fit_and_score(odd, F.lit(False), states=2).count() == odd.count()
+
+
+def test_every_round_reads_all_training_texts(spark):
+    """The same scores as rounds over all sequences at once, with more texts than any sample held."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"{t}{k}" for k in range(12)], k=rng.randint(3, 9))) for t in ("ab", "cd", "ef") for _ in range(700)]
+    c = Counter(w for t in texts for w in hmm_lm.words_of(t.encode()))
+    order = sorted(c, key=lambda w: (-c[w], w))
+    seqs = [np.array([order.index(w) for w in hmm_lm.words_of(t.encode())], np.uint16) for t in texts]
+    model = hmm_lm.initial(np.array([c[w] for w in order] + [0] * hmm_lm.ENDINGS, float), 3)
+    for _ in range(5):
+        model = model.from_counts(*hmm_lm.expected(seqs, model)[:3])
+    found = hmm_lm.fit_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), F.lit(True), states=3, rounds=5, start_rounds=5)
+    want = hmm_lm.log10_likelihood(seqs, model)
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in found.collect())
