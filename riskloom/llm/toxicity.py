@@ -4,8 +4,9 @@ A document is as toxic as its worst sentence. A sentence is the set of its words
 families of words are learned), and logistic regression weighs them. Labels are given for documents, so each round of training
 takes the sentences of a toxic document that the last round found worst as examples, and all sentences of a clean one. In every labelled sentence that names an identity, the term is swapped for the others of its group and for a neutral word, and
 the squared change of the score is a penalty: a neutral mention then cannot raise the score. An L1 penalty of ``evidence``
-quarter documents removes words that a few labels put there by chance, and only features at least twice as frequent in toxic documents as in all
-are weighed at all (identity terms always are).
+quarter documents removes words that a few labels put there by chance, and only features that the toxic documents have at least
+twice as often as the clean ones, as rates of each class, are weighed at all (identity terms always are). Rates do not depend on
+the share of toxic labels.
 
 Training reads labelled rows only, at most ``most_documents`` (by hash of the id). Scoring reads the text alone, all of it.
 
@@ -89,8 +90,9 @@ def count_features(rows: list[tuple[str | None, int]]) -> dict[str, list[int]]:
 
 
 def telling(toxic: int | Column, all_: int | Column, base: float, evidence: float):
-    """Whether a feature in so many toxic and so many documents is weighed."""
-    return (toxic > evidence) & (toxic >= 2 * base * all_)
+    """Whether a feature in so many toxic and so many documents is weighed, where ``base`` of the documents are toxic. Without clean
+    documents no rate can be compared, and all frequent enough features are."""
+    return (toxic > evidence) & (toxic * (1 - base) >= 2 * base * (all_ - toxic))
 
 
 def reduced(text: str | None, kept: set[str]) -> dict[frozenset[str], int]:
@@ -153,12 +155,12 @@ def fit(rows: list[tuple[dict[frozenset[str], int], int]], groups=IDENTITIES, pe
         return sums(np.bincount(origin, change, m)) - np.bincount(pair_col, change[pair_row], len(w))
 
     for round_ in range(rounds if len(w) else 0):
-        p = 1 / (1 + np.exp(-np.clip(margins(w) + b, -500, 500)))
-        top = np.zeros(n)
-        np.maximum.at(top, owner, p)
+        odds = margins(w)  # as logarithms: a probability near 1, as where most labels are toxic, would tell no sentences apart
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, owner, odds)
         weight = times / size[owner]
         if round_:
-            worst = np.where(toxic, (p >= 0.5 * top[owner]) * times, 0.0)
+            worst = np.where(toxic, (odds >= top[owner] - math.log(2)) * times, 0.0)
             share = np.bincount(owner, worst, n)[owner]
             weight = np.where(toxic, worst / np.where(share > 0, share, 1), weight)  # a toxic document counts once, by its worst sentences
         weight /= n

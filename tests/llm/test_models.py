@@ -55,6 +55,24 @@ def test_toxicity_learns_and_ignores_identities(spark):
     assert all(fair.score(f"w1x w2x {w} w3x.") >= 0.5 for w in ("scum", "moron"))
 
 
+@pytest.mark.parametrize("tenths", [1, 5, 8])
+def test_toxicity_learns_at_any_share_of_toxic_labels(spark, tenths):
+    rng, filler = random.Random(3), [f"w{i}x" for i in range(300)]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(filler) for _ in range(20)]
+        if i % 10 < tenths:
+            words[5] = rng.choice(["scum", "moron"])
+        elif i % 10 == 9 and rng.random() < 0.1:
+            words[5] = "scum"  # a few clean documents have the word, too
+        rows.append((i, " ".join(words[:10]) + ". " + " ".join(words[10:]) + ".", int(i % 10 < tenths)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    for m in (model, toxicity.train([r[1:] for r in rows])):
+        assert all(m.score(f"w1x w2x {w} w3x.") >= 0.5 for w in ("scum", "moron"))
+        assert np.mean([m.score(f"w{k}x w{k + 1}x w{k + 2}x w{k + 3}x.") < 0.5 for k in range(290)]) > 0.95
+
+
 def test_toxicity_odd(spark, odd, none, small):
     labels = spark.createDataFrame([(4, 1), (4, 1), (6, 0), (7, None), (99, 1)], "doc_id long, toxic int")
     found = toxicity.classify(odd, labels, F.lit(True)).collect()
