@@ -1,23 +1,28 @@
 """License scan: winnowed fingerprints find templates, banded alignment measures how much of them a document holds.
 
-Texts are words of ASCII letters and digits in lower case. Hashes of ``GRAM`` words are winnowed: of each ``WINNOW`` hashes in a
-row the smallest is a fingerprint, so any passage of ``GRAM + WINNOW - 1`` words that a document shares with a template leaves
-a shared fingerprint. An inverted index from fingerprint to (template, position) gives candidates with the diagonal on which
-they lie. Along each diagonal the template is aligned with the document (matches 2, others -1, within ``BAND``
-words of the diagonal), which gives matched words, coverage of the template and the span in the document's words.
+Texts are words of ASCII letters and digits in lower case. All hashes of ``GRAM`` words in a row of a document are looked up in an
+inverted index from hash to (template, position), which gives candidates with the diagonal on which they lie. Templates too short
+to keep ``GRAM`` words in a row when the share of words that ``least`` allows is replaced are looked up by fewer words, so that
+replaced words alone never hide a span of that coverage. Along each diagonal the template is aligned with the document (matches
+2, others -1, within ``BAND`` words of the diagonal), which gives matched words, coverage of the template and the span in the
+document's words. A span is reported from ``least_words`` matched words on, whatever its coverage; ``whole`` says whether the
+coverage is ``least`` or more, and spans that are whole are reported whatever their length.
 
 Templates are a few short texts that every task holds; their number does not grow with the corpus. The texts below are notices
 of public licenses (fixed values).
 
 Defined results: a null or empty text and a text without a match give no row. A template that occurs several times gives a row
-for each span. Rows that repeat an id give their own rows; other columns are not read. Ties go to the earlier span. Whole texts
-are read, whatever their length.
+for each span; spans of one template do not overlap, and the one with more matched words goes first. Rows that repeat an id give
+their own rows; other columns are not read. Ties go to the earlier span. Whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -54,10 +59,10 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Hashes of ``GRAM`` words in a row."""
-    h = np.zeros(max(0, len(ids) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
+def grams(ids: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of ``size`` words in a row."""
+    h = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    for k in range(size):
         h = (h ^ ids[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
@@ -75,27 +80,35 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(place)
 
 
+def unbroken(words: int, least: float) -> int:
+    """Words in a row, ``GRAM`` at most, that are left however the words that ``least`` does not ask for are replaced."""
+    lost = words - max(1, math.ceil(least * words - 1e-9))
+    return min(GRAM, math.ceil((words - lost) / (lost + 1))) if words else GRAM
+
+
 class Index:
-    """Templates and the inverted index of their fingerprints. All grams of a template are indexed: the document is winnowed."""
+    """Templates and, by length of gram, the inverted index of their grams."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
         self.names = sorted(templates)
         self.words = [words_of(templates[n]) for n in self.names]
         self.ids = {w: zlib.crc32(w) | 1 << 32 for ws in self.words for w in ws}
-        self.posting: dict[int, list[tuple[int, int]]] = {}
+        self.posting: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ws in enumerate(self.words):
-            for p, h in enumerate(grams(np.array([self.ids[w] for w in ws], np.uint64)).tolist()):
-                self.posting.setdefault(h, []).append((t, p))
-        self.known = np.array(sorted(self.posting), np.uint64)
+            size = unbroken(len(ws), least)
+            for p, h in enumerate(grams(np.array([self.ids[w] for w in ws], np.uint64), size).tolist()):
+                self.posting.setdefault(size, {}).setdefault(h, []).append((t, p))
+        self.known = {size: np.array(sorted(x), np.uint64) for size, x in self.posting.items()}
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int, first: int = 0) -> tuple[int, int, int] | None:
-    """Best local alignment within the band, from word ``first`` on: (matched words, first word, word after the last)."""
+def align(template: list[bytes], words: list[bytes], diagonal: int, first: int = 0, last: int | None = None) -> tuple[int, int, int] | None:
+    """Best local alignment within the band, from word ``first`` on and before ``last``: (matched words, first word, word after the last)."""
+    last = len(words) if last is None else last
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}
     for i, want in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(first, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)):
+        for j in range(max(first, i + diagonal - BAND), min(last, i + diagonal + BAND + 1)):
             s, m, a = above.get(j - 1, (0, 0, j))
             same = words[j] == want
             cell = (s + 2, m + 1, a) if same else (s - 1, m, a)
@@ -108,36 +121,72 @@ def align(template: list[bytes], words: list[bytes], diagonal: int, first: int =
     return best[1:] if best[0] else None
 
 
-def scan_text(text: str | None, index: Index, least: float) -> list[tuple[str, int, float, int, int]]:
+def spans(template: list[bytes], words: list[bytes], anchors: dict[int, list[int]], least: float, least_words: int) -> list[tuple[int, int, int]]:
+    """Spans (matched words, first word, word after the last) that do not overlap, those with more matched words first.
+
+    ``anchors``: for each diagonal, the places of shared grams. Anchors inside a span that was taken are done with; the others of
+    their diagonal are aligned again in the gap between taken spans where they lie.
+    """
+    enough = min(least_words, least * len(template))
+    begins, ends, out, heap = [], [], [], []
+
+    def gap(place):
+        """The words free around a place, or None inside a taken span."""
+        k = bisect_right(begins, place)
+        low = ends[k - 1] if k else 0
+        return (low, begins[k] if k < len(begins) else len(words)) if place >= low else None
+
+    def offer(d):
+        """Aligns at the first of the diagonal's places that is free; places of gaps that hold no long enough span are dropped."""
+        places = anchors[d]
+        while places:
+            free = gap(places[-1])
+            hit = align(template, words, d, *free) if free else None
+            if hit and hit[0] >= enough:
+                heapq.heappush(heap, (-hit[0], hit[1], hit[2], d))
+                return
+            high = free[1] if free else places[-1] + 1
+            while places and places[-1] < high:
+                places.pop()
+
+    for d in anchors:
+        anchors[d].reverse()
+        offer(d)
+    while heap:
+        n, a, b, d = heapq.heappop(heap)
+        k = bisect_right(begins, a)
+        if (k == 0 or ends[k - 1] <= a) and (k == len(begins) or b <= begins[k]):
+            begins.insert(k, a)
+            ends.insert(k, b)
+            out.append((-n, a, b))
+        offer(d)
+    return out
+
+
+def scan_text(text: str | None, index: Index, least: float, least_words: int = 8) -> list[tuple[str, int, float, int, int]]:
     """(license, matched words, coverage, first word, word after the last), by place."""
     words = words_of(text)
-    h = grams(np.fromiter(map(index.ids.get, words, [0] * len(words)), np.uint64, len(words)))
-    places = winnow(h)
-    places = places[np.isin(h[places], index.known)] if len(places) else places
-    diagonals: dict[int, list[int]] = {}
-    for p in places.tolist():
-        for t, q in index.posting[int(h[p])]:
-            diagonals.setdefault(t, []).append(p - q)
-    out = []
-    for t, found in diagonals.items():
-        end = 0  # spans of one template do not overlap
-        for d in sorted(set(found)):
-            hit = align(index.words[t], words, d, end)
-            if hit and hit[0] >= least * len(index.words[t]):
-                end = hit[2]
-                out.append((index.names[t], hit[0], hit[0] / len(index.words[t]), hit[1], hit[2]))
+    ids = np.fromiter(map(index.ids.get, words, [0] * len(words)), np.uint64, len(words))
+    found: dict[int, dict[int, list[int]]] = {}
+    for size, posting in index.posting.items():
+        h = grams(ids, size)
+        for p in np.flatnonzero(np.isin(h, index.known[size])).tolist():
+            for t, q in posting[int(h[p])]:
+                found.setdefault(t, {}).setdefault(p - q, []).append(p)
+    out = [(index.names[t], n, n / len(index.words[t]), a, b) for t, anchors in found.items() for n, a, b in spans(index.words[t], words, anchors, least, least_words)]
     return sorted(out, key=lambda x: (x[3], x[0], x[4]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, matched_words, template_words, coverage, first_word, end_word), one row per span with that coverage or more."""
-    index = Index(templates or TEMPLATES)
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, license, matched_words, template_words, coverage, first_word, end_word, whole), one row per span with ``least_words`` or with that coverage."""
+    index = Index(templates or TEMPLATES, least)
     size = dict(zip(index.names, map(len, index.words)))
 
     def run(batch):
-        rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index, least)]
+        rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index, least, least_words)]
         of, name, n, share, a, b = zip(*rows) if rows else ([],) * 6
-        return {id_col: of, "license": name, "matched_words": n, "template_words": [size[x] for x in name], "coverage": share, "first_word": a, "end_word": b}
+        return {id_col: of, "license": name, "matched_words": n, "template_words": [size[x] for x in name], "coverage": share, "first_word": a, "end_word": b,
+                "whole": [k >= least * size[x] for x, k in zip(name, n)]}
 
     return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), run,
-                       {id_col: type_of(docs, id_col), "license": "string", "matched_words": "long", "template_words": "long", "coverage": "double", "first_word": "long", "end_word": "long"})
+                       {id_col: type_of(docs, id_col), "license": "string", "matched_words": "long", "template_words": "long", "coverage": "double", "first_word": "long", "end_word": "long", "whole": "boolean"})

@@ -55,6 +55,34 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 
 
+def test_replaced_words_never_hide_a_notice(spark):
+    """Each word of a short notice replaced, in many surroundings."""
+    rng, rows, want = np.random.default_rng(8), [], Counter()
+    around = lambda: " ".join(f"w{k}" for k in rng.integers(0, 1000, 6))
+    for name in ("mit", "cc-by-nc-4.0", "apache-2.0", "gpl-3.0"):
+        words = license_scan.TEMPLATES[name].split()
+        for k in range(len(words)):
+            for _ in range(10):
+                changed = " ".join([*words[:k], "other", *words[k + 1:]])
+                if len(license_scan.words_of(changed)) == len(license_scan.words_of(" ".join(words))):
+                    want[len(rows), name] = 1
+                    rows.append((len(rows), f"{around()} {changed} {around()}"))
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("license in ('mit', 'cc-by-nc-4.0', 'apache-2.0', 'gpl-3.0')").collect()
+    assert Counter((r.doc_id, r.license) for r in found) == want and all(r.coverage >= 0.8 and r.whole for r in found)
+
+
+def test_partial_passages_are_reported(spark):
+    words = license_scan.TEMPLATES["mit-text"].split()
+    n = len(license_scan.words_of(license_scan.TEMPLATES["mit-text"]))
+    half = " ".join(words[:len(words) // 2])
+    rows = [(1, "Some words. " + half), (2, " ".join(words[-20:]) + " x" * 90 + " " + " ".join(words)), (3, " ".join(words[:20]) + " x" * 90 + " " + " ".join(words[-20:]))]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'mit-text'").orderBy("doc_id", "first_word").collect()
+    k = len(license_scan.words_of(half))
+    assert [(r.doc_id, r.whole) for r in found] == [(1, False), (2, False), (2, True), (3, False), (3, False)]
+    assert (found[0].matched_words, found[0].first_word, found[0].end_word) == (k, 2, 2 + k) and found[0].coverage == k / n
+    assert found[2].coverage == 1
+
+
 def test_license_lines_of_the_documents(docs):
     found = {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()}
     words = lambda t: " ".join(w.decode() for w in license_scan.words_of(t))
