@@ -8,6 +8,8 @@ path of :mod:`riskloom.operators.ordered`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,25 @@ MONEY = "decimal(28,10)"  # exact under adding and subtracting, unlike double
 COUNT_WINDOWS = {"tx_count_5m": SECONDS_5M, "tx_count_1h": SECONDS_1H, "tx_count_24h": SECONDS_24H}
 
 
+#: Amounts that no decimal holds, counted beside the sums of the others: a NaN, an infinity up, an infinity down.
+ODD = {"nan": float("nan"), "up": math.inf, "down": -math.inf}
+
+
+def _finite(amount: Column) -> Column:
+    amount = amount.cast("double")
+    return F.when(amount.isin(*ODD.values()), F.lit(0.0)).otherwise(amount)
+
+
+def _is_odd(kind: str) -> Column:
+    return F.coalesce((F.col("amount").cast("double") == F.lit(ODD[kind])).cast("int"), F.lit(0))
+
+
+def _with_odd(total: Column, nan: Column, up: Column, down: Column) -> Column:
+    """A sum of finite amounts as it is with so many odd ones."""
+    return (F.when((nan > 0) | ((up > 0) & (down > 0)), F.lit(ODD["nan"]))
+            .when(up > 0, F.lit(ODD["up"])).when(down > 0, F.lit(ODD["down"])).otherwise(total))
+
+
 def _range(low: int, high: int = 0):
     return Window.partitionBy(KEY).orderBy(TIME).rangeBetween(low, high)
 
@@ -60,9 +81,14 @@ def amount_1h(tx: DataFrame, window: int = SECONDS_1H, boundary: str = "closed",
         if boundary == "left_open":
             peers = Window.partitionBy(KEY, TIME)
             upto = peers.orderBy(ID).rowsBetween(Window.unboundedPreceding, 0)
-            late = F.sum("amount").over(peers) - F.sum("amount").over(upto)
-            edge = F.coalesce(F.sum("amount").over(_range(-window, -window)), F.lit(0.0))
-            total = total - edge - late
+
+            def inside(value):
+                late = F.sum(value).over(peers) - F.sum(value).over(upto)
+                edge = F.coalesce(F.sum(value).over(_range(-window, -window)), F.lit(0))
+                return F.sum(value).over(_range(-window)) - edge - late
+
+            # an odd amount that is subtracted again would leave NaN
+            total = _with_odd(inside(_finite(F.col("amount"))), *[inside(_is_odd(k)) for k in ODD])
             count = (count - F.count(F.lit(1)).over(_range(-window, -window))
                      - F.count(F.lit(1)).over(peers) + F.row_number().over(peers.orderBy(ID)))
         return df.withColumns({"sum_amount_1h": total, "avg_amount_1h": _ratio(total, count)})
@@ -95,11 +121,16 @@ def _sliced_windows(tx: DataFrame, measures: dict[str, tuple[str, int]], boundar
     """Sliding windows as a running sum of arrivals minus expiries.
 
     A row adds itself at t and removes itself when the window has passed. Arrivals are pre-aggregated per
-    (account, second), so the width of this stream follows elapsed time, not the row count of the account.
+    (account, second), so the width of this stream follows elapsed time, not the row count of the account. Sums are of
+    amounts rounded to the places of ``MONEY``; NaN and infinite amounts are counted beside them.
     """
     expiry = 2 if boundary == "closed" else 0  # arrivals are phase 1
-    tx = tx.withColumn("_money", F.col("amount").cast(MONEY))
-    base = tx.groupBy(KEY, TIME).agg(F.count(F.lit(1)).cast(MONEY).alias("count"), F.sum("_money").cast(MONEY).alias("sum"))
+    sums = [n for n, (kind, _) in measures.items() if kind == "sum"]
+    measures = {**measures, **{f"_{k}_{n}": (k, measures[n][1]) for n in sums for k in ODD}}
+    if sums:
+        tx = tx.withColumns({"_money": _finite(F.col("amount")).cast(MONEY), **{f"_is_{k}": _is_odd(k) for k in ODD}})
+    aggs = [F.sum("_money").cast(MONEY).alias("sum"), *[F.sum(f"_is_{k}").cast(MONEY).alias(k) for k in ODD]] if sums else []
+    base = tx.groupBy(KEY, TIME).agg(F.count(F.lit(1)).cast(MONEY).alias("count"), *aggs)
     zero = F.lit(0).cast(MONEY)
 
     def delta(at: Column, phase: int, values: dict[str, Column]) -> Column:
@@ -122,7 +153,9 @@ def _sliced_windows(tx: DataFrame, measures: dict[str, tuple[str, int]], boundar
     out = null_safe_left(tx, totals, [KEY, TIME])
     if boundary == "left_open" and exclude_later_ties:
         out = _drop_later_ties(out, measures)
-    return out.drop("_money")
+    odd = {n: [f"_{k}_{n}" for k in ODD] for n in sums}
+    out = out.withColumns({n: _with_odd(F.col(n), *map(F.col, cols)) for n, cols in odd.items()})
+    return out.drop("_money", *[f"_is_{k}" for k in ODD], *[c for cols in odd.values() for c in cols])
 
 
 def _presence(tx: DataFrame, name: str, w: int, boundary: str, delta) -> DataFrame:
@@ -139,13 +172,15 @@ def _presence(tx: DataFrame, name: str, w: int, boundary: str, delta) -> DataFra
 
 
 def _drop_later_ties(df: DataFrame, measures: dict) -> DataFrame:
-    peers = df.groupBy(KEY, TIME).agg(F.count(F.lit(1)).alias("_peer_count"), F.sum("_money").alias("_peer_sum"))
-    upto = running(slice_ordered(df, [KEY, TIME], [ID]), [KEY, TIME], [ID],
-                   {"_upto_count": ("count", F.lit(1)), "_upto_sum": ("sum", F.col("_money"))}).drop(SLICE)
+    value = {"count": F.lit(1), "sum": F.col("_money"), **{k: F.col(f"_is_{k}") for k in ODD}}
+    kinds = {kind: value[kind] for kind, _ in measures.values() if kind in value}
+    peers = df.groupBy(KEY, TIME).agg(*[F.sum(v).alias(f"_peer_{k}") for k, v in kinds.items()])
+    upto = running(slice_ordered(df, [KEY, TIME], [ID]), [KEY, TIME], [ID], {f"_upto_{k}": ("sum", v) for k, v in kinds.items()}).drop(SLICE)
     out = null_safe_left(upto, peers, [KEY, TIME])
-    late = {"count": F.col("_peer_count") - F.col("_upto_count"), "sum": (F.col("_peer_sum") - F.col("_upto_sum")).cast("double")}
+    late = {k: F.col(f"_peer_{k}") - F.col(f"_upto_{k}") for k in kinds}
+    late |= {"sum": late["sum"].cast("double")} if "sum" in late else {}
     out = out.withColumns({n: F.col(n) - late[kind] for n, (kind, _) in measures.items()})
-    return out.drop("_peer_count", "_peer_sum", "_upto_count", "_upto_sum")
+    return out.drop(*[f"_{side}_{k}" for side in ("peer", "upto") for k in kinds])
 
 
 def category_presence(tx: DataFrame, categories: list[str], column: str = "device_id", window: int = SECONDS_1H,
@@ -262,7 +297,7 @@ def _sliced_rolling_zscore(tx: DataFrame, window: int) -> DataFrame:
     The squared deviations are subtracted as decimals, so that equal amounts give exactly 0; sums too large for that
     fall back to doubles.
     """
-    centre = round(float(tx.agg(F.avg("amount")).first()[0] or 0.0), 2)
+    centre = round(float(tx.agg(F.avg(_finite(F.col("amount")))).first()[0] or 0.0), 2)
     out = tx.withColumns({"_amount": F.col("amount"), "amount": F.col("amount") - centre})
     out = _sliced_windows(out, {"_s1": ("sum", window), "_n": ("count", window)}, "closed")
     out = out.withColumn("amount", F.col("amount") * F.col("amount"))

@@ -58,6 +58,28 @@ def test_sliced_equals_plain(skewed, name, hot_rows):
     same(collected(plain), collected(mixed))
 
 
+@pytest.mark.parametrize("name", ["amount", "amount_left_open", "expanding", "rolling", "gap_reset"])
+def test_odd_amounts_are_the_same_on_both_paths(skewed, name):
+    """NaN and infinite amounts show in every window that holds them, and in no other."""
+    odd = F.when(F.col("transaction_id") % 97 == 5, F.lit(float("nan"))).when(F.col("transaction_id") % 89 == 7, F.lit(math.inf))
+    rows = skewed.withColumn("amount", odd.when(F.col("transaction_id") % 83 == 9, F.lit(-math.inf)).otherwise(F.col("amount")))
+    plain, sliced = collected(PATHS[name](rows, None)), collected(PATHS[name](rows, 0))
+    close = lambda x, y: math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) or (math.isnan(x) and math.isnan(y))
+    for a, b in zip(plain, sliced, strict=True):
+        assert all(close(x, y) if isinstance(x, float) else x == y for x, y in zip(a, b))
+    if name.startswith("amount"):
+        at = sorted(PATHS[name](rows, 0).columns).index("sum_amount_1h")
+        brute = {}
+        base = rows.collect()
+        for r in base:
+            t = r.event_time_seconds
+            inside = (lambda x: t - 20 <= x.event_time_seconds <= t) if name == "amount" else (
+                lambda x: t - 20 < x.event_time_seconds <= t and (x.event_time_seconds < t or x.transaction_id <= r.transaction_id))
+            brute[r.transaction_id] = sum(x.amount for x in base if x.account_id == r.account_id and inside(x))
+        want = [brute[i] for i in sorted(brute)]
+        assert all(close(a, b[at]) for a, b in zip(want, sliced))
+
+
 def test_too_many_hot_keys_take_the_sliced_path(skewed, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_HOT_KEYS", 3)
     ordinary, hot = ordered.split_hot(skewed, "account_id", 0)
