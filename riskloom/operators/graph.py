@@ -206,11 +206,19 @@ def _small_component(total: float):
     return communities
 
 
+#: Rounds of a level in which all nodes may move at once.
+FREE = 12
+
+
 def communities(link_table: DataFrame, component_table: DataFrame, max_local_links: int = 100_000,
-                rounds: int = 12) -> DataFrame:
+                rounds: int = 200) -> DataFrame:
     """(account, community), a refinement of the components, by Louvain with weight = shared identifiers.
 
-    Components are independent, so those with few links run one per task; larger ones go through distributed rounds.
+    Components are independent, so those with few links run one per task; larger ones go through distributed rounds,
+    where nodes move at the same time and not in turn, so their communities can differ from those of one task. Every
+    level runs until no node moves; a level that has not settled in ``rounds`` rounds, or a component that has not in
+    50 levels, raises an error. Nodes that move at the same time can chase each other for ever, so from round ``FREE``
+    on only moves that share no community with a better one are made: each of those raises modularity.
     """
     weighted = link_table.select("a", "b", F.col("shared").cast("double").alias("w"))
     placed = weighted.join(component_table.select(F.col("account").alias("a"), "component"), "a")
@@ -226,7 +234,7 @@ def communities(link_table: DataFrame, component_table: DataFrame, max_local_lin
     return out.unionByName(_distributed(large, 2 * total, rounds)) if large.take(1) else out
 
 
-def _distributed(edges: DataFrame, total: float, rounds: int, levels: int = 10) -> DataFrame:
+def _distributed(edges: DataFrame, total: float, rounds: int, levels: int = 50) -> DataFrame:
     """Louvain rounds as joins and aggregations; merged communities are the nodes of the next level.
 
     Nodes move at the same time, so a round lets them move only to smaller community names and the next only to larger
@@ -243,12 +251,16 @@ def _distributed(edges: DataFrame, total: float, rounds: int, levels: int = 10)
             quiet = 0 if state.where("moved").take(1) else quiet + 1
             if quiet == 2:
                 break
+        else:
+            raise RuntimeError(f"communities did not settle in {rounds} rounds of a level")
         member = materialise(member.join(state, "node").select("account", F.col("community").alias("node")))
         if not state.where("node <> community").take(1):
             break
         of = lambda name: state.select(F.col("node").alias(name), F.col("community").alias(f"c_{name}"))
         level = materialise(level.join(of("u"), "u").join(of("v"), "v").groupBy(
             F.col("c_u").alias("u"), F.col("c_v").alias("v")).agg(F.sum("w").alias("w")))
+    else:
+        raise RuntimeError(f"communities did not settle in {levels} levels")
     names = member.groupBy("node").agg(F.min("account").alias("community"))
     return member.join(names, "node").select("account", "community")
 
@@ -264,11 +276,20 @@ def _one_round(level: DataFrame, state: DataFrame, total: float, number: int) ->
     stays = F.col("community") == F.col("home")
     others = F.col("volume") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
     gain = F.round(F.col("inside") - others * F.col("k") / total, 9)
-    movable = F.col("community") < F.col("home") if number % 2 == 0 else F.col("community") > F.col("home")
+    movable = F.lit(True) if number >= FREE else F.col("community") < F.col("home") if number % 2 == 0 else F.col("community") > F.col("home")
     best = F.min_by("community", F.struct((-gain).alias("g"), (~stays).cast("int").alias("s"), F.col("community")))
     chosen = options.where(stays | movable).groupBy("node").agg(
-        best.alias("community"), F.first("k").alias("k"), F.first("home").alias("home"))
-    return chosen.select("node", "k", "community", (F.col("community") != F.col("home")).alias("moved"))
+        best.alias("community"), F.first("k").alias("k"), F.first("home").alias("home"),
+        (F.max(gain) - F.max(F.when(stays, gain))).alias("more"))
+    if number < FREE:
+        return chosen.select("node", "k", "community", (F.col("community") != F.col("home")).alias("moved"))
+    chosen = materialise(chosen)
+    rank = F.struct((-F.col("more")).alias("more"), F.col("node"))
+    touched = chosen.where("community <> home").select("node", "more", F.explode(F.array("home", "community")).alias("touched"))
+    first = touched.groupBy("touched").agg(F.min(rank)["node"].alias("node"))
+    alone = first.groupBy("node").count().where("count = 2").select("node", F.lit(True).alias("moved"))
+    out = chosen.join(alone, "node", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    return out.select("node", "k", F.when(F.col("moved"), F.col("community")).otherwise(F.col("home")).alias("community"), "moved")
 
 
 # ---------------------------------------------------------------- rings

@@ -118,3 +118,17 @@ def test_absent_snapshot_is_empty(spark):
 def test_parameter_ranges(bad):
     with pytest.raises(ValueError):
         graph.check_parameters(**bad)
+
+
+def test_distributed_communities_settle_or_fail(spark):
+    links = link_table(spark, BRIDGED)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        graph.communities(links, graph.components(links), max_local_links=0, rounds=2)
+
+
+def test_no_node_wants_to_move_at_the_end(spark, monkeypatch):
+    """The exclusive rounds alone settle a ring of cliques, too."""
+    monkeypatch.setattr(graph, "FREE", 0)
+    links = link_table(spark, BRIDGED)
+    found = {r.account: r.community for r in graph.communities(links, graph.components(links), max_local_links=0).collect()}
+    assert len(found) == 15 and {a: c[0] for a, c in found.items()} == {a: a[0] for a in found}
