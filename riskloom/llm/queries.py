@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, exact_dedup, hmm_lm, language_id, license_scan, near_dedup, packing, quality_rules, toxicity, url_filter
+from riskloom.llm import bpe, exact_dedup, hmm_lm, language_id, license_scan, near_dedup, packing, periodic_runs, quality_rules, toxicity, url_filter
 from riskloom.llm.common import divisible, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -74,8 +76,23 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, listed_hosts(pages))
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a row of ``op11``: of one document in ten, all from some place on repeat with some period."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.summary(documents(spark, folder), change=with_period)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_language_id, op4_bpe, op5_near_dedup, op6_packing, op7_lm_scoring,
-                                   op8_quality_rules, op9_toxicity, op10_url_filter)}
+                                   op8_quality_rules, op9_toxicity, op10_url_filter, op11_periodic_runs)}
 
 _OP1 = r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
 g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
