@@ -7,10 +7,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, byte_bpe, exact_dedup, hmm_lm, language_id, license_scan, near_dedup, packing, periodic_runs, quality_rules, toxicity, url_filter
+from riskloom.llm import alignment, bpe, byte_bpe, exact_dedup, hmm_lm, language_id, license_scan, near_dedup, packing, periodic_runs, quality_rules, toxicity, url_filter
 from riskloom.llm.common import divisible, table
 
 BYTE_BPE, WORD_BPE, RANKED_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -95,9 +96,13 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, folder), vocabulary(RANKED_BPE))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(documents(spark, folder), vocabulary(BYTE_BPE), vocabulary(PIECE_BPE))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_language_id, op4_bpe, op5_near_dedup, op6_packing, op7_lm_scoring,
                                    op8_quality_rules, op9_toxicity, op10_url_filter, op11_periodic_runs,
-                                   op12_byte_bpe)}
+                                   op12_byte_bpe, op13_alignment)}
 
 _OP1 = r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
 g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
