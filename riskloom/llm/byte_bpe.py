@@ -17,10 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +37,7 @@ NEWER_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0,
 NEWER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
                  (0x1E5F1, 0x1E5FA))
 END = 0x110000  # stands after each text
+NONE = np.iinfo(np.int64).max  # rank of a pair that makes no token
 
 #: Symbols: letter, number, other; a blank before a blank or the end; a space, another blank before something else; an apostrophe
 #: before one of s t m d, or re ve ll; the end; padding. The first three, INNER and STOP are classes too.
@@ -142,7 +141,7 @@ class Ranks:
     """A file of ranks, one token and its rank a line; compiled once per Python worker."""
 
     #: Slices whose tokens are kept; only speed depends on it.
-    MEMO = 200_000
+    MEMO = 400_000
     #: Bytes from which on a slice is merged through a heap.
     HEAP_FROM = 48
 
@@ -156,32 +155,65 @@ class Ranks:
         self.sizes = np.array([len(x) for x in self.labels], np.int64)
         self.flat = np.frombuffer(b"".join(self.labels), np.uint8)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        if len(piece) >= self.HEAP_FROM:
-            return self._merged_by_heap(piece)
-        parts, none = [piece[i:i + 1] for i in range(len(piece))], sys.maxsize
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            low = min(pairs)
-            if low == none:
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = sorted((left * len(self.labels) + right, rank) for label, rank in self.ranks.items() for i in range(1, len(label))
+                       if (left := self.ranks.get(label[:i])) is not None and (right := self.ranks.get(label[i:])) is not None)
+        self.pairs, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        self.memo: dict[bytes, bytes] = {}  # slice -> ids
+
+    def learn(self, new: set[bytes]) -> None:
+        """Puts the tokens of slices into the memo: whole tokens at once, long slices one by one, all others side by side."""
+        short = []
+        for piece in new:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self.memo[piece] = whole.to_bytes(4, "little")
+            elif len(piece) >= self.HEAP_FROM:
+                self.memo[piece] = self._merged_by_heap(piece)
+            else:
+                short.append(piece)
+        if short:
+            self.memo.update(zip(short, self._merged_together(short)))
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what two tokens make together, or NONE."""
+        key = left * len(self.labels) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], NONE)
+
+    def _merged_together(self, slices: list[bytes]) -> list[bytes]:
+        """Each round merges the leftmost pair of lowest rank of every slice that has one."""
+        size = np.array([len(x) for x in slices], np.int64)
+        token = self.single[np.frombuffer(b"".join(slices), np.uint8)]
+        row = np.repeat(np.arange(len(slices)), size)
+        out = [b""] * len(slices)
+        rank = np.append(self._pair_ranks(token[:-1], token[1:]), NONE)
+        rank[np.cumsum(size) - 1] = NONE
+        while len(token):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            least = np.minimum.reduceat(rank, first)
+            ready = least == NONE
+            count = np.diff(np.append(first, len(row)))
+            if ready.any():
+                listed = token.astype("<u4").tobytes()
+                for r, a, n in zip(row[first[ready]].tolist(), first[ready].tolist(), count[ready].tolist()):
+                    out[r] = listed[4 * a:4 * (a + n)]
+            if ready.all():
                 break
-            i = pairs.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return tuple(map(ranks.__getitem__, parts))
-
-    def _merged_by_heap(self, piece: bytes) -> tuple[int, ...]:
-        """As ``merged``; parts are ends of a linked list, and pairs in the heap that have changed since are passed over."""
+            at = np.flatnonzero((rank == np.repeat(least, count)) & (rank != NONE))
+            at = at[np.append(True, row[at[1:]] != row[at[:-1]])]
+            token[at] = rank[at]
+            keep = np.repeat(~ready, count)
+            keep[at + 1] = False
+            moved = (np.cumsum(keep) - 1)[at]
+            token, row, rank = token[keep], row[keep], rank[keep]
+            for left in (moved, moved[(moved > 0) & (row[moved - 1] == row[moved])] - 1):
+                right = np.minimum(left + 1, len(token) - 1)
+                rank[left] = np.where((right > left) & (row[right] == row[left]), self._pair_ranks(token[left], token[right]), NONE)
+        return out
+
+    def _merged_by_heap(self, piece: bytes) -> bytes:
+        """Parts are ends of a linked list; pairs in the heap that have changed since are passed over."""
         ranks, n = self.ranks, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
@@ -204,7 +236,7 @@ class Ranks:
         while a < n:
             out.append(ranks[piece[a:end[a]]])
             a = end[a]
-        return tuple(out)
+        return np.array(out, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -215,11 +247,10 @@ class Ranks:
         if len(memo) + len(fresh) > self.MEMO:
             memo.clear()
             fresh = new
-        for piece in fresh:
-            memo[piece] = self.merged(piece)
+        self.learn(fresh)
         out, a = [], 0
         for b in upto.tolist():
-            out.append(np.fromiter(chain.from_iterable(map(memo.__getitem__, found[a:b])), np.uint32))
+            out.append(np.frombuffer(b"".join(map(memo.__getitem__, found[a:b])), "<u4"))
             a = b
         return out
 
