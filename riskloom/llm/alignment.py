@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe import byte_alphabet
+from riskloom.llm.bpe import PATTERN, byte_alphabet
 from riskloom.llm.common import map_batches, map_partitions, small_batches, steps, type_of
 from riskloom.session import materialise
 
@@ -93,14 +94,12 @@ class Sides:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        alphabet = byte_alphabet()
+            spec = json.load(f)
+        vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+        self.encode_a = self._by_ranks(spec, alphabet) or self._by_file(path_a)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
@@ -109,6 +108,31 @@ class Sides:
         #: Ids as text with what follows: inside a group, and at the end of its half.
         self.written = [f"{i}{end}" for count, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(count)]
 
+    @staticmethod
+    def _by_ranks(spec: dict, alphabet: dict[str, int]):
+        """An encoder four times as fast, where it gives the same ids: byte-level merges whose tokens have ids in the order of the
+        merges, pre-split by the pattern of this family, nothing else done to the text."""
+        import tiktoken
+
+        vocab = spec["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        singles = sorted(vocab[c] for c in alphabet if c in vocab)
+        split = spec["pre_tokenizer"] or {}
+        if (spec["normalizer"] or spec["model"].get("dropout") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)
+                or singles != list(range(256)) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges))):
+            return None
+        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items() if i < 256 + len(merges)}
+        encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [encode(t) for t in texts]
+
+    @staticmethod
+    def _by_file(path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _bytes_b(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
@@ -116,8 +140,8 @@ class Sides:
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text by both, or none where the bytes differ."""
         found = []
-        for t, x, y in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            ids, whole = x.ids, b" " + t.encode()
+        for t, ids, y in zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
+            whole = b" " + t.encode()
             same = t and b"".join(map(self.bytes_a.__getitem__, ids)) == whole == b"".join(map(self.bytes_b.__getitem__, y))
             found.append((ids, y) if same else ([], []))
         return found
@@ -129,7 +153,7 @@ class Step:
     def __init__(self, sides: Sides, texts: list[str]):
         tokens = sides.tokens(texts)
         self.n_a, self.n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for t in tokens for i in t[k]), np.int64, int(n.sum())) for k, n in ((0, self.n_a), (1, self.n_b)))
+        a, b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64, int(n.sum())) for k, n in ((0, self.n_a), (1, self.n_b)))
         link_a, link_b, group_a, group_b = merge(np.cumsum(sides.size_a[a]), np.cumsum(sides.size_b[b]))
         self.pairs = a[link_a] << SHIFT | b[link_b]
         of_a, n = np.repeat(np.arange(len(texts)), self.n_a), len(texts)

@@ -71,6 +71,17 @@ def brute(rows):
                     hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for i, na, nb, x, g in found)
 
 
+def test_both_encoders_give_the_same_ids():
+    """Each code point between letters, numbers, marks and blanks, and each token's own text."""
+    own = alignment.sides_of(vocabulary(BYTE_BPE), vocabulary(PIECE_BPE))
+    library = alignment.Sides._by_file(vocabulary(BYTE_BPE))
+    assert "_by_ranks" in own.encode_a.__qualname__
+    texts = [f" a{chr(c)}a1{chr(c)}1!{chr(c)}! {chr(c)} x" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [x.decode("utf-8", "replace") for x in own.bytes_a]
+    for k in range(0, len(texts), 50_000):
+        assert own.encode_a(texts[k:k + 50_000]) == library(texts[k:k + 50_000])
+
+
 def test_query_against_brute_force(spark, small, monkeypatch):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     found = Counter(tuple(r[c] for c in COLUMNS) for r in op13_alignment(spark, small).collect())
