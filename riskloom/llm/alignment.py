@@ -38,7 +38,7 @@ from riskloom.session import materialise
 #: Ends in a piece of the merge.
 PIECE = 256
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of the second id in a pair's number.
 SHIFT = 32
 
@@ -216,7 +216,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
         for batch in batches:
             for ids, text, step in _rows(batch, sides_of(path_a, path_b)):
                 digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in step.groups()]
-                waiting.append((ids, digests, step))
+                waiting.append((ids, digests, {c: getattr(step, c) for c in NUMBERS}, step.pairs))
                 size += text
                 if size >= BLOCK_BYTES:
                     yield block(number, waiting)
@@ -225,20 +225,20 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             yield block(number, waiting)
 
     def block(number, waiting):
-        pairs, place, times = np.unique(np.concatenate([s.pairs for _, _, s in waiting]), return_inverse=True, return_counts=True)
+        pairs, place, times = np.unique(np.concatenate([p for *_, p in waiting]), return_inverse=True, return_counts=True)
         often = np.argsort(-times, kind="stable")  # frequent pairs first: small numbers compress better
         rank = np.empty_like(often)
         rank[often] = np.arange(len(often))
         place, out, start = rank[place].astype("<u4"), [], 0
-        counts = {c: np.concatenate([getattr(s, c) for _, _, s in waiting]) for c in NUMBERS}
+        counts = {c: np.concatenate([counts[c] for _, _, counts, _ in waiting]) for c in NUMBERS}
         zstd = pa.Codec("zstd")
         for n in counts["n_links"].tolist():
             part = place[start:start + n]
             out.append(zstd.compress((part & 0xFFFF).astype("<u2").tobytes() + (part >> 16).astype("<u2").tobytes(), asbytes=True))
             start += n
         rest = [None] * (len(out) - 1)
-        return {id_col: pa.concat_arrays([ids for ids, _, _ in waiting]), "block": np.full(len(out), number), **counts,
-                "groups_sha256": [d for _, ds, _ in waiting for d in ds], "links": out, "pairs": [pairs[often], *rest], "times": [times[often], *rest]}
+        return {id_col: pa.concat_arrays([ids for ids, *_ in waiting]), "block": np.full(len(out), number), **counts,
+                "groups_sha256": [d for _, ds, *_ in waiting for d in ds], "links": out, "pairs": [pairs[often], *rest], "times": [times[often], *rest]}
 
     return map_partitions(_texts(docs, id_col, text_col), run, schema)
 
