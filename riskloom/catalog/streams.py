@@ -13,7 +13,7 @@ from riskloom.operators.decisions import match_watchlist
 from riskloom.plans import analytics, live
 from riskloom.sources import files, tables
 from riskloom.streaming import events as stream
-from riskloom.streaming import monitors, state
+from riskloom.streaming import keyed, monitors, state
 
 
 def _fast(spark, folder):
@@ -22,12 +22,20 @@ def _fast(spark, folder):
     return tx.withColumn("event_ts", F.timestamp_seconds(F.col("event_time_seconds") + tables.FAST_CLOCK_START))
 
 
-def _replayed(df, order=("event_time_seconds", "transaction_id")):
-    return stream.from_table(df.sparkSession, stream.replay(df, list(order)), df.schema)
+def _replayed(df, order=("event_time_seconds", "transaction_id"), last=None):
+    return stream.from_table(df.sparkSession, stream.replay(df, list(order), last=last), df.schema)
+
+
+def _events(spark, folder):
+    """All transactions in the order of their times up to half an hour's shuffle, then a row that moves the watermark past them."""
+    rows = _fast(spark, folder)
+    shuffled = F.col("event_time_seconds") + F.pmod(F.xxhash64("transaction_id"), F.lit(1800))
+    return stream.from_table(spark, stream.replay(rows.withColumn("arrival", shuffled), ["arrival", "transaction_id"], last=stream.heartbeat(rows).withColumn("arrival", F.lit(None).cast("double"))),
+                             rows.schema)
 
 
 def _live(spark, folder):
-    return stream.run(state.live_features(_replayed(_fast(spark, folder))))
+    return stream.run(state.live_features(_events(spark, folder)))
 
 
 # ---------------------------------------------------------------- parsing, sources and sinks
@@ -79,7 +87,7 @@ def src14(spark, folder):
 
 @query("src15_feature_updates", f"WITH {TX} SELECT account_id AS entity_id, count(*) AS updates, 6 AS fields FROM tx GROUP BY account_id")
 def src15(spark, folder):
-    updates = stream.run(stream.feature_updates(state.live_features(_replayed(_fast(spark, folder)))))
+    updates = stream.run(stream.feature_updates(state.live_features(_events(spark, folder))))
     return updates.groupBy("entity_id").agg(F.count(F.lit(1)).alias("updates"), F.max(F.size("updates_applied")).alias("fields"))
 
 
@@ -99,7 +107,7 @@ done AS (SELECT transaction_id, entity_id, t, CASE WHEN listed OR risk_score >=
 
 
 def _scored(spark, folder):
-    return live.scored(_replayed(_fast(spark, folder)), RULES, watchlist(spark, folder))
+    return live.scored(_events(spark, folder), RULES, watchlist(spark, folder))
 
 
 @query("str8_stream_scoring", f"WITH {BURST} SELECT transaction_id, risk_label, risk_score, rules_triggered FROM done")
@@ -110,19 +118,43 @@ def str8(spark, folder):
 @query("job3_live_alerts", f"""WITH {BURST} SELECT transaction_id AS id, entity_id, risk_label, risk_score, tx_count_5m, tx_count_24h, 'open' AS status FROM done""")
 def job3(spark, folder):
     path = files.scratch(spark, "alerts")
-    live.run(_replayed(_fast(spark, folder)), RULES, watchlist(spark, folder), path).awaitTermination()
+    live.run(_events(spark, folder), RULES, watchlist(spark, folder), path).awaitTermination()
+    count = lambda name: F.get_json_object("feature_json", f"$.{name}").cast("long").alias(name)
+    return keyed.read(spark, path).select("id", "entity_id", "risk_label", "risk_score", count("tx_count_5m"), count("tx_count_24h"), "status")
+
+
+@query("job3_messages_to_alerts", f"""WITH {BURST} SELECT transaction_id::VARCHAR AS id, entity_id, risk_label, risk_score, tx_count_5m, tx_count_24h, 'open' AS status FROM done""")
+def job3_messages(spark, folder):
+    """JSON lines to the alert table: out of order by up to half an hour, every seventh message again a quarter of an hour later, broken
+    lines and lines without an entity in between, and a last message that only moves the watermark."""
+    rows = _fast(spark, folder)
+    time = lambda column: F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = lambda ts: F.to_json(F.struct(F.col("transaction_id").cast("string").alias("transaction_id"), "entity_id", "amount", "merchant_id",
+                                         F.col("device_id").alias("device_fingerprint"), time(ts).alias("timestamp")))
+    arrival = F.col("event_time_seconds") + F.pmod(F.xxhash64("transaction_id"), F.lit(1800))
+    whole = rows.select(arrival.alias("arrival"), body(F.col("event_ts")).alias("value"))
+    again = rows.where("transaction_id % 7 = 0").select((arrival + 900).alias("arrival"), body(F.col("event_ts")).alias("value"))
+    broken = rows.where("transaction_id % 11 = 0").select(arrival.alias("arrival"), F.lit('{"transaction_id":"x","am').alias("value"))
+    keyless = rows.where("transaction_id % 13 = 0").select(arrival.alias("arrival"), F.to_json(F.struct(F.lit("y").alias("transaction_id"), "amount")).alias("value"))
+    last = rows.agg(F.max("event_ts").alias("t")).where("t IS NOT NULL").select(F.to_json(F.struct(F.lit("z").alias("transaction_id"), F.lit("closing").alias("entity_id"), F.lit(0.0).alias("amount"),
+                    time(F.col("t") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))).alias("value"))
+    messages = stream.from_text(spark, stream.replay(whole.unionByName(again).unionByName(broken).unionByName(keyless), ["arrival", "value"], text=True, last=last))
+    path = files.scratch(spark, "alerts")
+    live.run_messages(messages, RULES, watchlist(spark, folder), path).awaitTermination()
     count = lambda name: F.get_json_object("feature_json", f"$.{name}").cast("long").alias(name)
-    return spark.read.parquet(path).select("id", "entity_id", "risk_label", "risk_score", count("tx_count_5m"), count("tx_count_24h"), "status")
+    return keyed.read(spark, path).select("id", "entity_id", "risk_label", "risk_score", count("tx_count_5m"), count("tx_count_24h"), "status")
 
 
 @query("src16_scored_alert_sink", f"WITH {PLAIN_ALERTS} SELECT id, risk_label FROM pa")
 def src16(spark, folder):
-    """Every alert arrives twice in the same file and is stored once."""
+    """Every alert arrives in two triggers, every fifth twice in the second, and the second trigger is retried; each is stored once."""
     rows = tables.plain_alerts(spark, folder).select("id", "created_at", "risk_label")
-    twice = stream.from_table(spark, stream.replay(rows.unionByName(rows), ["id"]), rows.schema)
     path = files.scratch(spark, "alerts")
-    stream.start(twice, stream.epoch_table(path, lambda batch: batch.dropDuplicates(["id"]))).awaitTermination()
-    return spark.read.parquet(path).select("id", "risk_label")
+    write = keyed.upsert(path, "id", buckets=16)
+    write(rows, 0)
+    for _ in range(2):
+        write(rows.unionByName(rows.where("id % 5 = 0")).withColumn("risk_label", F.lit("AGAIN")), 1)
+    return keyed.read(spark, path).select("id", "risk_label")
 
 
 @query("src17_fraud_notifications", f"""WITH {PLAIN_ALERTS} SELECT transaction_id, 'FRAUD detected: transaction ' || transaction_id || ', entity ' || entity_id
@@ -179,7 +211,7 @@ def str6(spark, folder):
 count(*) OVER ({W.format(86400)}) - {LATER} AS tx_count_24h FROM tx) SELECT account_id AS entity_id, transaction_id, tx_count_24h FROM z WHERE rn = 1""")
 def str14(spark, folder):
     path, order = files.scratch(spark, "latest"), ["event_ts", "transaction_id"]
-    features = state.live_features(_replayed(_fast(spark, folder)))
+    features = state.live_features(_events(spark, folder))
     stream.start(features, stream.latest_table(path, "entity_id", order)).awaitTermination()
     return stream.read_latest(spark, path, "entity_id", order).select("entity_id", "transaction_id", "tx_count_24h")
 
@@ -234,9 +266,14 @@ def str11(spark, folder):
     return tables.ntz(stream.run(busy), "window_start")
 
 
-@query("str11_opened_windows")
+@query("str11_opened_windows", f"""WITH RECURSIVE {TX}, s AS (SELECT *, row_number() OVER ({SEQ}) AS n FROM tx),
+w AS (SELECT account_id, n, transaction_id, t AS window_start, 1::BIGINT AS window_count FROM s WHERE n = 1
+UNION ALL SELECT s.account_id, s.n, s.transaction_id, CASE WHEN s.t - window_start >= 3600 THEN s.t ELSE window_start END,
+CASE WHEN s.t - window_start >= 3600 THEN 1 ELSE window_count + 1 END FROM w JOIN s ON s.account_id = w.account_id AND s.n = w.n + 1)
+SELECT account_id AS entity_id, transaction_id, window_start::DOUBLE AS window_start, window_count, window_count > 2 AS over_limit FROM w""")
 def str11_opened(spark, folder):
-    return stream.run(state.opened_windows(_replayed(_fast(spark, folder)), 3600, 2))
+    found = stream.run(state.opened_windows(_events(spark, folder), 3600, 2, "1 hour"))
+    return found.select("entity_id", "transaction_id", F.col("window_start"), "window_count", "over_limit")
 
 
 @query("str12_sessions", f"""WITH {PLAIN_ALERTS}, m AS (SELECT *, CASE WHEN lag(created_at) OVER (PARTITION BY entity_id ORDER BY created_at, id) IS NULL

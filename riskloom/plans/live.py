@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.contracts import DEFAULT_THRESHOLD
 from riskloom.operators.decisions import decide, heuristic_score
 from riskloom.streaming import events as stream
+from riskloom.streaming import keyed
 from riskloom.streaming.state import live_features
 
 
@@ -32,7 +33,14 @@ def alert_rows(decided: DataFrame) -> DataFrame:
         "risk_label", F.to_json(features).alias("feature_json"), "rules_triggered", F.lit("open").alias("status"))
 
 
-def run(events: DataFrame, rules, watchlist: DataFrame | None, alert_path: str, **options):
-    """Start the stream; each transaction id appears once in the alert table, also after a retry."""
-    once = lambda batch: alert_rows(batch).dropDuplicates(["transaction_id"])
-    return stream.start(scored(events, rules, watchlist), stream.epoch_table(alert_path, once), **options)
+def run(events: DataFrame, rules, watchlist: DataFrame | None, alert_path: str, delay: str = "1 hour", model=None, buckets: int = 64, **options):
+    """Start the stream. Each transaction id appears once in the alert table (read with ``keyed.read``), also when it comes again
+    in another trigger or a trigger is retried; an event sent again does not reach the features either."""
+    decided = scored(events, rules, watchlist, delay=delay, model=model)
+    write = keyed.upsert(alert_path, "id", buckets=buckets)
+    return stream.start(decided, lambda batch, epoch: write(alert_rows(batch), epoch), **options)
+
+
+def run_messages(messages: DataFrame, rules, watchlist: DataFrame | None, alert_path: str, **options):
+    """As ``run``, from raw messages (``value``, ``arrived_at``); messages without an entity or amount are left out."""
+    return run(stream.for_features(stream.parse(messages)), rules, watchlist, alert_path, **options)

@@ -109,11 +109,11 @@ def run(stream: DataFrame, sink=None, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def replay(df: DataFrame, order: list[str], rows_per_file: int = ROWS_PER_TRIGGER, least: int = 4, text: bool = False) -> str:
+def replay(df: DataFrame, order: list[str], rows_per_file: int = ROWS_PER_TRIGGER, least: int = 4, text: bool = False, last: DataFrame | None = None) -> str:
     """Write a table as files in time order, so that a file stream sees the rows as they happened. Returns the folder.
 
     The order is cut into range slices by one job; the slices are then put into the folder one after another, because a
-    file stream goes by modification time.
+    file stream goes by modification time. ``last`` is a small table that arrives after all others.
     """
     spark = df.sparkSession
     n = max(least, math.ceil(df.count() / rows_per_file))
@@ -123,4 +123,21 @@ def replay(df: DataFrame, order: list[str], rows_per_file: int = ROWS_PER_TRIGGE
     for k in range(n):
         one = ordered.where(F.col(SLICE) == k).select(*df.columns).coalesce(1)
         (one.select("value").write.mode("append").text(path) if text else one.write.mode("append").parquet(path))
+    if last is not None:
+        one = last.coalesce(1)
+        (one.select("value").write.mode("append").text(path) if text else one.write.mode("append").parquet(path))
     return path
+
+
+def heartbeat(df: DataFrame, after: str = "1 day", time: str = "event_ts") -> DataFrame:
+    """A row of nulls with a time ``after`` the last one: it moves the watermark past all rows and is no event itself."""
+    later = df.agg(F.max(time).alias("t"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    fields = [(F.col("t") + F.expr(f"INTERVAL {after}") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return later.select(*fields)
+
+
+def for_features(parsed: DataFrame) -> DataFrame:
+    """Valid messages in the shape that the feature state reads: the device, and the event time in seconds, under their names there."""
+    return parsed.where("valid").select(
+        "transaction_id", "entity_id", "amount", F.col("device_fingerprint").alias("device_id"), "merchant_id", "event_ts",
+        (F.unix_micros("event_ts") / 1_000_000).alias("event_time_seconds"))

@@ -1,130 +1,390 @@
-"""Per-entity feature state on event time.
+"""Per-entity feature state in event order.
 
-One state row per entity holds the running moments, the burst counters, the last device, the sliding seconds and the
-merchants of the last hour. Values older than their window leave the state, so its size follows the window, not the
-number of events. Entities that stay silent for 30 days are removed when the watermark passes.
+Rows wait in the state of their entity until the watermark has passed them and are then taken in order of (event time, id), so
+whatever order they arrive in within the delay, the features are those of the ordered table. A timer per entity releases the rows
+that are due; the delay is therefore what a feature is late by. A row that repeats the id and time of another is the same event, sent
+again: either both wait at once and one is taken, or the watermark has passed the second.
+
+Sliding windows keep one entry a second, in map entries of ``CHUNK`` seconds, a running total per window and the place of its
+oldest second. An event adds to the newest second and moves the places on, each over every second once; nothing else is read, so
+an event costs the same whatever the window holds. Sums of a window are exact (:class:`Exact`), and seconds older than the widest
+window leave the state. The same timer forgets an entity that was silent for 30 days.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.contracts import SECONDS_1H, SECONDS_24H, SECONDS_30D, SECONDS_5M, SHIFT_MEMORY, SHIFT_STICKY
 
-FEATURES = ("entity_id string, transaction_id bigint, event_ts timestamp, amount double, device_id string, merchant_id string, "
-            "burst_count_5m bigint, burst_count_1h bigint, burst_count_24h bigint, burst_sum_1h double, "
-            "tx_count_5m bigint, tx_count_1h bigint, tx_count_24h bigint, sum_amount_1h double, "
-            "unique_merchants_1h int, device_shift int, amount_zscore double")
-STATE = ("n bigint, mean double, m2 double, last double, b5 bigint, b1 bigint, b24 bigint, s1 double, device string, device_at double, "
-         "shift_at double, seconds array<double>, counts array<bigint>, amounts array<double>, merchants array<string>, seen array<double>")
-COMPUTED = [c.split()[0] for c in FEATURES.split(", ")][6:]
+COMPUTED = {"burst_count_5m": "bigint", "burst_count_1h": "bigint", "burst_count_24h": "bigint", "burst_sum_1h": "double",
+            "tx_count_5m": "bigint", "tx_count_1h": "bigint", "tx_count_24h": "bigint", "sum_amount_1h": "double",
+            "unique_merchants_1h": "int", "device_shift": "int", "amount_zscore": "double"}
+WINDOWED = {"window_start": "double", "window_count": "bigint", "over_limit": "boolean"}
 BURSTS = (SECONDS_5M, SECONDS_1H, SECONDS_24H)
+SLIDING = (SECONDS_5M, SECONDS_1H, SECONDS_24H)
+#: Rows of a waiting entry, seconds of a window entry, and merchants of a bucket in the state before buckets double.
+WAITING, CHUNK, BUCKET = 256, 64, 64
 
 
-class Entity:
-    """The state of one entity; :meth:`add` applies an event and returns its features."""
+class Exact:
+    """A sum of doubles as ``m * 2**e``, added to and taken from without rounding; NaN and infinities are counted beside it."""
+
+    def __init__(self, m: int = 0, e: int = 0, nan: int = 0, up: int = 0, down: int = 0):
+        self.m, self.e, self.odd = m, e, [nan, up, down]
+
+    @classmethod
+    def of(cls, x: float) -> Exact:
+        if x != x or x in (math.inf, -math.inf):
+            return cls(0, 0, int(x != x), int(x == math.inf), int(x == -math.inf))
+        fraction, exponent = math.frexp(x)
+        m, e = int(math.ldexp(fraction, 53)), exponent - 53
+        zeros = (m & -m).bit_length() - 1 if m else 0
+        return cls(m >> zeros, e + zeros if m else 0)
+
+    def add(self, other: Exact, sign: int = 1) -> None:
+        if other.m:
+            e = min(self.e, other.e) if self.m else other.e
+            self.m, self.e = (self.m << (self.e - e) if self.m else 0) + sign * (other.m << (other.e - e)), e
+        for k, n in enumerate(other.odd):
+            self.odd[k] += sign * n
+
+    def value(self) -> float:
+        nan, up, down = self.odd
+        if nan or (up and down):
+            return math.nan
+        if up or down:
+            return math.inf if up else -math.inf
+        try:
+            return float(self.m << self.e) if self.e >= 0 else self.m / (1 << -self.e)
+        except OverflowError:
+            return math.inf if self.m > 0 else -math.inf
+
+    def stored(self) -> list[int]:
+        return [self.m, self.e, *self.odd] if any(self.odd) else [self.m, self.e]
+
+
+class Entries:
+    """Map state of JSON values, read once and written back at the end of a call."""
+
+    def __init__(self, state):
+        self.state, self.known, self.changed = state, {}, set()
+
+    def get(self, key):
+        if key not in self.known:
+            found = self.state.getValue((key,))
+            self.known[key] = json.loads(found[0]) if found else None
+        return self.known[key]
+
+    def put(self, key, value) -> None:
+        """A value of None removes the key."""
+        self.known[key] = value
+        self.changed.add(key)
+
+    def write(self) -> None:
+        for key in self.changed:
+            if self.known[key] is None:
+                self.state.removeKey((key,))
+            else:
+                self.state.updateValue((key,), (json.dumps(self.known[key]),))
+        self.known, self.changed = {}, set()
+
+
+class LastSeen:
+    """The last second of each merchant of the last hour, in buckets by hash whose number doubles with the merchants."""
+
+    def __init__(self, head: dict, entries: Entries):
+        self.head, self.entries = head, entries
+        head.setdefault("buckets", 1)
+        head.setdefault("merchants", 0)
+
+    def _bucket(self, merchant: str) -> dict:
+        return self._load(zlib.crc32(merchant.encode()) % self.head["buckets"])
+
+    def _load(self, k: int) -> dict:
+        found = self.entries.get(k)
+        if found is None:
+            self.entries.put(k, found := {})
+        return found
+
+    def get(self, merchant: str) -> float | None:
+        return self._bucket(merchant).get(merchant)
+
+    def put(self, merchant: str, t: float) -> None:
+        bucket = self._bucket(merchant)
+        self.head["merchants"] += merchant not in bucket
+        bucket[merchant] = t
+        self.entries.changed.add(zlib.crc32(merchant.encode()) % self.head["buckets"])
+        if self.head["merchants"] > BUCKET * self.head["buckets"]:
+            self._double()
+
+    def drop(self, merchant: str) -> None:
+        del self._bucket(merchant)[merchant]
+        self.head["merchants"] -= 1
+        self.entries.changed.add(zlib.crc32(merchant.encode()) % self.head["buckets"])
+
+    def _double(self) -> None:
+        n = self.head["buckets"]
+        self.head["buckets"] = 2 * n
+        for k in range(n):
+            halves: tuple[dict, dict] = ({}, {})
+            for m, t in self._load(k).items():
+                halves[zlib.crc32(m.encode()) % (2 * n) >= n][m] = t
+            self.entries.put(k, halves[0])
+            self.entries.put(k + n, halves[1])
+
+
+class Seconds:
+    """The seconds of the widest window: ``head`` holds totals and places, ``entries`` the seconds, ``seen`` each merchant's last one.
+
+    A place is (entry, index in it) of the oldest second that a window still holds. Counts are over [t - w, t], merchants over (t - 1 h, t].
+    """
+
+    def __init__(self, head: dict, entries: Entries, seen: LastSeen):
+        self.head, self.entries, self.seen = head, entries, seen
+        if "at" not in head:
+            head |= {"at": [[0, 0] for _ in range(len(SLIDING) + 1)], "n": [0] * len(SLIDING), "hour": [0, 0], "newest": 0}
+            entries.put(0, [])
+        self.hour = Exact(*head["hour"])
 
-    def __init__(self, stored: tuple | None):
-        (self.n, self.mean, self.m2, self.last, b5, b1, b24, self.s1, self.device, self.device_at, self.shift_at, seconds, counts,
-         amounts, merchants, seen) = stored or (0, 0.0, 0.0, None, 0, 0, 0, 0.0, None, None, None, [], [], [], [], [])
-        self.bursts = [b5, b1, b24]
-        self.recent = list(zip(seconds, counts, amounts))
-        self.merchants = dict(zip(merchants, seen))
+    def _leave(self, place: list[int], low: float, strictly: bool) -> Iterator[list]:
+        """The seconds before ``low`` (or at it), from a place on, which moves past them."""
+        while True:
+            rows = self.entries.get(place[0])
+            if place[1] >= len(rows):
+                if place[0] == self.head["newest"]:
+                    return
+                place[:] = place[0] + 1, 0
+                continue
+            row = rows[place[1]]
+            if row[0] > low or (row[0] == low and strictly):
+                return
+            place[1] += 1
+            yield row
 
-    def stored(self) -> tuple:
-        return (self.n, self.mean, self.m2, self.last, *self.bursts, self.s1, self.device, self.device_at, self.shift_at,
-                [r[0] for r in self.recent], [r[1] for r in self.recent], [r[2] for r in self.recent],
-                list(self.merchants), list(self.merchants.values()))
+    def add(self, t: float, amount: float, merchant: str | None) -> None:
+        head, oldest = self.head, self.head["at"][-2][0]
+        for k, w in enumerate(SLIDING):
+            for row in self._leave(head["at"][k], t - w, True):
+                head["n"][k] -= row[1]
+                if w == SECONDS_1H:
+                    self.hour.add(Exact(*row[2]), -1)
+        for row in self._leave(head["at"][-1], t - SECONDS_1H, False):
+            for m in row[3]:
+                if self.seen.get(m) == row[0]:
+                    self.seen.drop(m)
+        for gone in range(oldest, head["at"][-2][0]):
+            self.entries.put(gone, None)
+        rows = self.entries.get(head["newest"])
+        if not rows or rows[-1][0] != t:
+            if len(rows) >= CHUNK:
+                head["newest"], rows = head["newest"] + 1, []
+            rows.append([t, 0, [0, 0], []])
+        row, one = rows[-1], Exact.of(amount)
+        row[1] += 1
+        whole = Exact(*row[2])
+        whole.add(one)
+        row[2] = whole.stored()
+        self.hour.add(one)
+        head["n"] = [n + 1 for n in head["n"]]
+        if merchant and self.seen.get(merchant) != t:
+            row[3].append(merchant)
+            self.seen.put(merchant, t)
+        self.entries.put(head["newest"], rows)
+
+    def write(self) -> None:
+        self.head["hour"] = self.hour.stored()
+        self.entries.write()
+        self.seen.entries.write()
+
+
+class Entity:
+    """What an entity's events so far leave behind; :meth:`add` takes the next event in order and returns its features."""
+
+    def __init__(self, head: dict, seconds: Seconds):
+        head.setdefault("run", [0, 0.0, 0.0, None, [0, 0, 0], 0.0, None, None, None])
+        self.head, self.seconds = head, seconds
 
     def add(self, t: float, amount: float, device: str | None, merchant: str | None) -> tuple:
-        silence = None if self.last is None else t - self.last
+        n, mean, m2, last, bursts, burst_sum, known, known_at, shift_at = self.head["run"]
+        silence = None if last is None else t - last
         if silence is not None and silence >= SECONDS_30D:
-            self.n, self.mean, self.m2 = 0, 0.0, 0.0
-        self.n += 1
-        delta = amount - self.mean
-        self.mean += delta / self.n
-        self.m2 += delta * (amount - self.mean)
-        std = (self.m2 / (self.n - 1)) ** 0.5 if self.n > 1 else 0.0
+            n, mean, m2 = 0, 0.0, 0.0
+        n += 1
+        delta = amount - mean
+        mean += delta / n
+        m2 += delta * (amount - mean)
+        std = (m2 / (n - 1)) ** 0.5 if n > 1 else 0.0
         expired = [silence is None or silence >= w for w in BURSTS]
-        self.bursts = [1 if gone else b + 1 for gone, b in zip(expired, self.bursts)]
-        self.s1 = amount if expired[1] else self.s1 + amount
-        self._slide(t, amount)
-        if self.device and self.device != (device or "") and t - self.device_at < SHIFT_MEMORY:
-            self.shift_at = t
-        self.device, self.device_at = device or "", t
-        if merchant:
-            self.merchants[merchant] = t
-        self.merchants = {m: at for m, at in self.merchants.items() if at > t - SECONDS_1H}
-        self.last = t if self.last is None else max(t, self.last)
-        within = lambda w: [r for r in self.recent if r[0] >= t - w]
-        hour = within(SECONDS_1H)
-        return (*self.bursts, self.s1, sum(r[1] for r in within(SECONDS_5M)), sum(r[1] for r in hour), sum(r[1] for r in self.recent),
-                sum(r[2] for r in hour), max(len(self.merchants), 1),
-                int(self.shift_at is not None and t - self.shift_at < SHIFT_STICKY), (amount - self.mean) / std if std > 0 else 0.0)
-
-    def _slide(self, t: float, amount: float) -> None:
-        self.recent = [r for r in self.recent if r[0] >= t - SECONDS_24H]
-        if self.recent and self.recent[-1][0] == t:
-            self.recent[-1] = (t, self.recent[-1][1] + 1, self.recent[-1][2] + amount)
-        else:
-            self.recent.append((t, 1, amount))
+        bursts = [1 if gone else b + 1 for gone, b in zip(expired, bursts)]
+        burst_sum = amount if expired[1] else burst_sum + amount
+        if known and known != (device or "") and t - known_at < SHIFT_MEMORY:
+            shift_at = t
+        self.head["run"] = [n, mean, m2, t, bursts, burst_sum, device or "", t, shift_at]
+        self.seconds.add(t, amount, merchant)
+        counts = self.head["n"]
+        return (*bursts, burst_sum, *counts, self.seconds.hour.value(), max(self.head["merchants"], 1),
+                int(shift_at is not None and t - shift_at < SHIFT_STICKY), (amount - mean) / std if std > 0 else 0.0)
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one entity in one trigger, in event order. A trigger admits a bounded number of rows."""
-    parts = list(batches)
-    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-    return rows if len(rows) == 1 else rows.sort_values(["event_time_seconds", "transaction_id"])
+class InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them; :meth:`take` then gets them in order.
 
+    ``keep`` is how many seconds after its last event a key is forgotten.
+    """
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    entity = Entity(state.get if state.exists else None)
-    rows = _ordered(batches)
-    columns = {c: rows[c].tolist() for c in ("event_time_seconds", "amount", "device_id", "merchant_id")}
-    features = [entity.add(*event) for event in zip(*columns.values())]
-    state.update(entity.stored())
-    expires = int((rows["event_ts"].max().timestamp() + SECONDS_30D) * 1000)
-    state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-    passed = {c: rows[c].to_numpy() for c in ("transaction_id", "event_ts", "amount", "device_id", "merchant_id")}
-    yield pd.DataFrame({"entity_id": key[0], **passed, **dict(zip(COMPUTED, zip(*features)))})
+    given: tuple[str, ...] = ()
+    made: dict[str, str] = {}
+    keep: float = SECONDS_30D
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "json string")
+        self.waiting = handle.getMapState("waiting", "entry bigint", "json string")
 
-def live_features(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Features after each event. Needs entity_id, transaction_id, event_ts, event_time_seconds, amount, device_id,
-    merchant_id; rows later than ``delay`` behind the watermark are dropped."""
-    needed = events.select("entity_id", "transaction_id", "event_ts", "event_time_seconds", "amount", "device_id", "merchant_id")
-    return needed.withWatermark("event_ts", delay).groupBy("entity_id").applyInPandasWithState(
-        _update, FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def take(self, head: dict, rows: list[list]) -> list[tuple]:
+        """What is made of each row (event time, id, microseconds, given columns ...); changes ``head``."""
+        raise NotImplementedError
 
+    def forget(self) -> None:
+        """Clears further state of a key."""
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> dict:
+        found = self.head.get()
+        return json.loads(found[0]) if found else {"next": 0, "open": [], "timer": None}
+
+    def _set_timer(self, head: dict, at: int) -> None:
+        if head["timer"] is not None:
+            self.handle.deleteTimer(head["timer"])
+        self.handle.registerTimer(at)
+        head["timer"] = at
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return iter(())
+        new = [list(r[2:]) for r in rows if r.event_us is not None and r.event_time_seconds is not None]  # others have no place in the order
+        if not new:
+            return iter(())
+        new.sort(key=lambda r: r[2])
+        head, waiting = self._read(), Entries(self.waiting)
+        for k in range(0, len(new), WAITING):
+            waiting.put(head["next"], new[k:k + WAITING])
+            head["open"].append([head["next"], new[k][2]])
+            head["next"] += 1
+        waiting.write()
+        at = -(-new[0][2] // 1000)
+        if head["timer"] is None or at < head["timer"]:
+            self._set_timer(head, at)
+        self.head.update((json.dumps(head),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head, waiting, due, still = self._read(), Entries(self.waiting), [], []
+        passed = timerValues.getCurrentWatermarkInMs()
+        for entry, first in head["open"]:
+            if first > passed * 1000:
+                still.append([entry, first])
+                continue
+            rows = waiting.get(entry)
+            due += [r for r in rows if r[2] <= passed * 1000]
+            rest = [r for r in rows if r[2] > passed * 1000]
+            waiting.put(entry, rest or None)
+            if rest:
+                still.append([entry, rest[0][2]])
+        waiting.write()
+        head["open"], head["timer"] = still, None
+        due.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+        due = [r for k, r in enumerate(due) if not k or r[1] is None or r[:2] != due[k - 1][:2]]
+        made = self.take(head, due) if due else []
+        if due:
+            head["last"] = due[-1][2]
+        if still:
+            self._set_timer(head, -(-min(first for _, first in still) // 1000))
+        elif head["last"] // 1000 + int(self.keep * 1000) > passed:
+            self._set_timer(head, head["last"] // 1000 + int(self.keep * 1000))
+        else:
+            self.head.clear()
+            self.forget()
+            head = None
+        if head is not None:
+            self.head.update((json.dumps(head),))
+        out = Row("entity_id", "event_time_seconds", "transaction_id", "event_us", *self.given, *self.made)
+        for row, more in zip(due, made):
+            yield out(key[0], *row, *more)
 
-WINDOWED = "entity_id string, transaction_id bigint, window_start double, window_count bigint, over_limit boolean"
 
+class Features(InOrder):
+    given, made = ("amount", "device_id", "merchant_id"), COMPUTED
 
-def _first_event_window(width: float, limit: int):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        rows = _ordered(batches)
-        out = []
-        for identifier, t in zip(rows["transaction_id"], rows["event_time_seconds"]):
-            if start is None or t - start >= width:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seconds = handle.getMapState("seconds", "entry bigint", "json string")
+        self.seen = handle.getMapState("merchants", "bucket bigint", "json string")
+
+    def take(self, head: dict, rows: list[list]) -> list[tuple]:
+        seconds = Seconds(head, Entries(self.seconds), LastSeen(head, Entries(self.seen)))
+        entity = Entity(head, seconds)
+        made = [entity.add(r[0], *r[3:]) for r in rows]
+        seconds.write()
+        return made
+
+    def forget(self) -> None:
+        self.seconds.clear()
+        self.seen.clear()
+
+
+class OpenedWindows(InOrder):
+    made = WINDOWED
+
+    def __init__(self, width: float, limit: int):
+        self.width, self.limit, self.keep = width, limit, width
+
+    def take(self, head: dict, rows: list[list]) -> list[tuple]:
+        start, count = head.get("window", (None, 0))
+        made = []
+        for t, *_ in rows:
+            if start is None or t - start >= self.width:
                 start, count = t, 0
             count += 1
-            out.append((key[0], identifier, start, count, count > limit))
-        state.update((start, count))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWED.split(", ")])
-    return update
+            made.append((start, count, count > self.limit))
+        head["window"] = [start, count]
+        return made
+
+
+def _in_order(events: DataFrame, processor: InOrder, delay: str) -> DataFrame:
+    names = ["event_time_seconds", "transaction_id", *processor.given]
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    kinds = {c: "double" if c in ("event_time_seconds", "amount") else fields[c] for c in names}
+    needed = events.select("entity_id", "event_ts", *[F.col(c).cast(kinds[c]).alias(c) for c in names[:2]], F.unix_micros("event_ts").alias("event_us"),
+                           *[F.col(c).cast(kinds[c]).alias(c) for c in names[2:]])
+    out = {"entity_id": fields["entity_id"], "event_time_seconds": kinds["event_time_seconds"], "transaction_id": kinds["transaction_id"], "event_us": "bigint",
+           **{c: kinds[c] for c in processor.given}, **processor.made}
+    made = needed.withWatermark("event_ts", delay).groupBy("entity_id").transformWithState(
+        processor, ", ".join(f"{c} {k}" for c, k in out.items()), "append", "eventTime")
+    return made.select("entity_id", "transaction_id", F.timestamp_micros("event_us").alias("event_ts"), *processor.given, *processor.made)
+
+
+def live_features(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Features after each event, in event order, once the watermark has passed it.
+
+    Needs entity_id, transaction_id (a number or a string), event_ts, event_time_seconds, amount, device_id, merchant_id. Event
+    times and timestamps must agree in order. Rows later than ``delay`` behind the newest are dropped; rows without an entity or
+    a time only move the watermark.
+    """
+    return _in_order(events, Features(), delay)
 
 
-def opened_windows(events: DataFrame, width: float = 60, limit: int = 100) -> DataFrame:
-    """Events counted in windows that the first event of a key opens; ``over_limit`` beyond ``limit``."""
-    needed = events.select("entity_id", "transaction_id", "event_time_seconds")
-    return needed.groupBy("entity_id").applyInPandasWithState(
-        _first_event_window(width, limit), WINDOWED, "start double, count bigint", "append", GroupStateTimeout.NoTimeout)
+def opened_windows(events: DataFrame, width: float = 60, limit: int = 100, delay: str = "1 minute") -> DataFrame:
+    """Events counted in windows that the first event of a key opens; ``over_limit`` beyond ``limit``. A key's window is forgotten
+    once the watermark is ``width`` seconds past its last event."""
+    return _in_order(events, OpenedWindows(width, limit), delay)

@@ -1,41 +1,166 @@
 """State and windows on streams against brute force."""
 
+import json
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.sources import files, tables
+from riskloom.sources import files
 from riskloom.streaming import events as stream
-from riskloom.streaming import monitors, state
-from riskloom.streaming.state import Entity
+from riskloom.streaming import keyed, monitors, state
+from riskloom.streaming.state import Entity, Entries, Exact, LastSeen, Seconds
+
+
+class Kept:
+    """Map state that survives between calls."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.rows.pop(key, None)
+
+
+def features_of(rows, calls):
+    """Features of one entity's rows, the state stored and read between ``calls`` parts; also the state that is left."""
+    seconds, seen, head, out = Kept(), Kept(), {}, []
+    for part in calls(rows):
+        window = Seconds(head, Entries(seconds), LastSeen(head, Entries(seen)))
+        entity = Entity(head, window)
+        out += [entity.add(*r) for r in part]
+        window.write()
+        head = json.loads(json.dumps(head))
+    return out, seconds, head
+
+
+ROWS = st.lists(st.tuples(st.one_of(st.integers(0, 400), st.integers(0, 200_000)), st.sampled_from([0.1, 3e-11, 1e19, -1e19, -0.7, 5e-324, 1e300]),
+                          st.sampled_from(["a", "b", None]), st.sampled_from(["m1", "m2", "m3", None, ""])), max_size=40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(ROWS, st.integers(1, 7))
+def test_features_equal_brute_force(rows, size):
+    rows = [(float(t), *r) for t, *r in sorted(rows, key=lambda r: r[0])]
+    found, _, _ = features_of(rows, lambda r: (r[k:k + size] for k in range(0, len(r), size)))
+    for k, (t, *_) in enumerate(rows):
+        before = rows[:k + 1]
+        within = lambda w: [r for r in before if r[0] >= t - w]
+        assert found[k][4:7] == (len(within(300)), len(within(3600)), len(within(86400)))
+        assert found[k][7] == float(sum(Fraction(r[1]) for r in within(3600)))
+        assert found[k][8] == max(1, len({r[3] for r in before if r[0] > t - 3600 and r[3]}))
+
+
+def test_state_follows_the_window_not_the_events():
+    rows = [(float(t), 1.0, "d", f"m{t % 5000}") for t in range(0, 1_200_000, 60)]
+    found, seconds, head = features_of(rows, lambda r: (r[k:k + 700] for k in range(0, len(r), 700)))
+    assert found[-1][6] == 1441 and found[-1][8] == 60
+    assert len(seconds.rows) <= 1441 // 64 + 2 and head["merchants"] == 60
 
 
-def test_entity_state_round_trip():
-    entity = Entity(None)
-    for i, (t, a) in enumerate([(0, 5.0), (0, 7.0), (100, 1.0), (90000, 4.0)]):
-        entity.add(t, a, f"d{i % 2}", f"m{i}")
-        entity = Entity(entity.stored())
-    assert entity.n == 4 and entity.recent == [(90000, 1, 4.0)] and list(entity.merchants) == ["m3"]
-    assert entity.bursts == [1, 1, 1]
+def test_an_event_reads_little_of_a_wide_window():
+    seconds, seen, head, reads = Kept(), Kept(), {}, []
+    window = Seconds(head, Entries(seconds), LastSeen(head, Entries(seen)))
+    for t in range(20_000):
+        window.add(float(t), 1.0, f"m{t}")
+    window.write()
+    for kept in (seconds, seen):
+        kept.getValue = lambda key, kept=kept: reads.append(key) or kept.rows.get(key)
+    window = Seconds(head, Entries(seconds), LastSeen(head, Entries(seen)))
+    window.add(20_000.0, 1.0, "m20000")
+    assert len(reads) <= 8 and max(len(json.loads(v[0])) for v in seen.rows.values()) < 200
+
+
+def test_exact_sums():
+    total = Exact()
+    for x in (1e308, 1e308, -1e308, 3e-11, 5e-324, 1e19, -1e19):
+        total.add(Exact.of(x))
+    assert total.value() == 1e308
+    total.add(Exact.of(1e308), -1)
+    assert total.value() == 3e-11 and Exact(*json.loads(json.dumps(total.stored()))).value() == 3e-11
+    total.add(Exact.of(float("inf")))
+    assert total.value() == float("inf")
+    total.add(Exact.of(float("nan")))
+    assert total.value() != total.value()
+    total.add(Exact.of(float("nan")), -1)
+    total.add(Exact.of(float("inf")), -1)
+    assert total.value() == 3e-11
 
 
 def test_state_is_forgotten_after_thirty_days():
-    entity = Entity(None)
-    entity.add(0, 5.0, "d", "m")
-    entity.add(1, 9.0, "d", "m")
-    assert entity.add(3_000_000, 7.0, "d", "m")[-1] == 0 and entity.n == 1
-
-
-def test_opened_windows(spark, small):
-    tx = tables.transactions(spark, small).withColumnRenamed("account_id", "entity_id")
-    rows = stream.from_table(spark, stream.replay(tx, ["event_time_seconds", "transaction_id"]), tx.schema)
-    found = {r.transaction_id: (r.window_start, r.window_count) for r in stream.run(state.opened_windows(rows, 600, 2)).collect()}
-    expected, open_at = {}, {}
-    for r in sorted(tx.collect(), key=lambda r: (r.event_time_seconds, r.transaction_id)):
-        start, count = open_at.get(r.entity_id, (None, 0))
-        if start is None or r.event_time_seconds - start >= 600:
-            start, count = r.event_time_seconds, 0
-        open_at[r.entity_id] = (start, count + 1)
-        expected[r.transaction_id] = (start, count + 1)
-    assert found == expected
+    (_, _, found), _, _ = features_of([(0.0, 5.0, "d", "m"), (1.0, 9.0, "d", "m"), (3_000_000.0, 7.0, "d", "m")], lambda r: [r])
+    assert found[-1] == 0 and found[0] == 1
+
+
+EVENTS = "entity_id string, transaction_id long, event_time_seconds double, amount double, device_id string, merchant_id string"
+
+
+def sent(spark, *files_):
+    """A stream of one file per trigger from rows (entity, id, seconds)."""
+    path, schema = files.scratch(spark, "in"), None
+    for rows in files_:
+        batch = spark.createDataFrame([(e, i, None if t is None else float(t), 1.0, "d", "m") for e, i, t in rows], EVENTS).withColumn(
+            "event_ts", F.timestamp_seconds(F.col("event_time_seconds") + 1_700_000_000)).coalesce(1)
+        batch.write.mode("append").parquet(path)
+        schema = batch.schema
+    return stream.from_table(spark, path, schema)
+
+
+def test_rows_out_of_order_count_as_in_order(spark):
+    """After 1000 and 4000 comes 3000: it is counted at its own time; a row sent again counts once; one without an entity or a time not at all."""
+    events = sent(spark, [("a", 1, 1000), ("a", 2, 4000)], [("a", 3, 3000), ("a", 2, 4000), ("b", 9, 3500)], [(None, 8, 3600), ("a", 7, None), ("x", 0, 90_000)])
+    found = {r.transaction_id: r.tx_count_1h for r in stream.run(state.live_features(events)).collect()}
+    assert found == {1: 1, 3: 2, 2: 3, 9: 1}
+
+
+def test_opened_windows_expire(spark):
+    events = sent(spark, [("a", 1, 0), ("a", 2, 599), ("b", 3, 10)], [("a", 5, 1300), ("a", 4, 650)], [("z", 6, 9000)], [("z", 7, 19_000)])
+    path, checkpoint = files.scratch(spark, "out"), files.scratch(spark, "stream")
+    stream.start(state.opened_windows(events, 600, 1, "15 minutes"), path, checkpoint=checkpoint).awaitTermination()
+    found = {r.transaction_id: (r.window_start, r.window_count, r.over_limit) for r in spark.read.parquet(path).collect()}
+    assert found == {1: (0.0, 1, False), 2: (0.0, 2, True), 3: (10.0, 1, False), 4: (650.0, 1, False), 5: (1300.0, 1, False), 6: (9000.0, 1, False)}
+    heads = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "head").load()
+    assert {r.key.entity_id for r in heads.collect()} == {"z"}
+
+
+def test_alert_table_takes_an_id_once(spark):
+    path = files.scratch(spark, "alerts")
+    make = lambda rows: spark.createDataFrame(rows, "id string, v long")
+    first = keyed.upsert(path, "id", buckets=4)
+    with pytest.raises(ValueError):
+        keyed.read(spark, path)
+    first(make([("a", 1), ("b", 1), ("b", 1), (None, 5)]), 0)
+    first(make([("a", 2), ("c", 2)]), 1)
+    first(make([("c", 3), ("d", 3)]), 1)  # a retry of a trigger that is in the manifest
+    first(make([]), 2)
+    assert {(r.id, r.v) for r in keyed.read(spark, path).collect()} == {("a", 1), ("b", 1), ("c", 2)}
+    latest = keyed.upsert(path + "-latest", "id", ["v"], 4)
+    latest(make([("a", 2), ("b", 7)]), 0)
+    latest(make([("a", 1), ("b", 9)]), 1)
+    assert {(r.id, r.v) for r in keyed.read(spark, path + "-latest").collect()} == {("a", 2), ("b", 9)}
+
+
+def test_a_trigger_that_broke_off_is_not_seen(spark, monkeypatch):
+    """Files without a manifest row are not read, and the retry takes their place."""
+    path, put = files.scratch(spark, "alerts"), keyed._put
+    make = lambda rows: spark.createDataFrame(rows, "id string, v long")
+    write = keyed.upsert(path, "id", buckets=2)
+    write(make([("a", 1)]), 0)
+    monkeypatch.setattr(keyed, "_put", lambda rows, where, *folders: put(rows, where, *folders) if where.endswith("data") else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write(make([("b", 1), ("c", 1)]), 1)
+    assert {r.id for r in keyed.read(spark, path).collect()} == {"a"}
+    monkeypatch.setattr(keyed, "_put", put)
+    write(make([("b", 1), ("c", 1)]), 1)
+    assert {r.id for r in keyed.read(spark, path).collect()} == {"a", "b", "c"}
 
 
 def test_late_rows_are_dropped_and_counted(spark):
