@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.registry import query
 from riskloom.catalog.sqlparts import FEATURES, LATEST_FEEDBACK, PLAIN_ALERTS, TX
 from riskloom.operators import features, ranking
+from riskloom.operators.ordered import HOT_ROWS
 from riskloom.sources import tables
 
 W = "PARTITION BY account_id ORDER BY t RANGE BETWEEN {} PRECEDING AND CURRENT ROW"
@@ -33,15 +34,42 @@ def win2(spark, folder):
     return out.select("transaction_id", "tx_count_5m", "tx_count_1h", "tx_count_24h")
 
 
-@query("win3_amount_1h", f"""WITH {TX}
+WIN3 = f"""WITH {TX}
 SELECT transaction_id, round(sum(amount) OVER ({W.format(3600)}), 6) AS sum_amount_1h,
-       round(sum(amount) OVER ({W.format(3600)}) / count(*) OVER ({W.format(3600)}), 6) AS avg_amount_1h FROM tx""")
-def win3(spark, folder):
-    out = features.amount_1h(tables.transactions(spark, folder))
+       round(sum(amount) OVER ({W.format(3600)}) / count(*) OVER ({W.format(3600)}), 6) AS avg_amount_1h FROM tx"""
+
+
+@query("win3_amount_1h", WIN3)
+def win3(spark, folder, hot_rows=HOT_ROWS):
+    out = features.amount_1h(tables.transactions(spark, folder), hot_rows=hot_rows)
     return out.select("transaction_id", F.round("sum_amount_1h", 6).alias("sum_amount_1h"),
                       F.round("avg_amount_1h", 6).alias("avg_amount_1h"))
 
 
+@query("win3_amount_1h_sliced", WIN3)
+def win3_sliced(spark, folder):
+    """Every account as a hot one."""
+    return win3(spark, folder, 0)
+
+
+@query("win3_exact_sums", f"""WITH {TX}, far AS (SELECT *, CASE transaction_id % 4 WHEN 0 THEN 1e19::DOUBLE WHEN 1 THEN -1e19::DOUBLE WHEN 2 THEN 3e-11::DOUBLE ELSE amount END AS x FROM tx),
+n AS (SELECT transaction_id, count(*) FILTER (WHERE x = 1e19::DOUBLE) OVER w - count(*) FILTER (WHERE x = -1e19::DOUBLE) OVER w AS large,
+  coalesce(sum(round(x * 100)::HUGEINT) FILTER (WHERE transaction_id % 4 = 3) OVER w, 0) AS cents, count(*) FILTER (WHERE x = 3e-11::DOUBLE) OVER w AS small FROM far WINDOW w AS ({W.format(3600)}))
+SELECT transaction_id, large, round((cents * 1000000000 + small * 3) / 1e11::DOUBLE, 9) AS rest FROM n""")
+def win3_exact(spark, folder):
+    """Amounts of 1e19, -1e19, 3e-11 and between: what is left of a sum less its large amounts has all its digits, as only an exact sum has. Every account is hot."""
+    far = F.when(F.col("transaction_id") % 4 == 0, 1e19).when(F.col("transaction_id") % 4 == 1, -1e19).when(F.col("transaction_id") % 4 == 2, 3e-11).otherwise(F.col("amount"))
+    tx = tables.transactions(spark, folder).withColumn("amount", far)
+    whole = features.amount_1h(tx, hot_rows=0)
+    large = F.when(F.abs("amount") == 1e19, F.signum("amount")).otherwise(0.0)
+    less = features.amount_1h(whole.drop("sum_amount_1h", "avg_amount_1h").withColumn("amount", F.when(large != 0, 0.0).otherwise(F.col("amount"))), hot_rows=0)
+    counts = features.amount_1h(tx.withColumn("amount", large), hot_rows=0).select("transaction_id", F.col("sum_amount_1h").cast("long").alias("large"))
+    exact = whole.select("transaction_id", F.col("sum_amount_1h").alias("whole")).join(counts, "transaction_id")
+    out = exact.join(less.select("transaction_id", F.col("sum_amount_1h").alias("rest")), "transaction_id")
+    wrong = F.when((F.col("large") == 0) & (F.col("whole") != F.col("rest")), F.lit(float("nan"))).otherwise(F.col("rest"))
+    return out.select("transaction_id", "large", F.round(wrong, 9).alias("rest"))
+
+
 @query("win4_distinct_merchants", f"""WITH {TX}
 SELECT transaction_id, len(list_distinct(list(merchant_id) OVER ({W.format(3600)}))) AS unique_merchants_1h FROM tx""")
 def win4(spark, folder):
@@ -95,17 +123,26 @@ def win9(spark, folder):
     return out.select("transaction_id", F.round("amount_zscore", 6).alias("amount_zscore"))
 
 
-@query("win10_zscore_rolling_30d", f"""WITH {TX.replace(
+WIN10 = f"""WITH {TX.replace(
     "CAST(floor((epoch_us(ts) - 1704067200000000) / 60000000) AS BIGINT)", "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)")}
 SELECT transaction_id, round(CASE WHEN coalesce(stddev_samp(amount) OVER r, 0) > 0
        THEN (amount - avg(amount) OVER r) / stddev_samp(amount) OVER r ELSE 0.0 END, 6) AS amount_zscore
-FROM tx WINDOW r AS ({W.format(864000)})""")
-def win10(spark, folder):
+FROM tx WINDOW r AS ({W.format(864000)})"""
+
+
+@query("win10_zscore_rolling_30d", WIN10)
+def win10(spark, folder, hot_rows=HOT_ROWS):
     """Ten days on the real clock: the tables span thirty, so a 30-day frame would never slide."""
-    out = features.amount_zscore(tables.transactions(spark, folder, clock="real"), mode="rolling_30d", window=864000)
+    out = features.amount_zscore(tables.transactions(spark, folder, clock="real"), mode="rolling_30d", window=864000, hot_rows=hot_rows)
     return out.select("transaction_id", F.round("amount_zscore", 6).alias("amount_zscore"))
 
 
+@query("win10_zscore_sliced", WIN10)
+def win10_sliced(spark, folder):
+    """Every account as a hot one."""
+    return win10(spark, folder, 0)
+
+
 def _burst_sql(width: int, value: str, name: str) -> str:
     return f"""WITH {TX},
 marked AS (SELECT *, CASE WHEN lag(t) OVER ({SEQ}) IS NULL OR t - lag(t) OVER ({SEQ}) >= {width} THEN 1 ELSE 0 END AS s FROM tx),

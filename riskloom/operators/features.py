@@ -9,38 +9,20 @@ path of :mod:`riskloom.operators.ordered`.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contracts import SECONDS_1H, SECONDS_24H, SECONDS_30D, SECONDS_5M, SHIFT_MEMORY, SHIFT_STICKY
+from riskloom.functions.exact import ExactSum, Grid, finite, product
 from riskloom.operators.ordered import HOT_ROWS, SLICE, by_heat, null_safe_left, running, slice_ordered
 
 KEY, TIME, ID = "account_id", "event_time_seconds", "transaction_id"
 ORDER = [TIME, ID]
-MONEY = "decimal(28,10)"  # exact under adding and subtracting, unlike double
 COUNT_WINDOWS = {"tx_count_5m": SECONDS_5M, "tx_count_1h": SECONDS_1H, "tx_count_24h": SECONDS_24H}
 
 
-#: Amounts that no decimal holds, counted beside the sums of the others: a NaN, an infinity up, an infinity down.
-ODD = {"nan": float("nan"), "up": math.inf, "down": -math.inf}
-
-
-def _finite(amount: Column) -> Column:
-    amount = amount.cast("double")
-    return F.when(amount.isin(*ODD.values()), F.lit(0.0)).otherwise(amount)
-
-
-def _is_odd(kind: str) -> Column:
-    return F.coalesce((F.col("amount").cast("double") == F.lit(ODD[kind])).cast("int"), F.lit(0))
-
-
-def _with_odd(total: Column, nan: Column, up: Column, down: Column) -> Column:
-    """A sum of finite amounts as it is with so many odd ones."""
-    return (F.when((nan > 0) | ((up > 0) & (down > 0)), F.lit(ODD["nan"]))
-            .when(up > 0, F.lit(ODD["up"])).when(down > 0, F.lit(ODD["down"])).otherwise(total))
-
-
 def _range(low: int, high: int = 0):
     return Window.partitionBy(KEY).orderBy(TIME).rangeBetween(low, high)
 
@@ -72,34 +54,50 @@ def velocity(tx: DataFrame, windows: dict[str, int] | None = None, boundary: str
     return by_heat(tx, KEY, plain, sliced, hot_rows)
 
 
+def _total(column: str) -> str:
+    return f"{column}_total"
+
+
 def amount_1h(tx: DataFrame, window: int = SECONDS_1H, boundary: str = "closed",
-              hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``sum_amount_1h`` and ``avg_amount_1h`` over the trailing window."""
+              hot_rows: int | None = HOT_ROWS, amounts: ExactSum | None = None) -> DataFrame:
+    """``sum_amount_1h`` and ``avg_amount_1h`` over the trailing window. The sum is the exact one, rounded once."""
+    amounts = amounts or _amounts(tx)
 
     def plain(df):
-        total, count = F.sum("amount").over(_range(-window)), F.count(F.lit(1)).over(_range(-window))
+        count, frame = F.count(F.lit(1)).over(_range(-window)), _range(-window)
+        inside = lambda value: F.sum(value).over(frame)
         if boundary == "left_open":
             peers = Window.partitionBy(KEY, TIME)
             upto = peers.orderBy(ID).rowsBetween(Window.unboundedPreceding, 0)
 
             def inside(value):
                 late = F.sum(value).over(peers) - F.sum(value).over(upto)
-                edge = F.coalesce(F.sum(value).over(_range(-window, -window)), F.lit(0))
-                return F.sum(value).over(_range(-window)) - edge - late
+                return F.sum(value).over(frame) - F.coalesce(F.sum(value).over(_range(-window, -window)), F.lit(0)) - late
 
-            # an odd amount that is subtracted again would leave NaN
-            total = _with_odd(inside(_finite(F.col("amount"))), *[inside(_is_odd(k)) for k in ODD])
             count = (count - F.count(F.lit(1)).over(_range(-window, -window))
                      - F.count(F.lit(1)).over(peers) + F.row_number().over(peers.orderBy(ID)))
-        return df.withColumns({"sum_amount_1h": total, "avg_amount_1h": _ratio(total, count)})
+        out = df.withColumns(amounts.given(F.col("amount")))
+        out = out.withColumns({_total(c): inside(F.col(c)) for c in amounts.columns} | {"_n": count})
+        return _summed(out, amounts)
 
     def sliced(df):
-        out = _sliced_windows(df, {"sum_amount_1h": ("sum", window), "_n": ("count", window)}, boundary)
-        return out.withColumn("avg_amount_1h", _ratio(F.col("sum_amount_1h"), F.col("_n"))).drop("_n")
+        measures = {_total(c): ("total", window, c) for c in amounts.columns} | {"_n": ("count", window)}
+        return _summed(_sliced_windows(df.withColumns(amounts.given(F.col("amount"))), measures, boundary), amounts)
 
     return by_heat(tx, KEY, plain, sliced, hot_rows)
 
 
+def _amounts(tx: DataFrame) -> ExactSum:
+    return ExactSum(Grid.covering(tx, F.col("amount")), "amount")
+
+
+def _summed(df: DataFrame, amounts: ExactSum) -> DataFrame:
+    """Sum and mean from the totals, which go."""
+    out = df.withColumn("sum_amount_1h", amounts.value(lambda c: F.col(_total(c))))
+    out = out.withColumn("avg_amount_1h", _ratio(F.col("sum_amount_1h"), F.col("_n")))
+    return out.drop("_n", *amounts.columns, *map(_total, amounts.columns))
+
+
 def distinct_merchants(tx: DataFrame, window: int = SECONDS_1H, boundary: str = "closed",
                        hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Distinct merchants in the trailing window, at least 1. ``left_open`` is what the live sorted set holds."""
@@ -116,46 +114,35 @@ def distinct_merchants(tx: DataFrame, window: int = SECONDS_1H, boundary: str =
     return by_heat(tx, KEY, plain, sliced, hot_rows)
 
 
-def _sliced_windows(tx: DataFrame, measures: dict[str, tuple[str, int]], boundary: str,
-                    exclude_later_ties: bool = True) -> DataFrame:
+def _sliced_windows(tx: DataFrame, measures: dict[str, tuple], boundary: str, exclude_later_ties: bool = True) -> DataFrame:
     """Sliding windows as a running sum of arrivals minus expiries.
 
     A row adds itself at t and removes itself when the window has passed. Arrivals are pre-aggregated per
-    (account, second), so the width of this stream follows elapsed time, not the row count of the account. Sums are of
-    amounts rounded to the places of ``MONEY``; NaN and infinite amounts are counted beside them.
+    (account, second), so the width of this stream follows elapsed time, not the row count of the account. ``measures`` are
+    ("count", window), ("distinct", window) or ("total", window, a column of longs); all are exact.
     """
     expiry = 2 if boundary == "closed" else 0  # arrivals are phase 1
-    sums = [n for n, (kind, _) in measures.items() if kind == "sum"]
-    measures = {**measures, **{f"_{k}_{n}": (k, measures[n][1]) for n in sums for k in ODD}}
-    if sums:
-        tx = tx.withColumns({"_money": _finite(F.col("amount")).cast(MONEY), **{f"_is_{k}": _is_odd(k) for k in ODD}})
-    aggs = [F.sum("_money").cast(MONEY).alias("sum"), *[F.sum(f"_is_{k}").cast(MONEY).alias(k) for k in ODD]] if sums else []
-    base = tx.groupBy(KEY, TIME).agg(F.count(F.lit(1)).cast(MONEY).alias("count"), *aggs)
-    zero = F.lit(0).cast(MONEY)
+    given = sorted({m[2] for m in measures.values() if m[0] == "total"})
+    base = tx.groupBy(KEY, TIME).agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).alias(c) for c in given])
+    zero, column = F.lit(0).cast("long"), {n: m[2] if m[0] == "total" else m[0] for n, m in measures.items()}
 
     def delta(at: Column, phase: int, values: dict[str, Column]) -> Column:
         return F.struct(at.alias("at"), F.lit(phase).alias("phase"),
-                        *[values.get(n, zero).cast(MONEY).alias(n) for n in measures])
+                        *[values.get(n, zero).cast("long").alias(n) for n in measures])
 
-    adds = {n: F.col(kind) for n, (kind, _) in measures.items() if kind != "distinct"}
-    steps = [delta(F.col(TIME), 1, adds)]
-    steps += [delta(F.col(TIME) + w, expiry, {n: -F.col(kind)})
-              for n, (kind, w) in measures.items() if kind != "distinct"]
+    steps = [delta(F.col(TIME), 1, {n: F.col(c) for n, c in column.items() if c != "distinct"})]
+    for w in sorted({m[1] for m in measures.values()}):
+        leaving = {n: -F.col(c) for n, c in column.items() if c != "distinct" and measures[n][1] == w}
+        steps += [delta(F.col(TIME) + w, expiry, leaving)] if leaving else []
     stream = base.select(KEY, F.inline(F.array(*steps)))
-    for name, (kind, w) in measures.items():
+    for name, (kind, w, *_) in measures.items():
         if kind == "distinct":
             stream = stream.unionByName(_presence(tx, name, w, boundary, delta))
-    stream = stream.groupBy(KEY, "at", "phase").agg(*[F.sum(n).cast(MONEY).alias(n) for n in measures])
+    stream = stream.groupBy(KEY, "at", "phase").agg(*[F.sum(n).alias(n) for n in measures])
     totals = running(slice_ordered(stream, [KEY], ["at", "phase"]), [KEY], ["at", "phase"],
                      {n: ("sum", F.col(n)) for n in measures}).where(F.col("phase") == 1)
-    typed = [F.col(n).cast("double" if kind == "sum" else "long").alias(n) for n, (kind, _) in measures.items()]
-    totals = totals.select(KEY, F.col("at").alias(TIME), *typed)
-    out = null_safe_left(tx, totals, [KEY, TIME])
-    if boundary == "left_open" and exclude_later_ties:
-        out = _drop_later_ties(out, measures)
-    odd = {n: [f"_{k}_{n}" for k in ODD] for n in sums}
-    out = out.withColumns({n: _with_odd(F.col(n), *map(F.col, cols)) for n, cols in odd.items()})
-    return out.drop("_money", *[f"_is_{k}" for k in ODD], *[c for cols in odd.values() for c in cols])
+    out = null_safe_left(tx, totals.select(KEY, F.col("at").alias(TIME), *measures), [KEY, TIME])
+    return _drop_later_ties(out, column) if boundary == "left_open" and exclude_later_ties else out
 
 
 def _presence(tx: DataFrame, name: str, w: int, boundary: str, delta) -> DataFrame:
@@ -171,16 +158,14 @@ def _presence(tx: DataFrame, name: str, w: int, boundary: str, delta) -> DataFra
     return visits.select(KEY, F.inline(F.when(overlaps, extended).otherwise(opened)))
 
 
-def _drop_later_ties(df: DataFrame, measures: dict) -> DataFrame:
-    value = {"count": F.lit(1), "sum": F.col("_money"), **{k: F.col(f"_is_{k}") for k in ODD}}
-    kinds = {kind: value[kind] for kind, _ in measures.values() if kind in value}
-    peers = df.groupBy(KEY, TIME).agg(*[F.sum(v).alias(f"_peer_{k}") for k, v in kinds.items()])
-    upto = running(slice_ordered(df, [KEY, TIME], [ID]), [KEY, TIME], [ID], {f"_upto_{k}": ("sum", v) for k, v in kinds.items()}).drop(SLICE)
+def _drop_later_ties(df: DataFrame, column: dict[str, str]) -> DataFrame:
+    """Takes from each measure what the rows at the same time with a later id give it."""
+    value = {c: F.lit(1) if c == "count" else F.col(c) for c in column.values() if c != "distinct"}
+    peers = df.groupBy(KEY, TIME).agg(*[F.sum(v).alias(f"_peer_{c}") for c, v in value.items()])
+    upto = running(slice_ordered(df, [KEY, TIME], [ID]), [KEY, TIME], [ID], {f"_upto_{c}": ("sum", v) for c, v in value.items()}).drop(SLICE)
     out = null_safe_left(upto, peers, [KEY, TIME])
-    late = {k: F.col(f"_peer_{k}") - F.col(f"_upto_{k}") for k in kinds}
-    late |= {"sum": late["sum"].cast("double")} if "sum" in late else {}
-    out = out.withColumns({n: F.col(n) - late[kind] for n, (kind, _) in measures.items()})
-    return out.drop(*[f"_{side}_{k}" for side in ("peer", "upto") for k in kinds])
+    out = out.withColumns({n: F.col(n) - (F.col(f"_peer_{c}") - F.col(f"_upto_{c}")) for n, c in column.items() if c in value})
+    return out.drop(*[f"_{side}_{c}" for side in ("peer", "upto") for c in value])
 
 
 def category_presence(tx: DataFrame, categories: list[str], column: str = "device_id", window: int = SECONDS_1H,
@@ -279,11 +264,19 @@ def amount_zscore(tx: DataFrame, mode: str = "expanding", window: int = SECONDS_
 
         return by_heat(tx, KEY, plain, sliced, hot_rows)
     if mode == "rolling_30d":
+        moments = _rolling_moments(tx)
+
         def plain(df):
-            frame = _range(-window)
-            return df.withColumn("amount_zscore", _zscore(F.avg("amount").over(frame), F.stddev_samp("amount").over(frame)))
+            out = moments.given(df)
+            count = {"_n": F.count("amount").over(_range(-window))}
+            return moments.zscore(out.withColumns({_total(c): F.sum(c).over(_range(-window)) for c in moments.columns} | count))
 
-        return by_heat(tx, KEY, plain, lambda df: _sliced_rolling_zscore(df, window), hot_rows)
+        def sliced(df):
+            out = moments.given(df).withColumn("_one", F.col("amount").isNotNull().cast("long"))
+            measures = {_total(c): ("total", window, c) for c in moments.columns} | {"_n": ("total", window, "_one")}
+            return moments.zscore(_sliced_windows(out, measures, "closed").drop("_one"))
+
+        return by_heat(tx, KEY, plain, sliced, hot_rows)
     if mode == "gap_reset_30d":
         out = sessions(tx, window, hot_rows=hot_rows)
         out = _in_session(out, {"_m": ("moments", F.col("amount"))}, hot_rows)
@@ -291,25 +284,49 @@ def amount_zscore(tx: DataFrame, mode: str = "expanding", window: int = SECONDS_
     raise ValueError(mode)
 
 
-def _sliced_rolling_zscore(tx: DataFrame, window: int) -> DataFrame:
-    """Rolling moments from decimal sums of the amount and of its square, both around the overall mean.
+@dataclass(frozen=True)
+class RollingMoments:
+    """Exact sums of the deviations from a centre and of their squares, and the z-score they give.
 
-    The squared deviations are subtracted as decimals, so that equal amounts give exactly 0; sums too large for that
-    fall back to doubles.
+    Both sums are kept to twice the digits of a double and subtracted so. Scatter below 2**-96 of what is subtracted is taken as none:
+    the amounts of such a window do not differ by more than their own last digits.
     """
-    centre = round(float(tx.agg(F.avg(_finite(F.col("amount")))).first()[0] or 0.0), 2)
-    out = tx.withColumns({"_amount": F.col("amount"), "amount": F.col("amount") - centre})
-    out = _sliced_windows(out, {"_s1": ("sum", window), "_n": ("count", window)}, "closed")
-    out = out.withColumn("amount", F.col("amount") * F.col("amount"))
-    out = _sliced_windows(out, {"_s2": ("sum", window)}, "closed").withColumn("amount", F.col("_amount"))
-    mean = F.col("_s1") / F.col("_n") + centre
-    s1, s2 = F.col("_s1").try_cast("decimal(18,4)"), F.col("_s2").try_cast("decimal(26,8)")
-    exact = (F.col("_n").try_cast("decimal(10,0)") * s2 - s1 * s1).cast("double")
-    scatter = F.coalesce(exact, F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1"))
-    pairs = F.col("_n").cast("double") * (F.col("_n") - 1)
-    var = scatter / F.nullif(pairs, F.lit(0.0))
-    std = F.when(F.col("_n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return out.withColumn("amount_zscore", F.coalesce(_zscore(mean, std), F.lit(0.0))).drop("_amount", "_s1", "_s2", "_n")
+
+    centre: float
+    first: ExactSum
+    second: ExactSum
+
+    @property
+    def columns(self) -> list[str]:
+        return self.first.columns + self.second.columns
+
+    def given(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_d", F.col("amount").cast("double") - self.centre)
+        odd = ~F.col("_d").isin(math.inf, -math.inf, math.nan)  # of an odd square nothing is left over
+        whole, rest = product(F.col("_d"), F.col("_d"))
+        out = out.withColumns({"_d2": whole, "_r2": F.when(odd, rest).otherwise(F.lit(0.0))})
+        return out.withColumns(self.first.given(F.col("_d")) | self.second.given(F.col("_d2"), F.col("_r2"))).drop("_d", "_d2", "_r2")
+
+    def zscore(self, df: DataFrame) -> DataFrame:
+        total = lambda c: F.col(_total(c))
+        out = df.withColumns({"_s": self.first.value(total), "_q": self.second.value(total), "_c": F.col("_n").cast("double")})
+        out = out.withColumns({"_s1": self.first.left_over(F.col("_s"), total), "_q1": self.second.left_over(F.col("_q"), total)})
+        (a, b), (c, d) = product(F.col("_c"), F.col("_q")), product(F.col("_s"), F.col("_s"))
+        out = out.withColumns({"_a": a, "_b": b + F.col("_c") * F.col("_q1"), "_e": c, "_f": d + F.lit(2.0) * F.col("_s") * F.col("_s1")})
+        scatter = (F.col("_a") - F.col("_e")) + (F.col("_b") - F.col("_f"))
+        out = out.withColumn("_v", F.when(scatter > F.col("_a") * F.lit(2.0 ** -96), scatter).when(scatter != scatter, scatter).otherwise(F.lit(0.0)))
+        std = F.when(F.col("_n") > 1, F.sqrt(F.col("_v") / F.nullif(F.col("_c") * (F.col("_c") - 1), F.lit(0.0))))
+        score = F.coalesce(_zscore(F.col("_s") / F.col("_c") + self.centre, std), F.lit(0.0))
+        gone = ["_s", "_q", "_c", "_s1", "_q1", "_a", "_b", "_e", "_f", "_v", "_n"]
+        return out.withColumn("amount_zscore", score).drop(*gone, *self.columns, *map(_total, self.columns))
+
+
+def _rolling_moments(tx: DataFrame) -> RollingMoments:
+    amount = finite(F.col("amount"))
+    mean = tx.agg(F.avg(amount)).first()[0]
+    centre = round(float(mean), 2) if mean is not None and math.isfinite(mean) else 0.0
+    deviation = F.col("amount").cast("double") - centre
+    return RollingMoments(centre, ExactSum(Grid.covering(tx, deviation), "d1"), ExactSum(Grid.covering(tx, deviation, squares=True), "d2"))
 
 
 # ---------------------------------------------------------------- gap-based bursts
@@ -370,20 +387,21 @@ def calendar(tx: DataFrame, reference_epoch: str | None = None) -> DataFrame:
 
 def behaviour(tx: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """All features of the training contract in their default modes, with one shuffle for ordinary accounts."""
+    amounts = _amounts(tx)
+
     def plain(df):
         df = velocity(df, hot_rows=None)
-        df = amount_1h(df, hot_rows=None)
+        df = amount_1h(df, hot_rows=None, amounts=amounts)
         df = distinct_merchants(df, hot_rows=None)
         df = device_shift(df, hot_rows=None)
         return amount_zscore(df, hot_rows=None)
 
     def sliced(df):
         measures = {n: ("count", w) for n, w in COUNT_WINDOWS.items()}
-        measures |= {"sum_amount_1h": ("sum", SECONDS_1H), "_seen": ("distinct", SECONDS_1H)}
-        df = _sliced_windows(df, measures, "closed")
-        df = df.withColumns({
-            "avg_amount_1h": _ratio(F.col("sum_amount_1h"), F.col("tx_count_1h")),
-            "unique_merchants_1h": F.greatest(F.col("_seen").cast("int"), F.lit(1))}).drop("_seen")
+        measures |= {_total(c): ("total", SECONDS_1H, c) for c in amounts.columns} | {"_seen": ("distinct", SECONDS_1H)}
+        df = _sliced_windows(df.withColumns(amounts.given(F.col("amount"))), measures, "closed")
+        df = _summed(df.withColumn("_n", F.col("tx_count_1h")), amounts)
+        df = df.withColumn("unique_merchants_1h", F.greatest(F.col("_seen").cast("int"), F.lit(1))).drop("_seen")
         device = F.coalesce(F.col("device_id"), F.lit(""))
         df = running(slice_ordered(df, [KEY], ORDER), [KEY], ORDER,
                      {"_device": ("lag", device), "_m": ("moments", F.col("amount"))})

@@ -1,10 +1,12 @@
 """The sliced path for hot keys must agree with plain windows, ties included."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions.exact import ExactSum, Grid
 from riskloom.operators import features, ordered, ranking
 
 PATHS = {
@@ -80,6 +82,36 @@ def test_odd_amounts_are_the_same_on_both_paths(skewed, name):
         assert all(close(a, b[at]) for a, b in zip(want, sliced))
 
 
+@pytest.mark.parametrize("name", ["amount", "amount_left_open", "rolling"])
+@pytest.mark.parametrize("kind", ["cents", "far apart", "odd"])
+def test_window_sums_are_equal_to_the_last_bit(skewed, name, kind):
+    """The size of an account changes no bit of a sum or a rolling z-score; sums are the exact ones."""
+    i = F.col("transaction_id")
+    amount = {"cents": F.col("amount"), "odd": F.when(i % 97 == 5, math.nan).when(i % 89 == 7, math.inf).when(i % 5 == 0, F.lit(None)).otherwise(F.col("amount")),
+              "far apart": F.when(i % 5 == 0, 1e19).when(i % 5 == 1, -1e19).when(i % 5 == 2, 3e-11).when(i % 5 == 3, -F.col("amount")).otherwise(F.col("amount"))}[kind]
+    rows = skewed.withColumn("amount", amount.cast("double"))
+    plain, sliced = collected(PATHS[name](rows, None)), collected(PATHS[name](rows, 0))
+    assert repr(plain) == repr(sliced)
+    if name == "amount" and kind == "far apart":
+        base = rows.collect()
+        at = sorted(PATHS[name](rows, 0).columns).index("sum_amount_1h")
+        for r, found in zip(sorted(base, key=lambda r: r.transaction_id), sliced):
+            inside = (x.amount for x in base if x.account_id == r.account_id and r.event_time_seconds - 20 <= x.event_time_seconds <= r.event_time_seconds)
+            assert found[at] == float(sum(map(Fraction, inside)))
+
+
+@pytest.mark.parametrize("values", [[0.1, -0.3, 2.0 ** 60 + 256, 12.34], [1e300, -1e300, 1e284, 1e270], [5e-324, -5e-324, 1e-310, 2.5e-308], [0.0, -0.0], [1e19, 3e-11, -1e19]])
+def test_exact_sums_round_once(spark, values):
+    rows = [(g, values[(g * 7 + k) % len(values)]) for g in range(20) for k in range(g + 1)] + [(99, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    total = ExactSum(Grid.covering(df, F.col("x")), "x")
+    sums = df.withColumns(total.given(F.col("x"))).groupBy("g").agg(*[F.sum(c).alias(c) for c in total.columns])
+    found = sums.withColumn("v", total.value()).withColumn("rest", total.left_over(F.col("v")))
+    for r in found.collect():
+        exact = sum(Fraction(x) for g, x in rows if g == r.g and x is not None)
+        assert (r.v, r.rest) == ((float(exact), float(exact - Fraction(float(exact)))) if r.g != 99 else (None, 0.0))
+
+
 def test_too_many_hot_keys_take_the_sliced_path(skewed, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_HOT_KEYS", 3)
     ordinary, hot = ordered.split_hot(skewed, "account_id", 0)
