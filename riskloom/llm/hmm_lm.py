@@ -34,6 +34,8 @@ from riskloom.llm.common import map_partitions, type_of
 from riskloom.session import materialise
 
 FREQUENT, ENDINGS, SEGMENT = 40_000, 256, 128
+#: Segments that Baum-Welch works on side by side.
+BLOCK = 1024
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 200_000
 #: Weight, in tokens per state, of the corpus frequencies in a state's emissions.
@@ -168,44 +170,58 @@ def initial(weights: np.ndarray, states: int, seed: int = 5) -> Model:
 
 
 def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the sequences, and their log likelihood as segments."""
+    """Expected starts, moves and emissions of the sequences, and their log likelihood as segments.
+
+    Arrays are steps x states x sequences, so that every operation runs along the sequences of a block; its classes are put in order once
+    for the emissions of all states.
+    """
     K, C = model.move.shape[0], len(model.emit)
     starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((C, K)), 0.0
     parts = [(s[i:i + SEGMENT], int(i > 0)) for s in seqs for i in range(0, len(s), SEGMENT)]
     parts.sort(key=lambda p: -len(p[0]))
-    for low in range(0, len(parts), 1024):
-        block = parts[low:low + 1024]
+    emit = np.ascontiguousarray(model.emit.T)
+    move, back, start = model.move, np.ascontiguousarray(model.move.T), model.start.T
+    for low in range(0, len(parts), BLOCK):
+        block = parts[low:low + BLOCK]
         size = np.array([len(p) for p, _ in block])
         later = np.array([x for _, x in block])
         T, B = int(size[0]), len(block)
-        ids = np.zeros((T, B), np.int64)
-        for b, (p, _) in enumerate(block):
-            ids[:len(p), b] = p
+        ids = np.zeros((B, T), np.uint16)
+        ids[np.arange(T) < size[:, None]] = np.concatenate([p for p, _ in block])
+        ids = np.ascontiguousarray(ids.T)
         active = (size[None] > np.arange(T)[:, None]).sum(axis=1)  # longest first: a prefix is active
-        e = model.emit[ids]
-        alpha, scale = np.zeros((T, B, K)), np.ones((T, B))
-        alpha[0] = model.start[later] * e[0]
+        e = np.take(emit, ids, axis=1).transpose(1, 0, 2)  # steps x states x sequences: the longest axis last
+        alpha, scale = np.zeros((T, K, B)), np.ones((T, B))
+        alpha[0] = start[:, later] * e[0]
         for t in range(T):
             n = active[t]
+            now = alpha[t, :, :n]
             if t:
-                np.matmul(alpha[t - 1, :n], model.move, out=alpha[t, :n])
-                alpha[t, :n] *= e[t, :n]
-            scale[t, :n] = alpha[t, :n].sum(axis=1)
-            alpha[t, :n] /= scale[t, :n, None]
+                np.matmul(back, alpha[t - 1, :, :n], out=now)
+                now *= e[t, :, :n]
+            np.sum(now, axis=0, out=scale[t, :n])
+            now /= scale[t, :n]
+            e[t, :, :n] /= scale[t, :n]
         total += float(np.log(scale).sum())
-        beta = np.ones((B, K))
-        gamma = np.zeros((T, B, K))
+        beta = np.ones((K, B))
+        block_moves = np.zeros((K, K))
         for t in range(T - 1, -1, -1):
             n = active[t]
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
+            alpha_t = alpha[t, :, :n]
+            if t:
+                near = beta[:, :n] * e[t, :, :n]
+                block_moves += alpha[t - 1, :, :n] @ near.T
+            alpha_t *= beta[:, :n]  # what is left in its place are the states' shares
             if t:
-                near = beta[:n] * e[t, :n] / scale[t, :n, None]
-                moves += alpha[t - 1, :n].T @ near
-                beta[:n] = near @ model.move.T
-        np.add.at(starts, later, gamma[0])
+                np.matmul(move, near, out=beta[:, :n])
+        moves += block_moves
+        np.add.at(starts, later, alpha[0].T)
         flat = ids.ravel()
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         for k in range(K):
-            emits[:, k] += np.bincount(flat, gamma[:, :, k].ravel(), C)
+            emits[ordered[first], k] += np.add.reduceat(alpha[:, k].ravel()[order], first)
     return starts, moves * model.move, emits, total
 
 
