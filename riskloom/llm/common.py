@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,7 +41,7 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
         try:
             yield from made(batches)
         finally:
-            pa.default_memory_pool().release_unused()  # a worker waits for its next task without them
+            give_back()  # a worker waits for its next task without them
 
     def made(batches):
         for out in fn(batches):
@@ -49,6 +50,30 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: Arrow's buffers, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def keep_rows(df: DataFrame, text_col: str, fn: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows, whole, whose texts ``fn`` keeps. Columns stay Arrow arrays throughout; what a task took is given back at its end."""
+    small_batches(df.sparkSession)
+    width = len(df.columns)
+
+    def run(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array(fn(batch.column(width).to_pylist()), pa.bool_())).select(range(width))
+            del batch
+            yield kept
+            del kept
+        give_back()
+
+    return df.select("*", F.col(text_col).cast("string").alias("text of the row")).mapInArrow(run, df.schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default size of record batches; a session's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -22,11 +22,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import STEP_BYTES, map_batches, small_batches, steps, type_of
+from riskloom.llm.common import STEP_BYTES, keep_rows, map_batches, steps, type_of
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 LATIN = re.compile("[A-Za-z]")
@@ -176,15 +175,12 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
 def keep(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
     """The rows in some language with that probability or more, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
 
-    @F.pandas_udf("boolean")
-    def likely(text: pd.Series) -> pd.Series:
-        lang, score = judge(text.tolist(), *shared.value)
-        return pd.Series([k != "und" and s >= least for k, s in zip(lang, score)], dtype=bool)
+    def likely(texts):
+        return [k != "und" and s >= least for k, s in zip(*judge(texts, *shared.value))]
 
-    return docs.where(likely(F.col(text_col).cast("string")))
+    return keep_rows(docs, text_col, likely)
 
 
 def identify(docs: DataFrame, usable: Column, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

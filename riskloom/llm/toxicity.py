@@ -22,11 +22,10 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches, small_batches, type_of
+from riskloom.llm.common import keep_rows, map_batches, type_of
 from riskloom.session import materialise
 
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
@@ -231,14 +230,8 @@ def keep(docs: DataFrame, model: Classifier | None, threshold: float = 0.5, id_c
     """The rows that are not toxic, with all their columns. Without a model all stay."""
     if model is None:
         return docs
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) < threshold for t in text], dtype=bool)
-
-    return docs.where(clean(F.col(text_col).cast("string")))
+    return keep_rows(docs, text_col, lambda texts: [shared.value.score(t) < threshold for t in texts])
 
 
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, most_documents: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
