@@ -58,6 +58,19 @@ def src4(spark, folder):
     return landed.groupBy("_batch_id").agg(F.count(F.lit(1)).alias("batch_rows"), F.count_distinct("TransactionID").alias("ids"))
 
 
+@query("src4_file_ledger", f"""WITH {RAW}, n AS (SELECT count(*) AS rows FROM raw) SELECT 'b1' AS _batch_id, rows AS batch_rows FROM n UNION ALL SELECT 'b3', rows FROM n""")
+def src4_ledger(spark, folder):
+    """A batch, run twice; its file under a second batch id, which lands nothing; the file with one more, of the same rows under another header order, which lands that one."""
+    root = files.scratch(spark, "ledger")
+    raw = tables.raw_transactions(spark, folder)
+    raw.write.option("header", True).csv(f"{root}/in")
+    for batch_id in ("b1", "b1", "b2"):
+        medallion.bronze(spark, f"{root}/in", None, root, batch_id)
+    raw.select(*reversed(raw.columns)).write.mode("append").option("header", True).csv(f"{root}/in")
+    medallion.bronze(spark, f"{root}/in", None, root, "b3")
+    return files.read_table(spark, f"{root}/bronze/transactions").groupBy("_batch_id").agg(F.count(F.lit(1)).alias("batch_rows"))
+
+
 @query("src5_optional_identity", f"""WITH {CLEAN} SELECT transaction_id, account_id, 'na:na' AS device_id, merchant_id,
 false AS has_identity FROM cleaned""")
 def src5(spark, folder):

@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +20,45 @@ STAGES = ("bronze", "silver", "gold", "export")
 
 
 def bronze(spark: SparkSession, transactions: str, identity: str | None, root: str, batch_id: str) -> None:
+    """Land the files of a batch whose content no other batch has landed; the ledger names all of its files, landed or not."""
+    ledger = f"{root}/bronze/landed_files"
     for path, name in ((transactions, "transactions"), (identity, "identity")):
         if path is None:
             continue
-        raw = files.with_lineage(files.read_raw(spark, path), batch_id, checksums=files.head_checksums(spark, path))
-        files.write_batch(raw, f"{root}/bronze/{name}")
+        listed = materialise(files.not_landed(spark, path, ledger, batch_id, name))
+        fresh = [r.file for r in listed.where("fresh").select("file").orderBy("file").collect()]  # Spark lists the files it reads on the driver, too
+        if fresh:
+            raw = files.with_lineage(files.read_raw(spark, fresh), batch_id, checksums=files.head_checksums(spark, fresh))
+            files.write_batch(raw, f"{root}/bronze/{name}")
+        rows = listed.withColumns({"table": F.lit(name), "_batch_id": F.lit(batch_id)})
+        files.write_table(rows, ledger, partition_by=["table", "_batch_id"])
 
 
 def _batch(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
     """The rows that one batch landed, with its own columns, or None."""
-    try:
-        return spark.read.parquet(f"{path}/_batch_id={batch_id}").withColumn("_batch_id", F.lit(batch_id))
-    except AnalysisException:
-        return None
+    folder = f"{path}/_batch_id={batch_id}"
+    return spark.read.parquet(folder).withColumn("_batch_id", F.lit(batch_id)) if files.exists(spark, folder) else None
 
 
-def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds = QualityBounds()) -> DataFrame:
+def _all_known(spark: SparkSession, root: str, batch_id: str) -> bool:
+    """Whether the batch is in the ledger, so that it landed nothing because other batches had."""
+    ledger = f"{root}/bronze/landed_files"
+    listed = spark.read.parquet(ledger) if files.exists(spark, ledger) else None
+    return listed is not None and bool(listed.where((F.col("table") == "transactions") & (F.col("_batch_id") == batch_id)).limit(1).count())
+
+
+def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds = QualityBounds()) -> DataFrame | None:
     """Assess the batch by itself, keep the report, stop on failure, and only then publish its clean rows.
 
     Other batches are neither read again nor published. A transaction that another batch has published stays as it is there,
-    so the same file under a new batch id adds nothing.
+    so the same rows under a new batch id add nothing. A batch whose files had all landed before has no report; one that
+    never landed is an error.
     """
     landed = _batch(spark, f"{root}/bronze/transactions", batch_id)
+    if landed is None:
+        if _all_known(spark, root, batch_id):
+            return None
+        raise ValueError(f"batch {batch_id} has landed no transactions in {root}/bronze")
     identity = _batch(spark, f"{root}/bronze/identity", batch_id)
     batch = files.completed(landed, RAW_TRANSACTION)
     identity = files.completed(identity, RAW_IDENTITY) if identity is not None else spark.createDataFrame([], RAW_IDENTITY)
@@ -51,11 +67,8 @@ def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds
     files.write_table(quality.flat_report(report), f"{root}/silver/dq_report", "append")
     quality.gate(report)
     path, rows = f"{root}/silver/transactions_cleaned", cleaning.clean(batch, identity)
-    try:
+    if files.exists(spark, path):
         others = spark.read.parquet(path)
-    except AnalysisException:
-        others = None
-    if others is not None:
         rows = rows.join(others.where(F.col("_batch_id") != batch_id).select("transaction_id"), "transaction_id", "left_anti").select(*rows.columns)
     files.write_batch(materialise(rows.withColumn("_batch_id", F.lit(batch_id))), path)
     return report

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import shared_dir
+from riskloom.session import materialise, shared_dir
 
 HEAD_BYTES = 8 * 1024 * 1024
 
@@ -22,7 +22,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with the columns that its header names, in any order and number; all stay text, no type is inferred. Any Hadoop scheme works."""
     return spark.read.option("header", True).csv(path)
 
@@ -52,7 +52,7 @@ def with_lineage(df: DataFrame, batch_id: str, ingested_at=None, checksums: Data
     return out.join(checksums.select("_source_path", "_source_checksum"), "_source_path", "left")
 
 
-def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
+def head_checksums(spark: SparkSession, path: str | list[str], head_bytes: int = HEAD_BYTES) -> DataFrame:
     """First 16 hex digits of the SHA-256 of each file's head; (missing) when there is no file.
 
     Spark lists the files (their content column is never read), tasks read only the head of each.
@@ -61,7 +61,7 @@ def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES)
     try:
         listed = spark.read.format("binaryFile").load(path).select("path")
     except AnalysisException:
-        return spark.createDataFrame([(path.rsplit("/", 1)[-1], "missing", path)], schema)
+        return spark.createDataFrame([(p.rsplit("/", 1)[-1], "missing", p) for p in ([path] if isinstance(path, str) else path)], schema)
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -77,6 +77,44 @@ def head_checksums(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES)
     return listed.mapInPandas(heads, schema).withColumn("_source_path", _plain_path(F.col("_source_path")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there; one that is there and cannot be read is for its reader to report."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def whole_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, checksum): SHA-256 of the whole content of each file, read in the tasks, a piece at a time."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            found = []
+            for uri in pdf["path"]:
+                system, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while piece := stream.read(HEAD_BYTES):
+                        digest.update(piece)
+                found.append((uri, digest.hexdigest()))
+            yield pd.DataFrame(found, columns=["file", "checksum"])
+
+    return listed.mapInPandas(sums, "file string, checksum string")
+
+
+def not_landed(spark: SparkSession, path: str, ledger: str, batch_id: str, table: str) -> DataFrame:
+    """(file, checksum, fresh) of the files of a batch. Not fresh are those whose content another batch has landed in the same table, and all
+    but one of files with equal content; what the batch itself landed before is fresh again, since a second run replaces it."""
+    found = materialise(whole_checksums(spark, path))
+    first = found.groupBy("checksum").agg(F.min("file").alias("file"))
+    if exists(spark, ledger):
+        known = spark.read.parquet(ledger).where((F.col("table") == table) & (F.col("_batch_id") != batch_id) & F.col("fresh"))
+        first = first.join(known.select("checksum"), "checksum", "left_anti")
+    return found.join(first.select("file", F.lit(True).alias("new")), "file", "left").select("file", "checksum", F.col("new").isNotNull().alias("fresh"))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, rebuild: bool = False) -> None:
     """Parquet. With partitions, overwriting replaces only the partitions that ``df`` holds, unless it is a ``rebuild``."""
     writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if partition_by and not rebuild else "static")

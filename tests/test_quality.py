@@ -145,6 +145,41 @@ def test_batches_pass_the_gate_by_themselves(spark, tmp_path):
     assert spark.read.parquet(few).select("date_key").distinct().count() == 1
 
 
+def test_a_file_lands_once(spark, tmp_path):
+    """Under a second batch id, twice in one batch, beside a new file, and again in its own batch."""
+    import shutil
+    root = str(tmp_path / "root")
+    one = _batch_file(spark, f"{tmp_path}/one", range(40))
+    medallion.run(spark, one, None, root, "b1")
+    medallion.run(spark, one, None, root, "b2")
+    part = next((tmp_path / "one").glob("*.csv"))
+    (tmp_path / "two").mkdir()
+    for name in ("a.csv", "b.csv"):
+        shutil.copy(part, tmp_path / "two" / name)
+    more = _batch_file(spark, f"{tmp_path}/more", range(40, 90))
+    for k in (1, 2):
+        shutil.copy(next((tmp_path / "more").glob("*.csv")), tmp_path / "two" / f"c{k}.csv")
+    for _ in range(2):
+        medallion.run(spark, f"{tmp_path}/two", None, root, "b3")
+    counts = {r._batch_id: r["count"] for r in spark.read.parquet(f"{root}/bronze/transactions").groupBy("_batch_id").count().collect()}
+    assert counts == {"b1": 40, "b3": 50}
+    ledger = {(r._batch_id, r.file.rsplit("/", 1)[-1]): r.fresh for r in spark.read.parquet(f"{root}/bronze/landed_files").collect() if r._batch_id != "b1" and "two" in r.file}
+    assert ledger == {("b3", "a.csv"): False, ("b3", "b.csv"): False, ("b3", "c1.csv"): True, ("b3", "c2.csv"): False}
+    silver = spark.read.parquet(f"{root}/silver/transactions_cleaned")
+    assert {(r.transaction_id, r._batch_id) for r in silver.collect()} == {(i, "b1") for i in range(40)} | {(i, "b3") for i in range(40, 90)}
+
+
+def test_a_batch_that_never_landed_is_an_error(spark, tmp_path):
+    root = str(tmp_path / "root")
+    with pytest.raises(ValueError, match="b9"):
+        medallion.run(spark, None, None, root, "b9", "silver")
+    medallion.run(spark, _batch_file(spark, f"{tmp_path}/one", range(40)), None, root, "b1", "bronze")
+    (tmp_path / "root" / "silver" / "transactions_cleaned").mkdir(parents=True)
+    (tmp_path / "root" / "silver" / "transactions_cleaned" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="part-0.parquet"):  # unreadable is not absent
+        medallion.run(spark, None, None, root, "b1", "silver")
+
+
 def test_lineage_joins_on_the_whole_path(spark, tmp_path):
     """Two folders with a file of the same name."""
     import shutil
