@@ -135,6 +135,22 @@ def gra5(spark, folder):
     return graph.communities(links, graph.components(links))
 
 
+@query("gra5_community_facts", f"""WITH RECURSIVE {RING_SQL} SELECT component, count(*) AS accounts, 0 AS repeated, 0 AS strays, true AS not_worse FROM comp GROUP BY component""")
+def gra5_facts(spark, folder):
+    """Communities divide components: every account once, none outside its component, modularity at least that of the components."""
+    links = materialise(_links(spark, folder))
+    components = materialise(graph.components(links))
+    found = materialise(graph.communities(links, components))
+    whole = components.withColumnRenamed("component", "community")
+    least, reached = (graph.modularity(links, places).first().modularity for places in (whole, found))  # one row each
+    crossing = components.join(found, "account").groupBy("community").agg(F.min("component").alias("component"), F.countDistinct("component").alias("over"))
+    strays = crossing.groupBy("component").agg(F.sum(F.col("over") - 1).alias("strays"))
+    per = components.join(found, "account", "left").groupBy("component").agg(
+        F.countDistinct("account").alias("accounts"), (F.count(F.lit(1)) - F.countDistinct("account")).alias("repeated"))
+    return per.join(strays, "component").select(
+        "component", "accounts", F.col("repeated").cast("int"), F.col("strays").cast("int"), F.lit((reached or 0.0) > (least or 0.0) - 1e-9).alias("not_worse"))
+
+
 @query("gra6_modularity", f"""WITH RECURSIVE {RING_SQL}, p AS (SELECT shared::DOUBLE AS w, x.component AS ca, y.component AS cb FROM links
 JOIN comp x ON x.account = a JOIN comp y ON y.account = b), e AS (SELECT ca AS c, w * (ca = cb)::INTEGER AS inside, w FROM p UNION ALL SELECT cb, 0, w FROM p),
 g AS (SELECT c, sum(inside) AS i, sum(w) AS d FROM e GROUP BY c) SELECT round(2 * sum(i) / sum(d) - sum(d * d) / (sum(d) * sum(d)), 6) AS modularity FROM g""")

@@ -154,51 +154,69 @@ def modularity(link_table: DataFrame, communities: DataFrame) -> DataFrame:
     return sums.select((2 * F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def _moves(neighbours: dict, degree: dict, total: float, order: list) -> dict:
-    """Greedy modularity moves on one small graph; ties go to the smallest community."""
-    community, volume = {n: n for n in order}, dict(degree)
-    changed = True
-    while changed:
-        changed = False
-        for n in order:
-            weight = {community[n]: 0.0}
-            for other, w in neighbours[n].items():
-                if other != n:
-                    weight[community[other]] = weight.get(community[other], 0.0) + w
-            home = community[n]
-            volume[home] -= degree[n]
-            gain = lambda c: weight[c] - volume[c] * degree[n] / total
-            best = min(weight, key=lambda c: (-round(gain(c), 12), c))
-            if gain(best) <= gain(home) + 1e-12:
-                best = home
-            volume[best] = volume.get(best, 0.0) + degree[n]
+def _quality(edges: list, place: dict, volume: dict, total: int) -> int:
+    """Modularity times the square of ``total``, a whole number; ``edges`` holds both directions."""
+    return total * sum(w for u, v, w in edges if place[u] == place[v]) - sum(x * x for x in volume.values())
+
+
+def _settle(edges: list, total: int, rounds: int) -> dict:
+    """The rounds of ``_distributed`` on one level of one component, inside a task."""
+    degree, near = {}, {}
+    for u, v, w in edges:
+        degree[u] = degree.get(u, 0) + w
+        if u != v:
+            near.setdefault(u, []).append((v, w))
+    place, volume = {n: n for n in degree}, dict(degree)
+    quality = _quality(edges, place, volume, total)
+
+    def after(moves):
+        new, size = dict(place), dict(volume)
+        for _, n, target in moves:
+            size[new[n]] -= degree[n]
+            size[target] += degree[n]
+            new[n] = target
+        return new, size, _quality(edges, new, size, total)
+
+    for number in range(rounds):
+        wanted = []
+        for n, k in degree.items():
+            home, inside = place[n], {place[n]: 0}
+            for v, w in near.get(n, ()):
+                inside[place[v]] = inside.get(place[v], 0) + w
+            gain = {c: x * total - (volume[c] - (k if c == home else 0)) * k for c, x in inside.items()}
+            best = min(gain, key=lambda c: (-gain[c], c != home, c))
             if best != home:
-                community[n], changed = best, True
-    return community
-
-
-def _small_component(total: float):
+                wanted.append((gain[home] - gain[best], n, best))
+        if not wanted:
+            return place
+        found = after([m for m in wanted if (m[2] < place[m[1]]) == (number % 2 == 0)])
+        if found[2] <= quality:
+            first: dict = {}
+            for m in sorted(wanted):
+                first.setdefault(place[m[1]], m)
+                first.setdefault(m[2], m)
+            found = after([m for m in wanted if first[place[m[1]]] is m and first[m[2]] is m])
+        place, volume, quality = found
+    raise RuntimeError(f"communities did not settle in {rounds} rounds of a level")
+
+
+def _one_component(total: int, rounds: int):
     """Louvain on the links of one component: moves, then the same on merged communities."""
     def communities(pdf):
         import pandas as pd
 
-        graph: dict = {}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"]):
-            graph.setdefault(a, {})[b] = w
-            graph.setdefault(b, {})[a] = w
-        member = {n: n for n in graph}
+        edges = [e for a, b, w in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist()) for e in ((a, b, w), (b, a, w))]
+        member = {u: u for u, _, _ in edges}
         while True:
-            nodes = sorted(graph)
-            found = _moves(graph, {n: sum(graph[n].values()) for n in nodes}, total, nodes)
-            member = {n: found[c] for n, c in member.items()}
-            if len(set(found.values())) == len(nodes):
+            place = _settle(edges, total, rounds)
+            member = {n: place[c] for n, c in member.items()}
+            if all(n == c for n, c in place.items()):
                 break
             merged: dict = {}
-            for n in nodes:
-                row = merged.setdefault(found[n], {})
-                for other, w in graph[n].items():
-                    row[found[other]] = row.get(found[other], 0.0) + w
-            graph = merged
+            for u, v, w in edges:
+                key = place[u], place[v]
+                merged[key] = merged.get(key, 0) + w
+            edges = [(u, v, w) for (u, v), w in merged.items()]
         names: dict = {}
         for n, c in member.items():
             names[c] = min(n, names.get(c, n))
@@ -206,21 +224,18 @@ def _small_component(total: float):
     return communities
 
 
-#: Rounds of a level in which all nodes may move at once.
-FREE = 12
-
-
 def communities(link_table: DataFrame, component_table: DataFrame, max_local_links: int = 100_000,
                 rounds: int = 200) -> DataFrame:
     """(account, community), a refinement of the components, by Louvain with weight = shared identifiers.
 
-    Components are independent, so those with few links run one per task; larger ones go through distributed rounds,
-    where nodes move at the same time and not in turn, so their communities can differ from those of one task. Every
-    level runs until no node moves; a level that has not settled in ``rounds`` rounds, or a component that has not in
-    50 levels, raises an error. Nodes that move at the same time can chase each other for ever, so from round ``FREE``
-    on only moves that share no community with a better one are made: each of those raises modularity.
+    Every component goes through the same rounds, all in whole numbers. Each node names the neighbouring community with the
+    largest gain (ties: its own, then the smallest). In even rounds the moves to smaller names are made together, in odd ones
+    those to larger names, if that raises the component's modularity; otherwise only moves that share no community with a better one,
+    whose gains add up. So every round raises modularity, and a level ends when no node gains by a move. ``max_local_links`` decides
+    only where the rounds run: components with at most that many links one per task, larger ones as joins; the result is
+    the same. A level that has not settled in ``rounds`` rounds raises an error.
     """
-    weighted = link_table.select("a", "b", F.col("shared").cast("double").alias("w"))
+    weighted = link_table.select("a", "b", F.col("shared").cast("long").alias("w"))
     placed = weighted.join(component_table.select(F.col("account").alias("a"), "component"), "a")
     sized = placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_links")), "component")
     sized = materialise(sized)
@@ -229,67 +244,89 @@ def communities(link_table: DataFrame, component_table: DataFrame, max_local_lin
     if total is None:
         return link_table.sparkSession.createDataFrame([], schema)
     small = sized.where(F.col("n_links") <= max_local_links).select("component", "a", "b", "w")
-    out = small.groupBy("component").applyInPandas(_small_component(2 * total), schema)
+    out = small.groupBy("component").applyInPandas(_one_component(2 * total, rounds), schema)
     large = sized.where(F.col("n_links") > max_local_links)
     return out.unionByName(_distributed(large, 2 * total, rounds)) if large.take(1) else out
 
 
-def _distributed(edges: DataFrame, total: float, rounds: int, levels: int = 50) -> DataFrame:
-    """Louvain rounds as joins and aggregations; merged communities are the nodes of the next level.
-
-    Nodes move at the same time, so a round lets them move only to smaller community names and the next only to larger
-    ones: no two nodes can swap. A level ends when neither direction moves a node."""
-    level = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
+def _distributed(edges: DataFrame, total: int, rounds: int, levels: int = 50) -> DataFrame:
+    """Louvain rounds as joins and aggregations; merged communities are the nodes of the next level."""
+    level = materialise(edges.select("component", F.col("a").alias("u"), F.col("b").alias("v"), "w").union(
+        edges.select("component", F.col("b").alias("u"), F.col("a").alias("v"), "w")))
     member = level.select(F.col("u").alias("account"), F.col("u").alias("node")).distinct()
     for _ in range(levels):
-        degree = level.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
-        state = materialise(degree.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("moved")))
-        quiet = 0
+        state = materialise(level.groupBy("component", F.col("u").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+        quality = materialise(_qualities(level, state, total))
         for number in range(rounds):
-            state = materialise(_one_round(level, state, total, number))
-            quiet = 0 if state.where("moved").take(1) else quiet + 1
-            if quiet == 2:
+            wanted = materialise(_wanted(level, state, total))
+            if wanted.isEmpty():
                 break
+            down = F.col("target") < F.col("home")
+            state, quality = _accepted(level, state, quality, wanted, down if number % 2 == 0 else ~down, total)
         else:
             raise RuntimeError(f"communities did not settle in {rounds} rounds of a level")
         member = materialise(member.join(state, "node").select("account", F.col("community").alias("node")))
-        if not state.where("node <> community").take(1):
+        if state.where("node <> community").isEmpty():
             break
-        of = lambda name: state.select(F.col("node").alias(name), F.col("community").alias(f"c_{name}"))
-        level = materialise(level.join(of("u"), "u").join(of("v"), "v").groupBy(
-            F.col("c_u").alias("u"), F.col("c_v").alias("v")).agg(F.sum("w").alias("w")))
+        level = materialise(_placed(level, state).groupBy("component", F.col("c_u").alias("u"), F.col("c_v").alias("v")).agg(F.sum("w").alias("w")))
     else:
         raise RuntimeError(f"communities did not settle in {levels} levels")
     names = member.groupBy("node").agg(F.min("account").alias("community"))
     return member.join(names, "node").select("account", "community")
 
 
-def _one_round(level: DataFrame, state: DataFrame, total: float, number: int) -> DataFrame:
-    """Each movable node goes to the neighbouring community with the largest gain, or stays."""
+def _whole(value: Column) -> Column:
+    return value.cast("decimal(19,0)")
+
+
+def _placed(level: DataFrame, state: DataFrame) -> DataFrame:
+    of = lambda name: state.select(F.col("node").alias(name), F.col("community").alias(f"c_{name}"))
+    return level.join(of("u"), "u").join(of("v"), "v")
+
+
+def _qualities(level: DataFrame, state: DataFrame, total: int) -> DataFrame:
+    """(component, quality): the component's share of modularity times the square of ``total``."""
+    inside = _placed(level, state).where("c_u = c_v").groupBy("component").agg((_whole(F.sum("w")) * _whole(F.lit(total))).alias("part"))
+    volume = state.groupBy("component", "community").agg(_whole(F.sum("k")).alias("volume"))
+    volume = volume.groupBy("component").agg((-F.sum(F.col("volume") * F.col("volume"))).alias("part"))
+    return inside.unionByName(volume).groupBy("component").agg(F.sum("part").alias("quality"))
+
+
+def _wanted(level: DataFrame, state: DataFrame, total: int) -> DataFrame:
+    """(component, node, home, target, gain) of the nodes that gain by a move."""
     volume = state.groupBy("community").agg(F.sum("k").alias("volume"))
     reach = level.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").select(
         F.col("u").alias("node"), "community", F.col("w").alias("inside"))
-    home = state.select("node", "community", F.lit(0.0).alias("inside"))
+    home = state.select("node", "community", F.lit(0).cast("long").alias("inside"))
     options = reach.union(home).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
-    options = options.join(volume, "community").join(state.select("node", "k", F.col("community").alias("home")), "node")
+    options = options.join(volume, "community").join(state.select("component", "node", "k", F.col("community").alias("home")), "node")
     stays = F.col("community") == F.col("home")
-    others = F.col("volume") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
-    gain = F.round(F.col("inside") - others * F.col("k") / total, 9)
-    movable = F.lit(True) if number >= FREE else F.col("community") < F.col("home") if number % 2 == 0 else F.col("community") > F.col("home")
-    best = F.min_by("community", F.struct((-gain).alias("g"), (~stays).cast("int").alias("s"), F.col("community")))
-    chosen = options.where(stays | movable).groupBy("node").agg(
-        best.alias("community"), F.first("k").alias("k"), F.first("home").alias("home"),
-        (F.max(gain) - F.max(F.when(stays, gain))).alias("more"))
-    if number < FREE:
-        return chosen.select("node", "k", "community", (F.col("community") != F.col("home")).alias("moved"))
-    chosen = materialise(chosen)
-    rank = F.struct((-F.col("more")).alias("more"), F.col("node"))
-    touched = chosen.where("community <> home").select("node", "more", F.explode(F.array("home", "community")).alias("touched"))
-    first = touched.groupBy("touched").agg(F.min(rank)["node"].alias("node"))
-    alone = first.groupBy("node").count().where("count = 2").select("node", F.lit(True).alias("moved"))
-    out = chosen.join(alone, "node", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
-    return out.select("node", "k", F.when(F.col("moved"), F.col("community")).otherwise(F.col("home")).alias("community"), "moved")
+    others = F.col("volume") - F.when(stays, F.col("k")).otherwise(F.lit(0))
+    gain = _whole(F.col("inside")) * _whole(F.lit(total)) - _whole(others) * _whole(F.col("k"))
+    best = F.min_by("community", F.struct((-F.col("gain")).alias("g"), (~stays).cast("int").alias("s"), F.col("community")))
+    chosen = options.withColumn("gain", gain).groupBy("node").agg(
+        F.first("component").alias("component"), F.first("home").alias("home"), best.alias("target"),
+        (F.max("gain") - F.max(F.when(stays, F.col("gain")))).alias("gain"))
+    return chosen.where("target <> home")
+
+
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    out = state.join(moves.select("node", "target"), "node", "left")
+    return out.select("component", "node", "k", F.coalesce("target", "community").alias("community"))
+
+
+def _accepted(level: DataFrame, state: DataFrame, quality: DataFrame, wanted: DataFrame, direction: Column, total: int) -> tuple[DataFrame, DataFrame]:
+    """State and quality after a round: the moves in one direction where they help the component, exclusive ones elsewhere."""
+    together = wanted.where(direction)
+    after = _qualities(level, _moved(state, together), total).withColumnRenamed("quality", "after")
+    helped = materialise(after.join(quality, "component").where("after > quality").select("component"))
+    rest = wanted.join(helped, "component", "left_anti")
+    touched = rest.select("node", "gain", F.explode(F.array("home", "target")).alias("touched"))
+    first = touched.groupBy("touched").agg(F.min_by("node", F.struct((-F.col("gain")).alias("g"), F.col("node"))).alias("node"))
+    alone = first.groupBy("node").agg(F.count(F.lit(1)).alias("times")).where("times = 2").select("node")
+    moves = together.join(helped, "component", "left_semi").unionByName(rest.join(alone, "node", "left_semi").select(*wanted.columns))
+    state = materialise(_moved(state, moves))
+    return state, materialise(_qualities(level, state, total))
 
 
 # ---------------------------------------------------------------- rings

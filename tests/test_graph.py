@@ -120,15 +120,45 @@ def test_parameter_ranges(bad):
         graph.check_parameters(**bad)
 
 
-def test_distributed_communities_settle_or_fail(spark):
-    links = link_table(spark, BRIDGED)
-    with pytest.raises(RuntimeError, match="did not settle"):
-        graph.communities(links, graph.components(links), max_local_links=0, rounds=2)
-
-
-def test_no_node_wants_to_move_at_the_end(spark, monkeypatch):
-    """The exclusive rounds alone settle a ring of cliques, too."""
-    monkeypatch.setattr(graph, "FREE", 0)
+@pytest.mark.parametrize("max_local_links", [100_000, 0])
+def test_communities_settle_or_fail(spark, max_local_links):
     links = link_table(spark, BRIDGED)
-    found = {r.account: r.community for r in graph.communities(links, graph.components(links), max_local_links=0).collect()}
-    assert len(found) == 15 and {a: c[0] for a, c in found.items()} == {a: a[0] for a in found}
+    with pytest.raises(Exception, match="did not settle"):
+        graph.communities(links, graph.components(links), max_local_links, rounds=1).collect()
+
+
+def test_communities_do_not_depend_on_where_the_rounds_run(spark):
+    """Random graphs of several components: equal communities for every limit, and no node gains by a move."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted((f"{c}{rng.randrange(11):02d}", f"{c}{rng.randrange(11):02d}"))) for c in "ab" for _ in range(20)}
+    rows = [(a, b, rng.randint(1, 3)) for a, b in sorted(pairs) if a != b]
+    links = spark.createDataFrame(rows, "a string, b string, shared bigint")
+    components = materialise(graph.components(links))
+    results = [{r.account: r.community for r in graph.communities(links, components, limit).collect()} for limit in (100_000, 0)]
+    assert results[0] == results[1]
+    found, total = results[0], 2 * sum(w for _, _, w in rows)
+    degree = {n: sum(w for a, b, w in rows if n in (a, b)) for n in found}
+
+    def quality(place):
+        volume = {c: sum(degree[n] for n in place if place[n] == c) for c in set(place.values())}
+        return total * 2 * sum(w for a, b, w in rows if place[a] == place[b]) - sum(v * v for v in volume.values())
+
+    # every merge of two communities that touch would lower modularity or leave it
+    for x, y in {(found[a], found[b]) for a, b, _ in rows if found[a] != found[b]}:
+        assert quality({n: x if c == y else c for n, c in found.items()}) <= quality(found)
+
+
+def test_a_settled_level_has_no_gainful_move():
+    """On a path, where neighbours want to change places, every node ends where no single move raises modularity."""
+    edges = [e for i in range(40) for e in ((i, i + 1, 1), (i + 1, i, 1))]
+    place = graph._settle(edges, 80, 200)
+
+    def quality(place):
+        volume: dict = {}
+        for n, c in place.items():
+            volume[c] = volume.get(c, 0) + 2 - (n in (0, 40))
+        return graph._quality(edges, place, volume, 80)
+
+    assert quality(place) > quality({n: n for n in place})
+    for u, v, _ in edges:
+        assert quality(place | {u: place[v]}) <= quality(place)
