@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,42 +111,75 @@ def linear_attribution(model: PipelineModel, features: list[str] = FEATURES) ->
 
 
 def _flat_tree(root) -> np.ndarray:
-    """Rows (feature, threshold, left, right, value) of a fitted tree; leaves have feature -1."""
+    """Rows (feature, threshold, left, right, value, training rows) of a fitted tree; leaves have feature -1."""
     rows, queue = [], [root]
     while len(rows) < len(queue):
         node = queue[len(rows)]
+        count = node.impurityStats().count()
         if node.subtreeDepth() == 0:
-            rows.append((-1, 0.0, 0, 0, node.prediction()))
+            rows.append((-1, 0.0, 0, 0, node.prediction(), count))
             continue
         split = node.split()
-        rows.append((split.featureIndex(), split.threshold(), len(queue), len(queue) + 1, node.prediction()))
+        rows.append((split.featureIndex(), split.threshold(), len(queue), len(queue) + 1, node.prediction(), count))
         queue += [node.leftChild(), node.rightChild()]
     return np.array(rows, dtype=float)
 
 
+def _leaves(tree: np.ndarray) -> list:
+    """(value, {feature: [above, up to, share]}) per leaf: the interval a feature must be in, and the share of training rows that go that way."""
+    found, stack = [], [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        feature, threshold, left, right, value, count = tree[at]
+        if feature < 0:
+            found.append((value, path))
+            continue
+        above, up_to, share = path.get(int(feature), (-np.inf, np.inf, 1.0))
+        part = tree[int(left), 5] / count
+        stack.append((int(left), {**path, int(feature): (above, min(up_to, threshold), share * part)}))
+        stack.append((int(right), {**path, int(feature): (max(above, threshold), up_to, share * (1 - part))}))
+    return found
+
+
+def _shapley(leaves: list, x: np.ndarray) -> np.ndarray:
+    """Shapley values of the features for the rows ``x`` of one tree.
+
+    A feature outside a coalition splits the row by the shares of the training rows. A leaf's value in a coalition is then a product
+    over the features on its path, so the sum over coalitions of one size is a coefficient of a polynomial.
+    """
+    total = np.zeros_like(x)
+    for value, path in leaves:
+        size = len(path)
+        # NaN goes right at every split, as in the model
+        inside = {f: np.where(np.isnan(x[:, f]), up_to == np.inf, ((x[:, f] > above) | (above == -np.inf)) & (x[:, f] <= up_to)).astype(float)
+                  for f, (above, up_to, _) in path.items()}
+        weight = [math.factorial(k) * math.factorial(size - k - 1) / math.factorial(size) for k in range(size)]
+        for feature, (_, _, share) in path.items():
+            terms = np.zeros((len(x), size))
+            terms[:, 0] = 1.0
+            for other, (_, _, part) in path.items():
+                if other != feature:
+                    shifted = np.zeros_like(terms)
+                    shifted[:, 1:] = terms[:, :-1] * inside[other][:, None]
+                    terms = terms * part + shifted
+            total[:, feature] += value * (inside[feature] - share) * (terms @ np.array(weight))
+    return total
+
+
 def tree_attribution(model: PipelineModel, features: list[str] = FEATURES):
-    """A column function: array of contributions per feature, from the change of the node value along each path.
+    """A column function: array of Shapley values per feature for the sum of the model's trees.
 
-    The trees are part of the model and travel with the function; rows arrive in Arrow batches.
+    They add up to that sum less its mean over the training rows. The trees are part of the model and travel with the function;
+    rows arrive in Arrow batches.
     """
     last = model.stages[-1]
-    trees = [_flat_tree(t._call_java("rootNode")) for t in last.trees]
+    trees = [_leaves(_flat_tree(t._call_java("rootNode"))) for t in last.trees]
     weights = list(last.treeWeights)
 
     @F.pandas_udf("array<double>")
     def contributions(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        total = np.zeros_like(x)
-        for tree, weight in zip(trees, weights):
-            at = np.zeros(len(x), dtype=int)
-            live = np.flatnonzero(tree[at, 0] >= 0)
-            while len(live):
-                feature = tree[at[live], 0].astype(int)
-                down = np.where(x[live, feature] <= tree[at[live], 1], tree[at[live], 2], tree[at[live], 3]).astype(int)
-                total[live, feature] += weight * (tree[down, 4] - tree[at[live], 4])
-                at[live] = down
-                live = live[tree[down, 0] >= 0]
-        return pd.Series(list(total))
+        return pd.Series(list(sum(w * _shapley(leaves, x) for leaves, w in zip(trees, weights))))
 
     return contributions(*[F.col(f).cast("double") for f in features])
 

@@ -1,5 +1,8 @@
 """Rules, verdict order, watchlists and drift."""
 
+import itertools
+import math
+
 import pytest
 
 from riskloom.contracts import Rule
@@ -128,6 +131,27 @@ def test_models(spark):
     raw = model.transform(df).select(vector_to_array("rawPrediction")[1].alias("raw"), F.aggregate(parts, F.lit(base), lambda a, x: a + x).alias("sum"))
     worst = raw.agg(F.max(F.abs(F.col("raw") - 2 * F.col("sum"))), F.max(F.abs(F.col("raw") - F.col("sum")))).first()
     assert min(worst) < 1e-6
+    # against the definition: every order of joining, a feature outside the coalition follows the training rows
+    trees = [learners._flat_tree(t._call_java("rootNode")) for t in last.trees]
+    rows = df.orderBy("id").limit(3).select(*learners.FEATURES, parts.alias("parts")).collect()
+
+    def value(tree, row, known, at=0):
+        feature, threshold, left, right, leaf, count = tree[at]
+        if feature < 0:
+            return leaf
+        left, right = int(left), int(right)
+        if int(feature) in known:
+            return value(tree, row, known, left if row[int(feature)] <= threshold else right)
+        return sum(tree[d, 5] / count * value(tree, row, known, d) for d in (left, right))
+
+    n = len(learners.FEATURES)
+    for row in rows:
+        total = {s: sum(w * value(t, row, s) for t, w in zip(trees, last.treeWeights))
+                 for k in range(n + 1) for s in map(frozenset, itertools.combinations(range(n), k))}
+        for i in range(n):
+            want = sum(math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n) * (total[s | {i}] - v)
+                       for s, v in total.items() if i not in s)
+            assert abs(want - row.parts[i]) < 1e-9
 
 
 def test_isolation_forest(spark):
