@@ -10,7 +10,7 @@ from riskloom.catalog.registry import query
 from riskloom.catalog.sqlparts import ALERTS, LATEST_FEEDBACK, PLAIN_ALERTS, TX
 from riskloom.contracts import TEST_RULES
 from riskloom.functions import scalar
-from riskloom.operators import cases, decisions, insights
+from riskloom.operators import cases, decisions, insights, rule_index
 from riskloom.sources import tables
 
 RULES = TEST_RULES
@@ -105,11 +105,44 @@ def jon5(spark, folder):
         F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("flag").alias("action"),
         F.array(condition("amount", ">", F.col("n_nationkey") * 20),
                 condition("device_shift", "==", F.col("n_regionkey") % 2)).alias("conditions"))
-    hits = decisions.rule_hits(tables.alerts(spark, folder).withColumnRenamed("id", "alert_id"),
-                               decisions.load_rules(rules), ["alert_id"])
+    hits = rule_index.hits(tables.alerts(spark, folder).withColumnRenamed("id", "alert_id"), rules, ["alert_id"])
     return hits.select(F.col("alert_id").alias("id"), "rule_name")
 
 
+def part_rules(spark, folder):
+    """One rule per part: a band of amounts a quarter wide, some with a minimum of transactions, and every eleventh without a condition."""
+    condition = lambda field, op, value: F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), value.cast("double").alias("value"))
+    low = F.col("p_retailprice") / 10
+    band = [condition("amount", ">=", low), condition("amount", "<", low + 0.25)]
+    return tables.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(F.col("p_size") > 25, "escalate").otherwise("flag").alias("action"),
+        F.when(F.col("p_partkey") % 11 == 0, F.array().cast("array<struct<field:string,op:string,value:double>>"))
+        .when(F.col("p_partkey") % 2 == 0, F.array(*band, condition("tx_count_24h", "!=", F.lit(2))))
+        .otherwise(F.array(*band, condition("device_shift", "==", F.lit(1)))).alias("conditions"))
+
+
+PART_RULES = """amount >= p_retailprice / 10 AND amount < p_retailprice / 10 + 0.25 AND p_partkey % 11 <> 0
+AND CASE WHEN p_partkey % 2 = 0 THEN tx_count_24h <> 2 ELSE device_shift = 1 END"""
+
+
+@query("jon5_rule_table", f"""WITH {ALERTS} SELECT id, p_partkey::VARCHAR AS rule_id, CASE WHEN p_size > 25 THEN 'escalate' ELSE 'flag' END AS rule_action
+FROM al JOIN part ON {PART_RULES}""")
+def jon5_rule_table(spark, folder):
+    """As many rules as there are parts, matched from the rule table."""
+    hits = rule_index.hits(tables.alerts(spark, folder).withColumnRenamed("id", "alert_id"), part_rules(spark, folder), ["alert_id"])
+    return hits.select(F.col("alert_id").alias("id"), "rule_id", "rule_action")
+
+
+@query("prj9_rule_table_decision", f"""WITH {ALERTS}, hit AS (SELECT id AS hit_id, count(*) AS rules, bool_or(p_size > 25) AS escalates FROM al JOIN part ON {PART_RULES} GROUP BY id)
+SELECT id, coalesce(rules, 0) AS rules, CASE WHEN NOT coalesce(escalates, false) THEN risk_label WHEN risk_label = 'SAFE' THEN 'SUSPICIOUS' ELSE 'FRAUD' END AS risk_label
+FROM al LEFT JOIN hit ON id = hit_id""")
+def prj9_rule_table(spark, folder):
+    """The decision with as many rules as there are parts, without a shuffle for the rules."""
+    out = decisions.decide(tables.alerts(spark, folder), part_rules(spark, folder))
+    return out.select("id", F.size("rules_triggered").cast("long").alias("rules"), "risk_label")
+
+
 def watchlist(spark, folder):
     """Customers in debt as entities, event types with very large amounts as devices, indebted suppliers as merchants."""
     reason = F.lit("table").alias("reason")

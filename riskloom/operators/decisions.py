@@ -61,12 +61,6 @@ def rule_hits(df: DataFrame, rules, keep: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"id": "rule_id", "name": "rule_name", "action": "rule_action"})
 
 
-def load_rules(rules: DataFrame) -> list[Rule]:
-    """Rule definitions (id, name, conditions, action) as compiled-in constants; they are configuration, not data."""
-    return [Rule(str(r.id), r.name, tuple((c.field, c.op, c.value) for c in r.conditions), r.action)
-            for r in rules.orderBy("id").toLocalIterator()]
-
-
 def validate_rules(rules: DataFrame) -> DataFrame:
     """``rejected_because`` per rule draft; null means valid."""
     fields, ops = F.array(*[F.lit(f) for f in RULE_FIELDS]), F.array(*[F.lit(o) for o in RULE_OPS])
@@ -101,14 +95,18 @@ def decide(df: DataFrame, rules, watchlist: DataFrame | None = None, threshold:
     """Adds ``risk_label`` and ``rules_triggered`` (names) to scored rows.
 
     The threshold gives a verdict, an escalating rule lifts it one step, a watchlist hit makes it FRAUD at 0.99 or
-    more. Rules see the score before that override.
+    more. Rules see the score before that override. ``rules`` are compiled into the plan, or a table of any number of rules.
     """
     if watchlist is not None:
         df = match_watchlist(df, watchlist)
     else:
         df = df.withColumn("watch", F.lit(None).cast("struct<id:string,kind:string,reason:string>"))
     label = verdict(F.col("risk_score"), threshold)
-    df = df.withColumn("_rules", triggered(df, rules))
+    if isinstance(rules, DataFrame):
+        from riskloom.operators import rule_index
+        df = rule_index.triggered(df, rules)
+    else:
+        df = df.withColumn("_rules", triggered(df, rules))
     escalates = F.exists("_rules", lambda r: r["action"] == "escalate")
     watched = F.col("watch").isNotNull()
     names = F.transform("_rules", lambda r: r["name"])

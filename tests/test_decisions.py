@@ -7,7 +7,7 @@ import pytest
 
 from riskloom.contracts import Rule
 from riskloom.functions import scalar
-from riskloom.operators import attribution, cases, decisions, evaluation, insights, learners
+from riskloom.operators import attribution, cases, decisions, evaluation, insights, learners, rule_index
 from riskloom.sources import tables
 
 import hashlib
@@ -176,3 +176,46 @@ def test_unseen_categories(spark):
 def test_strongest_contributions(spark):
     df = spark.range(1).select(F.create_map(F.lit("a"), F.lit(0.1), F.lit("b"), F.lit(-0.9), F.lit("c"), F.lit(0.5)).alias("m"))
     assert [r.feature for r in df.select(F.inline(attribution.strongest(F.col("m"), 2))).collect()] == ["b", "c"]
+
+
+RULE_TABLE = "id string, name string, action string, conditions array<struct<field:string,op:string,value:double>>"
+
+
+def test_rule_table_equals_compiled_rules(spark):
+    """Random conjunctions, several conditions on one field, rules that never match, missing fields, nulls, NaN and infinities."""
+    import random
+    draw = random.Random(5)
+    values = [-1.0, -0.0, 0.0, 1.0, 2.5, 100.0, math.inf, -math.inf, math.nan]
+    fields = ["amount", "tx_count_5m", "risk_score", "absent"]
+    rules = [Rule(f"r{i:04}", f"n{i}", tuple((draw.choice(fields), draw.choice([*decisions.COMPARE, "~"] if i % 50 == 0 else list(decisions.COMPARE)), draw.choice(values))
+                                              for _ in range(draw.randrange(4))), draw.choice(["flag", "escalate"])) for i in range(150)]
+    rows = [(i, draw.choice([*values, None]), draw.choice([0, 1, 2, 100, None]), draw.choice([*values, None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, amount double, tx_count_5m int, risk_score double").repartition(3)
+    table = spark.createDataFrame([(r.id, r.name, r.action, [tuple(c) for c in r.conditions]) for r in rules], RULE_TABLE)
+    want = {(h.k, h.rule_id, h.rule_name, h.rule_action) for h in decisions.rule_hits(df, rules, ["k"]).collect()}
+    got = [tuple(h) for h in rule_index.hits(df, table, ["k"]).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    listed = rule_index.triggered(df, table).collect()
+    assert len(listed) == len(rows)
+    assert all([h.id for h in r._rules] == sorted(i for k, i, *_ in want if k == r.k) for r in listed)
+    for empty in (table.limit(0), table.where("size(conditions) = 0")):
+        assert rule_index.hits(df, empty, ["k"]).count() == 0
+        assert {len(r._rules) for r in rule_index.triggered(df, empty).collect()} == {0}
+    null = spark.createDataFrame([("a", "n", "flag", None), ("b", "n", "flag", [("amount", ">", None)]), ("c", "n", "flag", [(None, ">", -5.0)])], RULE_TABLE)
+    assert rule_index.hits(df, null, ["k"]).count() == 0
+    assert rule_index.hits(df.limit(0), table, ["k"]).count() == 0
+
+
+def test_a_hundred_thousand_rules(spark):
+    """Each rule holds one value of its own; a row meets the one rule of its value, and the decision knows it."""
+    import time
+    c = lambda op, value: F.struct(F.lit("amount").alias("field"), F.lit(op).alias("op"), value.cast("double").alias("value"))
+    table = spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("escalate").alias("action"),
+                                        F.array(c(">=", F.col("id")), c("<", F.col("id") + 1)).alias("conditions"))
+    rows = spark.range(3000).select("id", (F.col("id") * 33 + 0.5).alias("amount"), F.lit(0.0).alias("risk_score"))
+    begun = time.time()
+    got = rule_index.hits(rows, table, ["id", "amount"]).collect()
+    print("100,000 rules x 3,000 rows:", round(time.time() - begun, 1), "s")
+    assert {(r.id, int(r.rule_id)) for r in got} == {(i, i * 33) for i in range(3000)} and len(got) == 3000
+    out = decisions.decide(rows.limit(50), table).collect()
+    assert {r.risk_label for r in out} == {"SUSPICIOUS"} and all(r.rules_triggered == [f"n{r.id * 33}"] for r in out)
