@@ -352,14 +352,32 @@ def agg3(spark, folder):
     return star.dim_date(tables.transactions(spark, folder))
 
 
-@query("fact_transactions", f"""WITH {FEATURES} SELECT transaction_id, account_id, device_id, merchant_id,
+FACT_SQL = f"""WITH {FEATURES} SELECT transaction_id, account_id, device_id, merchant_id,
 CAST(strftime(event_ts, '%Y%m%d') AS INTEGER) AS date_key, amount, event_ts, tx_count_5m, tx_count_1h, tx_count_24h,
 round(avg_amount_1h, 6) AS avg_amount_1h, unique_merchants_1h, device_shift, round(amount_zscore, 6) AS amount_zscore,
-is_fraud AS "isFraud" FROM ft""")
+is_fraud AS "isFraud" FROM ft"""
+
+
+@query("fact_transactions", FACT_SQL)
 def fact(spark, folder):
     return tables.ntz(_rounded(_fact(spark, folder)), "event_ts")
 
 
+@query("job1_incremental_fact", FACT_SQL)
+def incremental_fact(spark, folder):
+    """The fact table of three batches one after the other: the first half in time, the rest, and every seventeenth row late."""
+    root, tx = files.scratch(spark, "increments"), tables.transactions(spark, folder)
+    middle = tx.agg(((F.min("event_time_seconds") + F.max("event_time_seconds")) / 2).alias("t")).first().t or 0.0
+    batch = F.when(F.col("transaction_id") % 17 == 0, "b3").when(F.col("event_time_seconds") < middle, "b1").otherwise("b2")
+    files.write_batch(tx.withColumn("_batch_id", batch), f"{root}/in")
+    for name in ("b1", "b2", "b3"):
+        one = spark.read.parquet(f"{root}/in").where(F.col("_batch_id") == name)
+        files.write_batch(one, f"{root}/silver/transactions_cleaned")
+        medallion.gold(spark, root, batch_id=name)
+    out = spark.read.parquet(f"{root}/gold/fact_transactions")
+    return tables.ntz(_rounded(out), "event_ts")
+
+
 @query("flagship_account_risk", f"""WITH {FEATURES} SELECT account_id, count(*) AS tx_count, sum(is_fraud)::BIGINT AS fraud_count,
 max(tx_count_5m) AS peak_5m, max(tx_count_24h) AS peak_24h, sum(device_shift)::BIGINT AS device_shifts,
 round(max(sum_amount_1h), 4) AS peak_amount_1h, round(max(abs(amount_zscore)), 6) AS peak_zscore,

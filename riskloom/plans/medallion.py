@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.contracts import RAW_IDENTITY, RAW_TRANSACTION, QualityBounds
 from riskloom.operators import cleaning, features, quality, star
+from riskloom.plans import increments
 from riskloom.session import materialise, pin_utc
 from riskloom.sources import files
 
@@ -74,13 +75,17 @@ def silver(spark: SparkSession, root: str, batch_id: str, bounds: QualityBounds
     return report
 
 
-def gold(spark: SparkSession, root: str, files_per_day: int = 8) -> None:
-    """The dimensions need no features, so they read the clean table and not the windowed plan."""
-    tx = files.read_table(spark, f"{root}/silver/transactions_cleaned").drop("_batch_id")
-    fact = star.fact(features.behaviour(tx))
-    # a day goes to a few files of equal size, whatever its accounts look like
-    part = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_day))
-    files.write_table(fact.repartition("date_key", part), f"{root}/gold/fact_transactions", partition_by=["date_key"], rebuild=True)
+def gold(spark: SparkSession, root: str, files_per_day: int = 8, batch_id: str | None = None) -> None:
+    """Fact table and dimensions. A ``batch_id`` that the fact table does not hold yet is added to it; otherwise it is built anew.
+
+    The dimensions need no features, so they read the clean table and not the windowed plan.
+    """
+    tx = files.read_table(spark, f"{root}/silver/transactions_cleaned")
+    if batch_id is not None and increments.can_apply(spark, root, batch_id):
+        increments.apply(spark, root, batch_id, files_per_day)
+    else:
+        increments.write_fact(star.fact(features.behaviour(tx)), root, files_per_day, rebuild=True)
+        increments.start(spark, root, tx)
     for name, build in (("dim_account", star.dim_account), ("dim_device", star.dim_device), ("dim_date", star.dim_date)):
         files.write_table(build(tx), f"{root}/gold/{name}")
 
@@ -98,7 +103,7 @@ def run(spark: SparkSession, transactions: str, identity: str | None, root: str,
         elif name == "silver":
             silver(spark, root, batch_id)
         elif name == "gold":
-            gold(spark, root)
+            gold(spark, root, batch_id=batch_id)
         else:
             export(spark, root)
 
