@@ -27,6 +27,17 @@ def divisible(key: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus == 0, F.lit(False))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: dict[str, str]) -> DataFrame:
     """``fn`` turns a record batch into columns. Spark bounds a batch by rows and by bytes, so a task never holds its partition."""
     return map_partitions(df, lambda batches: (fn(b) for b in batches if b.num_rows), schema)

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import unused
 from riskloom.session import materialise
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -62,8 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows that stay, with all their columns. Joined on digest and id, so that copies are spread over all tasks."""
-    kept = combine(docs, id_col, text_col, salts, sha256).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__digest", sha256(normalised(F.col(text_col))))
-    kept = kept.withColumnRenamed("__digest", "__of")
-    joined = rows.join(kept, (rows["__digest"] == kept["__of"]) & rows[id_col].eqNullSafe(kept["__keep"]))
-    return joined.dropDuplicates(["__digest", id_col]).select(*docs.columns)
+    digest, of, keep = unused(docs, "__digest", "__of", "__keep")
+    kept = combine(docs, id_col, text_col, salts, sha256).select(F.col("digest").alias(of), F.col("keep_id").alias(keep))
+    rows = docs.withColumn(digest, sha256(normalised(F.col(text_col))))
+    joined = rows.join(kept, (F.col(digest) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(keep)))
+    return joined.dropDuplicates([digest, id_col]).select(*docs.columns)

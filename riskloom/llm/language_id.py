@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import STEP_BYTES, keep_rows, map_batches, steps, type_of
+from riskloom.llm.common import STEP_BYTES, keep_rows, map_batches, steps, type_of, unused
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 LATIN = re.compile("[A-Za-z]")
@@ -133,11 +133,12 @@ def has_letter(text: str | None) -> bool:
 def labelled(docs: DataFrame, usable: Column, per_language: int, crops: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
     """A bounded sample of labelled rows as windows of text. The ids are chosen first; the chosen texts are cut at ``crops`` places
     (by hash of the id, anywhere in the whole text) inside the tasks, so that only windows travel."""
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language).select("__id").distinct()
+    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    [chosen] = unused(docs, "__chosen")
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("id").alias(chosen)).distinct()
     # at most per_language ids of each language
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("__id"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col(chosen))
     text = F.col(text_col).cast("string")
     places = [F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(F.char_length(text) - WINDOW + 1, F.lit(1))) + 1 for i in range(crops)]
     cut = F.array_distinct(F.array(*[F.substring(text, p.cast("int"), F.lit(WINDOW)) for p in places]))

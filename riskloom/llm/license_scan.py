@@ -1,9 +1,10 @@
 """License scan: winnowed fingerprints find templates, banded alignment measures how much of them a document holds.
 
-Texts are words of ASCII letters and digits in lower case. All hashes of ``GRAM`` words in a row of a document are looked up in an
-inverted index from hash to (template, position), which gives candidates with the diagonal on which they lie. Templates too short
-to keep ``GRAM`` words in a row when the share of words that ``least`` allows is replaced are looked up by fewer words, so that
-replaced words alone never hide a span of that coverage. Along each diagonal the template is aligned with the document (matches
+Texts are words of ASCII letters and digits in lower case. The fingerprints of a template are the smallest of each ``WINNOW`` hashes
+of ``GRAM`` words in a row; an inverted index leads from them to (template, position). All hashes of a document are looked up,
+so GRAM + WINNOW - 1 shared words in a row always meet, which gives candidates with the diagonal on which they lie. A template that may
+keep fewer words in a row when the share of words that ``least`` allows is replaced is posted whole, by fewer words where need be, so that
+replaced words alone never hide a span of that coverage; a span of less coverage is found if it has that many words in a row. Along each diagonal the template is aligned with the document (matches
 2, others -1, within ``BAND`` words of the diagonal), which gives matched words, coverage of the template and the span in the
 document's words. A span is reported from ``least_words`` matched words on, whatever its coverage; ``whole`` says whether the
 coverage is ``least`` or more, and spans that are whole are reported whatever their length.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import map_batches, type_of
 
-GRAM, WINNOW, BAND = 3, 3, 8
+GRAM, WINNOW, BAND = 3, 2, 8
 WORD = re.compile(rb"[a-z0-9]+")
 
 #: Notices of public licenses (fixed values).
@@ -81,13 +82,13 @@ def winnow(h: np.ndarray) -> np.ndarray:
 
 
 def unbroken(words: int, least: float) -> int:
-    """Words in a row, ``GRAM`` at most, that are left however the words that ``least`` does not ask for are replaced."""
+    """Words in a row that are left however the words that ``least`` does not ask for are replaced."""
     lost = words - max(1, math.ceil(least * words - 1e-9))
-    return min(GRAM, math.ceil((words - lost) / (lost + 1))) if words else GRAM
+    return math.ceil((words - lost) / (lost + 1)) if words else GRAM
 
 
 class Index:
-    """Templates and, by length of gram, the inverted index of their grams."""
+    """Templates and, by length of gram, the inverted index of their fingerprints, or of all grams where these would not do."""
 
     def __init__(self, templates: dict[str, str], least: float = 0.8):
         self.names = sorted(templates)
@@ -95,9 +96,11 @@ class Index:
         self.ids = {w: zlib.crc32(w) | 1 << 32 for ws in self.words for w in ws}
         self.posting: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ws in enumerate(self.words):
-            size = unbroken(len(ws), least)
-            for p, h in enumerate(grams(np.array([self.ids[w] for w in ws], np.uint64), size).tolist()):
-                self.posting.setdefault(size, {}).setdefault(h, []).append((t, p))
+            run = unbroken(len(ws), least)
+            size = min(GRAM, run)
+            h = grams(np.array([self.ids[w] for w in ws], np.uint64), size)
+            for p in (winnow(h) if run >= GRAM + WINNOW - 1 else np.arange(len(h))).tolist():
+                self.posting.setdefault(size, {}).setdefault(int(h[p]), []).append((t, p))
         self.known = {size: np.array(sorted(x), np.uint64) for size, x in self.posting.items()}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches, map_partitions, steps, type_of
+from riskloom.llm.common import map_batches, map_partitions, steps, type_of, unused
 from riskloom.llm.shingles import band_keys, shingle_sets, super_minhash
 from riskloom.operators.graph import components
 from riskloom.session import materialise
@@ -238,5 +238,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay: one document of each group. An id goes with all its rows where one of them is a later copy."""
-    dropped = near_groups(docs, words, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    [name] = unused(docs, "__dropped")
+    dropped = near_groups(docs, words, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col(name), "left_anti")

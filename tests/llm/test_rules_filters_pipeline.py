@@ -159,3 +159,60 @@ def test_pipeline_odd_and_empty(spark, odd, none, small):
             rows = out.collect()
             df = spark.createDataFrame(rows, out.schema)
         assert {r.doc_id for r in rows} <= {4, 5, 6, 7, 8, None}
+
+
+def full_alignment(template, words):
+    """Matched words of the best local alignment, over the whole table."""
+    best, above = (0, 0), [(0, 0)] * (len(words) + 1)
+    for want in template:
+        row = [(0, 0)]
+        for j, word in enumerate(words):
+            s, m = above[j]
+            cell = (s + 2, m + 1) if word == want else (s - 1, m)
+            for s, m in (above[j + 1], row[j]):
+                cell = max(cell, (s - 1, m), key=lambda x: x[0])
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1], key=lambda x: x[0])
+        above = row
+    return best[1]
+
+
+def test_winnowed_index_finds_what_full_tables_find(spark):
+    """Templates with a fifth of the words replaced at even and at random places, or with words added, amid other words."""
+    import random
+    draw, rows, want = random.Random(2), [], {}
+    index = license_scan.Index(license_scan.TEMPLATES)
+    whole = sum(max(0, len(ws) - license_scan.GRAM + 1) for ws in index.words)
+    assert sum(len(p) for posting in index.posting.values() for p in posting.values()) < 0.8 * whole  # fingerprints, not all grams
+    for name in ("apache-2.0-header", "gpl-3.0-header", "isc", "mit-text", "mit", "cc-by-4.0"):
+        template = [w.decode() for w in license_scan.words_of(license_scan.TEMPLATES[name])]
+        lost = len(template) - int(np.ceil(0.8 * len(template)))
+        for kind in range(6):
+            words = list(template)
+            places = [(i + 1) * len(words) // (lost + 1) for i in range(lost)] if kind == 0 else draw.sample(range(len(words)), lost)
+            for p in places:
+                words[p] = f"odd{p}"
+            if kind > 3:
+                words.insert(len(words) // 2, "extra")
+            words = [f"x{draw.random()}" for _ in range(7)] + words + ["y", "z"]
+            i = len(rows)
+            rows.append((i, " ".join(words)))
+            want[i] = name, full_alignment([w.encode() for w in template], license_scan.words_of(rows[-1][1]))
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), least_words=1).collect()
+    best = {}
+    for r in found:
+        best[r.doc_id, r.license] = max(best.get((r.doc_id, r.license), 0), r.matched_words)
+    assert all(best[i, name] == n for i, (name, n) in want.items())
+
+
+def test_internal_names_of_the_user(spark):
+    """Columns that are called like internal ones keep their values and disturb nothing."""
+    from riskloom.llm import exact_dedup, language_id
+    names = ("__digest", "__of", "__keep", "__id", "__lang", "__n", "__chosen", "__dropped", "_kept", "id", "n", "digest", "body", "salt", "keep_id")
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, t, "en", *(f"{n}{i}" for n in names)) for i, t in enumerate([text, text, text.replace(" ", "  "), "other words here", None])]
+    docs = spark.createDataFrame(rows, schema)
+    for kept, ids in ((exact_dedup.keep_one(docs), [0, 3, 4]), (near_dedup.keep_first(docs), [0, 3, 4])):
+        assert sorted(map(tuple, kept.select(*docs.columns).collect())) == [rows[i] for i in ids]
+    assert len(language_id.labelled(docs, docs["doc_id"] >= 0, 10)) == 4
