@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.operators import features, star
 from riskloom.operators.features import KEY, ORDER, TIME, _moments_zscore, _sequence
@@ -52,13 +53,21 @@ def write_fact(fact: DataFrame, root: str, files_per_day: int, rebuild: bool) ->
     files.write_table(fact.repartition("date_key", part), f"{root}/gold/fact_transactions", partition_by=["date_key"], rebuild=rebuild)
 
 
+def clean_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The clean table with batch ids as they were given: without a schema, Spark reads the folder of batch 01 as the number 1."""
+    path = f"{root}/silver/transactions_cleaned"
+    found = files.read_table(spark, path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name == "_batch_id" else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def start(spark: SparkSession, root: str, clean: DataFrame) -> None:
     """Ledger and state of a fact table just built from ``clean`` (with its ``_batch_id``)."""
     state, amount = f"{root}/gold/account_state/{uuid.uuid4().hex}", F.col("amount")
     count = F.count(amount).cast("double")
     moments = F.struct(count.alias("n"), F.coalesce(F.avg(amount), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(amount) * count, F.lit(0.0)).alias("m2"))
     _put_state(spark, state, clean.groupBy(KEY).agg(_last(F.struct(*ROW)).alias("last"), moments.alias("moments")))
-    spans = clean.groupBy(F.col("_batch_id").cast("string").alias("batch")).agg(F.min(TIME).alias("low"), F.max(TIME).alias("high"))
+    spans = clean.groupBy(F.col("_batch_id").alias("batch")).agg(F.min(TIME).alias("low"), F.max(TIME).alias("high"))
     files.write_table(spans.withColumn("state", F.lit(state)), _ledger(root))
 
 
@@ -74,7 +83,7 @@ def _put_state(spark: SparkSession, path: str, per: DataFrame) -> None:
 
 def apply(spark: SparkSession, root: str, batch_id: str, files_per_day: int = 8, hot_rows: int | None = HOT_ROWS) -> int:
     """Adds the clean rows of a batch to the fact table; returns the number of days written."""
-    silver = spark.read.parquet(f"{root}/silver/transactions_cleaned").withColumn("_batch_id", F.col("_batch_id").cast("string"))
+    silver = clean_rows(spark, root)
     known, of_batch = applied(spark, root), F.col("_batch_id") == batch_id
     new = silver.where(of_batch).select(*ROW)
     span = new.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()

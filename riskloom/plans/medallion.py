@@ -80,7 +80,7 @@ def gold(spark: SparkSession, root: str, files_per_day: int = 8, batch_id: str |
 
     The dimensions need no features, so they read the clean table and not the windowed plan.
     """
-    tx = files.read_table(spark, f"{root}/silver/transactions_cleaned")
+    tx = increments.clean_rows(spark, root)
     if batch_id is not None and increments.can_apply(spark, root, batch_id):
         increments.apply(spark, root, batch_id, files_per_day)
     else:

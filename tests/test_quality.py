@@ -210,28 +210,28 @@ def test_batches_one_by_one_equal_a_rebuild(spark, tmp_path):
     schema = ("transaction_id long, account_id string, device_id string, merchant_id string, amount double, event_time_seconds double, "
               "event_ts timestamp, is_fraud int")
     day = 86400
-    batches = {"b1": list(rows(range(60), 0, 3 * day)), "b2": list(rows(range(100, 140), 3 * day, 5 * day)),
-               "b3": list(rows(range(200, 230), day, 6 * day)), "b4": list(rows(range(300, 320), 20 * day, 21 * day))}
-    end = max(batches["b2"], key=lambda r: r[5])
-    batches["b3"] += [(900, end[1], "d9", "m9", 7.0, end[5], end[6], 0)]
+    batches = {"01": list(rows(range(60), 0, 3 * day)), "02": list(rows(range(100, 140), 3 * day, 5 * day)),
+               "03": list(rows(range(200, 230), day, 6 * day)), "04": list(rows(range(300, 320), 20 * day, 21 * day))}
+    end = max(batches["02"], key=lambda r: r[5])
+    batches["03"] += [(900, end[1], "d9", "m9", 7.0, end[5], end[6], 0)]
     root = f"{tmp_path}/root"
     for name, batch in batches.items():
-        hot_rows = 10 if name == "b3" else 20_000
+        hot_rows = 10 if name == "03" else 20_000
         clean = spark.createDataFrame(batch, schema).withColumn("_batch_id", F.lit(name))
         files.write_batch(clean, f"{root}/silver/transactions_cleaned")
-        if name == "b1":
+        if name == "01":
             medallion.gold(spark, root, batch_id=name)
             continue
         assert increments.can_apply(spark, root, name)
         days = increments.apply(spark, root, name, hot_rows=hot_rows)
-        assert days <= {"b2": 3, "b3": 7, "b4": 2}[name]
-        if name == "b3":  # broken off before the ledger: the same again
+        assert days <= {"02": 3, "03": 7, "04": 2}[name]
+        if name == "03":  # broken off before the ledger: the same again
             kept = [r for r in increments.applied(spark, root).collect() if r.batch != name]
             files.write_table(spark.createDataFrame(kept).coalesce(1), increments._ledger(root))
             increments.apply(spark, root, name, hot_rows=hot_rows)
         assert not increments.can_apply(spark, root, name)
     got = _facts(spark, root)
-    medallion.gold(spark, root, batch_id="b4")  # held already: a rebuild
+    medallion.gold(spark, root, batch_id="04")  # held already: a rebuild
     want = _facts(spark, root)
     assert len(want) == 151 and got.keys() == want.keys()
     for i, row in want.items():
