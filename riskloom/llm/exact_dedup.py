@@ -62,9 +62,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all their columns. Joined on digest and id, so that copies are spread over all tasks."""
-    digest, of, keep = unused(docs, "__digest", "__of", "__keep")
-    kept = combine(docs, id_col, text_col, salts, sha256).select(F.col("digest").alias(of), F.col("keep_id").alias(keep))
-    rows = docs.withColumn(digest, sha256(normalised(F.col(text_col))))
-    joined = rows.join(kept, (F.col(digest) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(keep)))
-    return joined.dropDuplicates([digest, id_col]).select(*docs.columns)
+    """The rows that stay, with all their columns. Joined on digest and id, so that copies are spread over all tasks; a row that
+    repeats both is dropped where the join put it, so whole rows are shuffled once."""
+    digest, no_id, own, of, none, keep = unused(docs, "__digest", "__no_id", "__own", "__of", "__none", "__keep")
+    # a null id and its flag are keys as others are: a null-safe join would shuffle by keys of its own
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    kept = combine(docs, id_col, text_col, salts, sha256)
+    kept = kept.select(F.col("digest").alias(of), F.col("keep_id").isNull().alias(none), F.coalesce("keep_id", zero).alias(keep))
+    hashed = F.coalesce(sha256(normalised(F.col(text_col))), F.lit(""))  # never null: else Spark hashes twice, once for a filter
+    rows = docs.withColumn(digest, hashed).withColumn(no_id, F.col(id_col).isNull()).withColumn(own, F.coalesce(F.col(id_col), zero))
+    joined = rows.join(kept, (F.col(digest) == F.col(of)) & (F.col(no_id) == F.col(none)) & (F.col(own) == F.col(keep)))
+    return joined.dropDuplicates([digest, no_id, own]).select(*docs.columns)

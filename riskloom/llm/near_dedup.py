@@ -81,19 +81,6 @@ class Sets:
         return a != b
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """The same components with at most one link per node and task."""
-    def run(batches):
-        sets = Sets()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sets.join(a, b)
-        ends = [(x, r) for x in sets.parent if (r := sets.find(x)) != x]
-        yield {"a": [r for _, r in ends], "b": [x for x, _ in ends]}
-
-    return map_partitions(links.select("a", "b"), run, {"a": type_of(links, "a"), "b": type_of(links, "b")})
-
-
 def linked(sets: list[np.ndarray], side: np.ndarray, part: list, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs (places) that link and join two components. Side 0 is compared with side 1, side 2 with itself.
 
@@ -151,20 +138,27 @@ def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def compare(tasks: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) found by comparison tasks. ``tasks``: (task, id, digest, side, part); ``texts``: (id, text)."""
+    """Links (a, b) found by comparison tasks, contracted where they are found: the same components with at most one link per
+    node and Spark task. ``tasks``: (task, id, digest, side, part); ``texts``: (id, text)."""
     kind = type_of(texts, "id")
     rows = tasks.join(needed(texts, tasks), "id").select("task", "side", "id", "digest", "part", F.col("text").cast("binary").alias("text"))
     rows = rows.repartition("task").sortWithinPartitions("task", "side", "id")
 
     def run(batches):
-        key, held = None, []
+        key, held, sets = None, [], Sets()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != key:
-                    yield from links(held)
+                    contract(held, sets)
                     key, held = row[0], []
                 held.append(row)
-        yield from links(held)
+        contract(held, sets)
+        ends = [(x, r) for x in sets.parent if (r := sets.find(x)) != x]
+        yield {"a": [r for _, r in ends], "b": [x for x, _ in ends]}
+
+    def contract(held, sets):
+        for a, b in links(held):
+            sets.join(a, b)
 
     def links(held):
         if len(held) < 2:
@@ -177,9 +171,7 @@ def compare(tasks: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
         right = [i for i, s in enumerate(sets) if digest(s) == held[i][3]]
         held, sets = [held[i] for i in right], [sets[i] for i in right]
         if len(held) > 1:
-            found = [(held[i][2], held[j][2]) for i, j in linked(sets, np.array([r[1] for r in held]), [r[4] for r in held], percent)]
-            if found:
-                yield {"a": [min(x) for x in found], "b": [max(x) for x in found]}
+            yield from ((held[i][2], held[j][2]) for i, j in linked(sets, np.array([r[1] for r in held]), [r[4] for r in held], percent))
 
     return map_partitions(rows, run, {"a": kind, "b": kind})
 
@@ -224,11 +216,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     members = materialise(rows.join(shared, "key"))
 
-    first = materialise(contract(compare(stars(members), texts, words, percent)))
+    first = materialise(compare(stars(members), texts, words, percent))
     part = components(first).withColumnRenamed("account", "id").withColumnRenamed("component", "of")
     placed = materialise(members.join(part, "id", "left").select("key", "id", "digest", "n", F.coalesce("of", "id").alias("part")))
     more = compare(blocks(placed), texts, words, percent)
-    links = first.unionByName(contract(more))
+    links = first.unionByName(more)
     part = components(links).select(F.col("account").alias("rep"), "component")
     named = classes.select("digest", "rep").join(part, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = found.select("id", "n", "digest").join(named, "digest", "left")

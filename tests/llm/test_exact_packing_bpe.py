@@ -48,6 +48,21 @@ def test_keep_one_keeps_columns_and_one_row(odd, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.keep_one(none).count() == 0
 
 
+def test_keep_one_shuffles_whole_rows_once(spark):
+    """The join's places serve for the last step too, null ids included: two shuffles of texts for the groups, one of rows, one of keys."""
+    rows = [(i, t, 1) for i, t in [(1, "a  b"), (2, "a b"), (2, "a b"), (None, "a b"), (None, "c"), (None, "c"), (0, "d"), (None, "d")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own int")
+    kept = exact_dedup.keep_one(docs)
+    assert Counter(tuple(r)[:2] for r in kept.collect()) == Counter([(1, "a  b"), (None, "c"), (0, "d")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def check_packing(rows, texts, capacity):
     """Every document whole and in order, sequences without gaps or overlap."""
     tokenizer, places = library(WORD_BPE), {}

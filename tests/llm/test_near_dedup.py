@@ -93,3 +93,11 @@ def test_signature_estimates_similarity():
     b = np.concatenate([a[:400], rng.integers(0, 2**63, 100).astype(np.uint64)])
     s = shingles.super_minhash([np.unique(a), np.unique(b)], 288)
     assert abs((s[0] == s[1]).mean() - 400 / 600) < 0.1
+
+
+def test_one_python_worker_per_task(spark, monkeypatch):
+    """Links are contracted where they are found: a second Python step in a task would hold a second worker, and its memory."""
+    plans, write = [], near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    near_dedup.near_groups(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 2, 60))) for i in range(6)], "doc_id long, text string")).count()
+    assert plans and max(p.count("MapInArrow ") for p in plans) == 1
