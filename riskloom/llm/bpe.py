@@ -3,8 +3,9 @@
 The automaton starts with one state and an arc per byte. Each merge (a, b), in order, is a gadget: the state that arcs `a`
 lead to is copied without its arc `b`, arcs `a` now lead to the copy, and every state with an arc `a` gets an arc `ab` to where
 `b` leads. After the last merge exactly the token sequences that the merges can produce are paths, so a word has one path.
-All arcs with one label lead to one state; a state is its parent less one arc, and an arc `ab` younger than the state is there
-if `a` is. These are the transition tables; pairs looked up are kept.
+All arcs with one label lead to one state; a state is the one before its gadget less one arc, and an arc `ab` younger than the
+state is there if `a` is. Whether a state has an arc is told by the gadgets of the tokens that meet, from the last one back: as
+many lookups as the two tokens have merges. These are the transition tables; pairs looked up are kept.
 
 Defined results: a null text counts as empty and has no tokens. Special tokens of the file are found in the text first, as the
 library does. Decoding gives the text back; bytes that are no UTF-8 become U+FFFD. Rows that repeat an id are encoded each for
@@ -17,6 +18,7 @@ import hashlib
 import json
 from array import array
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ from riskloom.llm.common import map_batches, type_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks, words and state-token pairs that a Python worker keeps. Only speed depends on them.
 MEMO_CHUNKS, MEMO_PAIRS = 300_000, 600_000
+#: Bytes by which the longest token that may follow is looked up. Only speed depends on them.
+HEAD = 4
+#: Ids that decoding works on at a time.
+STEP_IDS = 1 << 16
 
 _loaded: dict = {}
 
@@ -47,33 +53,48 @@ class Automaton:
         self.left: dict[int, int] = {}  # token -> token that it begins with
         self.born: dict[int, int] = dict.fromkeys(singles.values(), 0)  # token -> step from which its arcs exist
         self.target: dict[int, int] = dict.fromkeys(singles.values(), 0)  # token -> state its arcs lead to
-        self.parent, self.removed, self.since = [0], [-1], [0]  # by state
+        self.right: dict[int, int] = {}  # token -> token that it ends with
+        self.gadget: dict[int, int] = {}  # pair of tokens -> step that merges it
+        self.after, self.since = [-1], [0]  # by state: a token whose arcs led to it, and from which step on
         self.known: dict[int, int] = {}
         for step, (a, b, ab) in enumerate(merges, 1):
             if ab in self.born or a not in self.born or b not in self.born or not self.allows(self.target[a], b):
                 continue  # the pair never meets, or the token has another derivation already
-            at = self.target[a]
-            self.left[ab], self.born[ab], self.target[ab] = a, step, self.target[b]
+            self.left[ab], self.right[ab], self.born[ab] = a, b, step
+            self.target[ab] = self.target[b]  # for 'aa' that is the state before the gadget: a third 'a' may follow
             self.token[labels[ab]] = ab
-            self.parent.append(at)
-            self.removed.append(b)
+            self.gadget[a << 20 | b] = step
+            self.after.append(a)
             self.since.append(step)
-            self.target[a] = len(self.parent) - 1
-            if a == b:  # 'aa' leads on from the state before the gadget: a third 'a' may follow
-                self.target[ab] = at
-        self.longest = max(map(len, self.token), default=1)
+            self.target[a] = len(self.after) - 1
+        self.reach: dict[bytes, int] = {}  # first HEAD bytes of tokens -> bytes of the longest that begins so
+        self.size = {t: len(label) for label, t in self.token.items()}
+        self.shorter: dict[int, int] = {}  # token -> longest other token that it begins with, or -1
+        for label, t in self.token.items():
+            if len(label) >= HEAD:
+                self.reach[label[:HEAD]] = max(self.reach.get(label[:HEAD], 0), len(label))
+            self.shorter[t] = next((x for k in range(len(label) - 1, 0, -1) if (x := self.token.get(label[:k])) is not None), -1)
 
     def allows(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc ``token``."""
+        """Whether ``state`` has an arc ``token``. Back in time from the state's gadget, the younger of the two tokens that meet is
+        undone first; the arc is missing if a gadget took it away while they met."""
+        if not state:
+            return True
+        a, upto, removed, born = self.after[state], self.since[state], self.gadget.get, self.born
         while True:
-            since = self.since[state]
-            while self.born[token] >= since and token in self.left and since:
-                token = self.left[token]
-            if not state:
-                return True
-            if token == self.removed[state]:
+            if removed(a << 20 | token, upto + 1) <= upto:
                 return False
-            state = self.parent[state]
+            x, y = born[a], born[token]
+            if y >= x:
+                if not y:
+                    return True
+                if y < upto:
+                    upto = y
+                token = self.left[token]
+            else:
+                if x <= upto:
+                    upto = x - 1
+                a = self.right[a]
 
     def step(self, state: int, token: int) -> int:
         """The state after an arc, or -1."""
@@ -87,37 +108,40 @@ class Automaton:
         return to
 
     def path(self, word: bytes) -> list[int]:
-        """The one path that spells ``word``: the longest arc first, back where none leads on; a place that failed is not
-        entered again."""
-        whole = self.token.get(word)
-        if whole is not None:
-            return [whole]
-        n, token, step, known, longest = len(word), self.token.get, self.step, self.known.get, self.longest
-        at, size, states, arcs, sizes, failed = 0, min(n, longest), [0], [], [], set()
+        """The one path that spells ``word``: the longest arc first, then the token that is its next shorter beginning, back where
+        none leads on; a place that failed is not entered again."""
+        token, step, known, reach, shorter, size = self.token.get, self.step, self.known.get, self.reach.get, self.shorter, self.size
+        arc = token(word)
+        if arc is not None:
+            return [arc]
+        at, state, n, states, arcs, failed, best = 0, 0, len(word), [], [], set(), {}
         while at < n:
-            state = states[-1]
-            while size:
-                arc = token(word[at:at + size])
-                if arc is not None:
+            arc = best.get(at)
+            if arc is None:
+                top = at + reach(word[at:at + HEAD], HEAD - 1)  # no token at this place ends later
+                for end in range(top if top < n else n, at, -1):
+                    arc = token(word[at:end])
+                    if arc is not None:
+                        break
+                best[at] = arc
+            while True:
+                while arc >= 0:
                     to = known(state << 20 | arc)
                     if to is None:
                         to = step(state, arc)
-                    if to >= 0 and (at + size, to) not in failed:
+                    if to >= 0 and not (failed and (at + size[arc], to) in failed):
                         break
-                size -= 1
-            if size:
-                arcs.append(arc)
-                sizes.append(size)
-                states.append(to)
-                at += size
-                size = min(n - at, longest)
-            else:
+                    arc = shorter[arc]
+                if arc >= 0:
+                    break
                 failed.add((at, state))
-                states.pop()
-                arcs.pop()
-                size = sizes.pop()
-                at -= size
-                size -= 1
+                state, arc = states.pop(), arcs.pop()
+                at -= size[arc]
+                arc = shorter[arc]
+            arcs.append(arc)
+            states.append(state)
+            at += size[arc]
+            state = to
         return arcs
 
 
@@ -133,6 +157,12 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.automaton = Automaton({alphabet[s]: t for s, t in vocab.items() if s in alphabet}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], labels)
         self.labels = labels | {t: s.encode() for s, t in self.special.items()}
+        # labels one after another, for decoding: where each begins, and its size (-1: no such token)
+        self.sizes = np.full(max(self.labels, default=-1) + 1, -1)
+        for t, label in self.labels.items():
+            self.sizes[t] = len(label)
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+        self.flat = np.frombuffer(b"".join(self.labels[t] for t in sorted(self.labels)), np.uint8)
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.odd = regex.compile(r"\s (?:\s|$)")
@@ -170,8 +200,17 @@ class Codec:
             return head + b"".join(map(chunks.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs, in turn."""
-        return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
+        """The labels of the arcs, in turn, a step of ids at a time."""
+        found, out = np.frombuffer(ids, np.uint32), []
+        for i in range(0, len(found), STEP_IDS):
+            part = found[i:i + STEP_IDS]
+            known = part < len(self.sizes)
+            if not known.all() or (self.sizes[part] < 0).any():
+                raise KeyError("an id that is not in the vocabulary")
+            size = self.sizes[part]
+            end = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.starts[part] - end + size, size) + np.arange(end[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 def codec(path: str) -> Codec:
