@@ -34,8 +34,8 @@ from riskloom.llm.common import map_partitions, type_of
 from riskloom.session import materialise
 
 FREQUENT, ENDINGS, SEGMENT = 40_000, 256, 128
-#: Segments that Baum-Welch works on side by side.
-BLOCK = 1024
+#: Segments that Baum-Welch works on side by side, and steps between two scalings. Only speed depends on them.
+BLOCK, GROUP = 512, 8
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 200_000
 #: Weight, in tokens per state, of the corpus frequencies in a state's emissions.
@@ -172,57 +172,74 @@ def initial(weights: np.ndarray, states: int, seed: int = 5) -> Model:
 def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log likelihood as segments.
 
-    Arrays are steps x states x sequences, so that every operation runs along the sequences of a block; its classes are put in order once
-    for the emissions of all states.
+    Arrays are states x (steps x segments): a step is a run of columns, ``GROUP`` steps one product for the moves, and all steps of a state
+    one sum by class. A class's emissions are divided by their sum, so forward values shrink by moves alone and are scaled once in ``GROUP``
+    steps. Columns of segments that have ended emit nothing.
     """
     K, C = model.move.shape[0], len(model.emit)
-    starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((C, K)), 0.0
-    parts = [(s[i:i + SEGMENT], int(i > 0)) for s in seqs for i in range(0, len(s), SEGMENT)]
-    parts.sort(key=lambda p: -len(p[0]))
-    emit = np.ascontiguousarray(model.emit.T)
+    starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((K, C + 1)), 0.0  # class C: after the end
+    if not seqs:
+        return starts, moves, emits[:, :C].T, total
+    length = np.array([len(s) for s in seqs])
+    pieces = -(-length // SEGMENT)
+    place = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    size = np.minimum(np.repeat(length, pieces) - place, SEGMENT)
+    order = np.argsort(-size, kind="stable")
+    begin, size, later = (np.repeat(np.cumsum(length) - length, pieces) + place)[order], size[order], (place > 0).astype(int)[order]
+    flat = np.concatenate([*seqs, np.zeros(SEGMENT, np.uint16)])
+    norm = model.emit.sum(axis=1)
+    emit = np.zeros((K, C + 1))
+    np.divide(model.emit.T, norm, out=emit[:, :C])
     move, back, start = model.move, np.ascontiguousarray(model.move.T), model.start.T
-    for low in range(0, len(parts), BLOCK):
-        block = parts[low:low + BLOCK]
-        size = np.array([len(p) for p, _ in block])
-        later = np.array([x for _, x in block])
-        T, B = int(size[0]), len(block)
-        ids = np.zeros((B, T), np.uint16)
-        ids[np.arange(T) < size[:, None]] = np.concatenate([p for p, _ in block])
-        ids = np.ascontiguousarray(ids.T)
-        active = (size[None] > np.arange(T)[:, None]).sum(axis=1)  # longest first: a prefix is active
-        e = np.take(emit, ids, axis=1).transpose(1, 0, 2)  # steps x states x sequences: the longest axis last
-        alpha, scale = np.zeros((T, K, B)), np.ones((T, B))
-        alpha[0] = start[:, later] * e[0]
-        for t in range(T):
-            n = active[t]
-            now = alpha[t, :, :n]
-            if t:
-                np.matmul(back, alpha[t - 1, :, :n], out=now)
-                now *= e[t, :, :n]
-            np.sum(now, axis=0, out=scale[t, :n])
-            now /= scale[t, :n]
-            e[t, :, :n] /= scale[t, :n]
-        total += float(np.log(scale).sum())
-        beta = np.ones((K, B))
-        block_moves = np.zeros((K, K))
-        for t in range(T - 1, -1, -1):
-            n = active[t]
-            alpha_t = alpha[t, :, :n]
-            if t:
-                near = beta[:, :n] * e[t, :, :n]
-                block_moves += alpha[t - 1, :, :n] @ near.T
-            alpha_t *= beta[:, :n]  # what is left in its place are the states' shares
-            if t:
-                np.matmul(move, near, out=beta[:, :n])
-        moves += block_moves
-        np.add.at(starts, later, alpha[0].T)
-        flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    most = min(BLOCK, len(size))
+    wide = int(size[0]) * most + 8  # rows a power of two apart would share cache lines
+    near, alpha, beta = np.empty((K, wide)), np.empty((K, wide)), np.empty((K, GROUP * most + 8))
+    for low in range(0, len(size), most):
+        ends, again = size[low:low + most], later[low:low + most]
+        T, B = int(ends[0]), len(ends)
+        active = [*np.searchsorted(-ends, -np.arange(T), side="left").tolist(), 0]  # longest first: a prefix is active
+        ids = np.lib.stride_tricks.sliding_window_view(flat, T)[begin[low:low + B]].T.astype(np.intp, order="C")
+        if ends[-1] < T:
+            ids[np.arange(T)[:, None] >= ends] = C
+        ids = ids.ravel()
+        at = [slice(t * B, (t + 1) * B) for t in range(T)]
+        for k in range(K):
+            np.take(emit[k], ids, out=near[k, :T * B], mode="clip")  # emissions, which meet what follows on the way back
+        np.multiply(start[:, again], near[:, at[0]], out=alpha[:, at[0]])
+        scale = {}
+        for t in range(1, T):
+            now = alpha[:, at[t]]
+            np.matmul(back, alpha[:, at[t - 1]], out=now)
+            now *= near[:, at[t]]
+            if t % GROUP == 0:
+                scale[t] = now.sum(axis=0)
+                scale[t][active[t]:] = 1
+                now /= scale[t]
+                total += float(np.log(scale[t]).sum())
+        last = alpha[:, (ends - 1) * B + np.arange(B)].sum(axis=0)
+        total += float(np.log(last).sum())
+        for begun in range((T - 1) // GROUP * GROUP, -1, -GROUP):
+            done = min(T, begun + GROUP)
+            for t in range(done - 1, begun - 1, -1):
+                now = beta[:, at[t - begun]]
+                if t + 1 < T:
+                    np.matmul(move, near[:, at[t + 1]], out=now)
+                else:
+                    now[:] = 0
+                if active[t + 1] < active[t]:  # these end here
+                    now[:, active[t + 1]:active[t]] = 1 / last[active[t + 1]:active[t]]
+                near[:, at[t]] *= now
+                if t in scale:
+                    near[:, at[t]] /= scale[t]
+            to = max(begun, 1)
+            moves += alpha[:, (to - 1) * B:(done - 1) * B] @ near[:, to * B:done * B].T
+            alpha[:, begun * B:done * B] *= beta[:, :(done - begun) * B]  # what is left in its place are the states' shares
+        for x in range(2):
+            starts[x] += alpha[:, at[0]][:, again == x].sum(axis=1)
         for k in range(K):
-            emits[ordered[first], k] += np.add.reduceat(alpha[:, k].ravel()[order], first)
-    return starts, moves * model.move, emits, total
+            emits[k] += np.bincount(ids, alpha[k, :T * B], C + 1)
+    emits = emits[:, :C].T
+    return starts, moves * move, emits, total + float(emits.sum(axis=1) @ np.log(norm))
 
 
 def baum_welch(rows: DataFrame, model: Model) -> tuple[Model, float]:
@@ -233,12 +250,10 @@ def baum_welch(rows: DataFrame, model: Model) -> tuple[Model, float]:
 
     def run(batches):
         m = shared.value
-        starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((C, K)), 0.0
+        starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((K, C)).T, 0.0
         for batch in batches:
-            seqs = [np.frombuffer(s, np.uint16) for s in batch.column(0).to_pylist()]
-            for i in range(0, len(seqs), 1000):
-                a, b, c, d = expected(seqs[i:i + 1000], m)
-                starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
+            a, b, c, d = expected([np.frombuffer(s, np.uint16) for s in batch.column(0).to_pylist()], m)
+            starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
         # one table: emissions from 0 on; starts, moves and the likelihood below
         rest = np.concatenate([starts, moves, np.full((1, K), total)])
         some = np.flatnonzero(emits.any(axis=1))
