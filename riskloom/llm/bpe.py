@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from string import punctuation
 
 import numpy as np
 import regex
@@ -27,8 +28,10 @@ from riskloom.llm.common import map_batches, type_of
 
 #: The public pre-split pattern of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks, words and state-token pairs that a Python worker keeps. Only speed depends on them.
+#: Chunks and words that a generation of a worker's memo holds, and state-token pairs that it keeps. Only speed depends on them.
 MEMO_CHUNKS, MEMO_PAIRS = 300_000, 600_000
+#: All letters below this are letters in every version of Unicode.
+OLD_LETTERS = "\u0180"
 #: Bytes by which the longest token that may follow is looked up. Only speed depends on them.
 HEAD = 4
 #: Ids that decoding works on at a time.
@@ -145,6 +148,23 @@ class Automaton:
         return arcs
 
 
+class Memo(dict):
+    """What ``make`` gives for a key, kept for one to two generations of ``MEMO_CHUNKS`` keys: what is in use outlives a full memo."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= MEMO_CHUNKS:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """A tokenizer file of byte-level BPE, compiled."""
 
@@ -166,19 +186,21 @@ class Codec:
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.odd = regex.compile(r"\s (?:\s|$)")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MEMO_CHUNKS:
-                self.words.clear()
-            ids = self.words[word] = array("I", self.automaton.path(word.encode())).tobytes()
-        return ids
+        self.words = Memo(lambda word: array("I", self.automaton.path(word.encode())).tobytes())
+        self.chunks = Memo(self.chunk)
 
     def segment(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.split.findall(text)))
+        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
+
+    def chunk(self, chunk: str) -> bytes:
+        """A blank and ``chunk``, which has none. Letters, and letters before one ASCII sign, are what the pattern makes of them."""
+        body = chunk[:-1]
+        if chunk.isalpha():
+            if max(chunk) < OLD_LETTERS:
+                return self.words[" " + chunk]
+        elif body.isalpha() and chunk[-1] in punctuation and max(body) < OLD_LETTERS:
+            return self.words[" " + body] + self.words[chunk[-1]]
+        return self.segment(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids. A text is cut before its spaces, which is where the pattern cuts too, unless
@@ -188,16 +210,7 @@ class Codec:
         if self.odd.search(text):
             return self.segment(text)
         first, *rest = text.split(" ")
-        head, chunks = self.segment(first), self.chunks
-        try:
-            return head + b"".join(map(chunks.__getitem__, rest))
-        except KeyError:
-            if len(chunks) >= MEMO_CHUNKS:
-                chunks.clear()
-            for x in set(rest):
-                if x not in chunks:
-                    chunks[x] = self.segment(" " + x)
-            return head + b"".join(map(chunks.__getitem__, rest))
+        return self.segment(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, in turn, a step of ids at a time."""

@@ -204,3 +204,23 @@ def test_arcs_are_looked_up_and_not_walked(monkeypatch):
     assert c.decode(c.encode(text)) == text and c.decode(b"") == ""
     with pytest.raises(KeyError):
         c.decode(array("I", [10**6]).tobytes())
+
+
+def test_words_in_use_outlive_a_full_memo(monkeypatch):
+    """Words that every text has are encoded once however many others pass by, and the memo holds two generations at most."""
+    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 40)
+    c, paths = bpe.Codec(vocabulary(BYTE_BPE)), Counter()
+    path = c.automaton.path
+    monkeypatch.setattr(c.automaton, "path", lambda word: paths.update([word]) or path(word))
+    for i in range(60):
+        text = "in thrablioque, and in ofenonbly" + "".join(f" x{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}q" for k in range(9))
+        assert c.encode(text) == array("I", TOKENIZERS[0].encode(text, add_special_tokens=False).ids).tobytes()
+    assert max(paths.values()) == 1
+    assert all(len(m) <= 40 and len(m.before) <= 40 for m in (c.words, c.chunks))
+
+
+def test_chunks_that_need_no_pattern_are_what_it_makes():
+    c = bpe.codec(vocabulary(BYTE_BPE))
+    bodies = ["", "a", "Word", "été", "ª", "º", "ſ", "ƀ", "ǅ", "ʰ", "日本", "é", "a1", "1", "²", "ab's", "s", "×", "÷"]
+    for chunk in [b + x for b in bodies for x in ["", *map(chr, range(33, 128)), "\n", " ", "’", "é"]]:
+        assert c.chunk(chunk) == c.segment(" " + chunk) == array("I", TOKENIZERS[0].encode(" " + chunk, add_special_tokens=False).ids).tobytes(), chunk
