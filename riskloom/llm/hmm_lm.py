@@ -36,6 +36,11 @@ from riskloom.session import materialise
 FREQUENT, ENDINGS, SEGMENT = 40_000, 256, 128
 #: Segments that Baum-Welch works on side by side, and steps between two scalings. Only speed depends on them.
 BLOCK, GROUP = 512, 8
+#: Classes whose expected counts go from task to task as one row; tokens that a task of a round has at least where there are as many,
+#: as each task hands on the counts of all classes that it has met.
+SLICE, TASK_TOKENS = 4096, 2_000_000
+#: Bytes of rare words with their counts in a partition of the last join.
+JOIN_BYTES = 16 << 20
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 200_000
 #: Weight, in tokens per state, of the corpus frequencies in a state's emissions.
@@ -77,6 +82,7 @@ class Lexicon:
     tokens: int
     distinct: int
     ending_tokens: np.ndarray
+    other_bytes: int
 
     @property
     def classes(self) -> int:
@@ -99,27 +105,29 @@ def lexicon(counts: DataFrame, frequent: int) -> tuple[Lexicon, DataFrame, np.nd
     other = counts.where(F.length("word") > 0)
     other = other.where((F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("word") > F.lit(bytes(last.word))))) if last else other.where(F.lit(False))
     other = other.withColumn("class", (F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int"))
-    per = other.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # at most ENDINGS rows
+    per = other.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.length("word") + 64).alias("held")).collect()  # at most ENDINGS rows
     n, v = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in per:
         n[r["class"]], v[r["class"]] = r.n, r.v
-    return Lexicon(words, c, total.n, total.v, n), other.select("word", "c"), n + 0.1 * (v + 1)
+    return Lexicon(words, c, total.n, total.v, n, sum(r.held for r in per)), other.select("word", "c"), n + 0.1 * (v + 1)
 
 
-def encode(docs: DataFrame, lex: Lexicon, trained: Column, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, trained, n_tokens, known, base, seq, rare): classes as unsigned 16-bit integers; what frequent words add to the base."""
+def encode(docs: DataFrame, lex: Lexicon, share: np.ndarray, trained: Column, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, trained, n_tokens, known, base, tail, seq, rare): classes as unsigned 16-bit integers; the base and, of rare words, the tail
+    without the logarithms of their counts."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((lex.words, lex.counts, lex.base(lex.counts)))  # FREQUENT words at most
+    below = math.log10(lex.tokens + 0.1 * (lex.distinct + 1))
+    shared = spark.sparkContext.broadcast((lex.words, lex.counts, lex.base(lex.counts), -np.log10(share)))  # FREQUENT words at most
     kind = type_of(docs, id_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), trained.alias("trained"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        words, counts, base = shared.value
+        words, counts, base, of_class = shared.value
         at = {w: i for i, w in enumerate(words)}
         first = len(words)
-        tail = {}
+        ends = {}
         for batch in batches:
-            n, known, total, seqs, rare = [], [], [], [], []
+            n, known, total, tails, seqs, rare = [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 own = words_of(text)
                 seq, others = list(map(at.get, own)), []
@@ -129,20 +137,21 @@ def encode(docs: DataFrame, lex: Lexicon, trained: Column, id_col: str, text_col
                             w = own[i]
                             others.append(w)
                             e = w[-2:]
-                            k = tail.get(e)
+                            k = ends.get(e)
                             if k is None:
-                                k = tail[e] = first + ending(w)
+                                k = ends[e] = first + ending(w)
                             seq[i] = k
                 ids = np.array(seq, np.uint16)
                 often = ids[ids < first]
                 n.append(len(own))
                 known.append(int((counts[often] > 0).sum()))
-                total.append(float(base[often].sum()))
+                total.append(float(base[often].sum()) - below * len(others))
+                tails.append(float(of_class[ids[ids >= first] - first].sum()) if others else 0.0)
                 seqs.append(ids.tobytes())
                 rare.append(b" ".join(others))
-            yield {"row": batch.column(0), "id": batch.column(1), "trained": batch.column(2), "n_tokens": n, "known": known, "base": total, "seq": seqs, "rare": rare}
+            yield {"row": batch.column(0), "id": batch.column(1), "trained": batch.column(2), "n_tokens": n, "known": known, "base": total, "tail": tails, "seq": seqs, "rare": rare}
 
-    return map_partitions(rows, run, {"row": "long", "id": kind, "trained": "boolean", "n_tokens": "long", "known": "long", "base": "double", "seq": "binary", "rare": "binary"})
+    return map_partitions(rows, run, {"row": "long", "id": kind, "trained": "boolean", "n_tokens": "long", "known": "long", "base": "double", "tail": "double", "seq": "binary", "rare": "binary"})
 
 
 @dataclass
@@ -172,9 +181,9 @@ def initial(weights: np.ndarray, states: int, seed: int = 5) -> Model:
 def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log likelihood as segments.
 
-    Arrays are states x (steps x segments): a step is a run of columns, ``GROUP`` steps one product for the moves, and all steps of a state
-    one sum by class. A class's emissions are divided by their sum, so forward values shrink by moves alone and are scaled once in ``GROUP``
-    steps. Columns of segments that have ended emit nothing.
+    Arrays are (steps x segments) x states: a step is a run of rows, the emissions of a class lie together and are fetched at once, and
+    all steps of a state are one sum by class. A class's emissions are divided by their sum, so forward values shrink by moves alone and
+    are scaled once in ``GROUP`` steps. Rows of segments that have ended emit nothing.
     """
     K, C = model.move.shape[0], len(model.emit)
     starts, moves, emits, total = np.zeros((2, K)), np.zeros((K, K)), np.zeros((K, C + 1)), 0.0  # class C: after the end
@@ -188,12 +197,12 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
     begin, size, later = (np.repeat(np.cumsum(length) - length, pieces) + place)[order], size[order], (place > 0).astype(int)[order]
     flat = np.concatenate([*seqs, np.zeros(SEGMENT, np.uint16)])
     norm = model.emit.sum(axis=1)
-    emit = np.zeros((K, C + 1))
-    np.divide(model.emit.T, norm, out=emit[:, :C])
-    move, back, start = model.move, np.ascontiguousarray(model.move.T), model.start.T
+    emit = np.zeros((C + 1, K))
+    np.divide(model.emit, norm[:, None], out=emit[:C])
+    move, back = np.ascontiguousarray(model.move), np.ascontiguousarray(model.move.T)
     most = min(BLOCK, len(size))
-    wide = int(size[0]) * most + 8  # rows a power of two apart would share cache lines
-    near, alpha, beta = np.empty((K, wide)), np.empty((K, wide)), np.empty((K, GROUP * most + 8))
+    high = int(size[0]) * most
+    near, alpha, beta = np.empty((high, K)), np.empty((high, K)), np.empty((GROUP * most, K))
     for low in range(0, len(size), most):
         ends, again = size[low:low + most], later[low:low + most]
         T, B = int(ends[0]), len(ends)
@@ -203,48 +212,47 @@ def expected(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarr
             ids[np.arange(T)[:, None] >= ends] = C
         ids = ids.ravel()
         at = [slice(t * B, (t + 1) * B) for t in range(T)]
-        for k in range(K):
-            np.take(emit[k], ids, out=near[k, :T * B], mode="clip")  # emissions, which meet what follows on the way back
-        np.multiply(start[:, again], near[:, at[0]], out=alpha[:, at[0]])
+        np.take(emit, ids, axis=0, out=near[:T * B], mode="clip")  # emissions, which meet what follows on the way back
+        np.multiply(model.start[again], near[at[0]], out=alpha[at[0]])
         scale = {}
         for t in range(1, T):
-            now = alpha[:, at[t]]
-            np.matmul(back, alpha[:, at[t - 1]], out=now)
-            now *= near[:, at[t]]
+            now = alpha[at[t]]
+            np.matmul(alpha[at[t - 1]], move, out=now)
+            now *= near[at[t]]
             if t % GROUP == 0:
-                scale[t] = now.sum(axis=0)
+                scale[t] = now.sum(axis=1, keepdims=True)
                 scale[t][active[t]:] = 1
                 now /= scale[t]
                 total += float(np.log(scale[t]).sum())
-        last = alpha[:, (ends - 1) * B + np.arange(B)].sum(axis=0)
+        last = alpha[(ends - 1) * B + np.arange(B)].sum(axis=1, keepdims=True)
         total += float(np.log(last).sum())
         for begun in range((T - 1) // GROUP * GROUP, -1, -GROUP):
             done = min(T, begun + GROUP)
             for t in range(done - 1, begun - 1, -1):
-                now = beta[:, at[t - begun]]
+                now = beta[at[t - begun]]
                 if t + 1 < T:
-                    np.matmul(move, near[:, at[t + 1]], out=now)
+                    np.matmul(near[at[t + 1]], back, out=now)
                 else:
                     now[:] = 0
                 if active[t + 1] < active[t]:  # these end here
-                    now[:, active[t + 1]:active[t]] = 1 / last[active[t + 1]:active[t]]
-                near[:, at[t]] *= now
+                    now[active[t + 1]:active[t]] = 1 / last[active[t + 1]:active[t]]
+                near[at[t]] *= now
                 if t in scale:
-                    near[:, at[t]] /= scale[t]
+                    near[at[t]] /= scale[t]
             to = max(begun, 1)
-            moves += alpha[:, (to - 1) * B:(done - 1) * B] @ near[:, to * B:done * B].T
-            alpha[:, begun * B:done * B] *= beta[:, :(done - begun) * B]  # what is left in its place are the states' shares
+            moves += alpha[(to - 1) * B:(done - 1) * B].T @ near[to * B:done * B]
+            alpha[begun * B:done * B] *= beta[:(done - begun) * B]  # what is left in its place are the states' shares
         for x in range(2):
-            starts[x] += alpha[:, at[0]][:, again == x].sum(axis=1)
+            starts[x] += alpha[at[0]][again == x].sum(axis=0)
         for k in range(K):
-            emits[k] += np.bincount(ids, alpha[k, :T * B], C + 1)
+            emits[k] += np.bincount(ids, alpha[:T * B, k], C + 1)
     emits = emits[:, :C].T
     return starts, moves * move, emits, total + float(emits.sum(axis=1) @ np.log(norm))
 
 
 def baum_welch(rows: DataFrame, model: Model) -> tuple[Model, float]:
     """One round over all given sequences (column ``seq``): the new model, and the log likelihood of the old one. Expected counts
-    are summed inside tasks, then over tasks."""
+    are summed inside tasks, then over tasks, ``SLICE`` classes to a row."""
     K, C = model.move.shape[0], len(model.emit)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -254,21 +262,30 @@ def baum_welch(rows: DataFrame, model: Model) -> tuple[Model, float]:
         for batch in batches:
             a, b, c, d = expected([np.frombuffer(s, np.uint16) for s in batch.column(0).to_pylist()], m)
             starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
-        # one table: emissions from 0 on; starts, moves and the likelihood below
-        rest = np.concatenate([starts, moves, np.full((1, K), total)])
-        some = np.flatnonzero(emits.any(axis=1))
-        place = np.concatenate([-1 - np.arange(len(rest)), some])
-        value = np.concatenate([rest, emits[some]])
-        yield {"place": place} | {f"s{k}": value[:, k] for k in range(K)}
-
-    counted = map_partitions(rows.select("seq"), run, {"place": "int"} | {f"s{k}": "double" for k in range(K)})
-    found = counted.groupBy("place").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(K)]).toPandas()  # a row per class at most
-    place, value = found["place"].to_numpy(), found[[f"s{k}" for k in range(K)]].to_numpy()
-    emits, rest = np.zeros((C, K)), np.zeros((K + 3, K))
-    emits[place[place >= 0]] = value[place >= 0]
-    rest[-1 - place[place < 0]] = value[place < 0]
+        # one table: emissions, starts, moves and the likelihood
+        table = np.concatenate([emits, starts, moves, np.full((1, K), total)])
+        some = np.flatnonzero(table.any(axis=1))
+        cuts = np.split(some, np.searchsorted(some, range(SLICE, len(table), SLICE)))
+        kept = [(i, x) for i, x in enumerate(cuts) if len(x)]
+        yield {"slice": [i for i, _ in kept], "place": [(x - i * SLICE).astype(np.uint16).tobytes() for i, x in kept], "counts": [table[x].tobytes() for _, x in kept]}
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for i, place, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if i not in held:
+                    held[i] = np.zeros((SLICE, K))
+                held[i][np.frombuffer(place, np.uint16)] += np.frombuffer(counts).reshape(-1, K)
+        yield {"slice": list(held), "counts": [x.tobytes() for x in held.values()]}
+
+    counted = map_partitions(rows.select("seq"), run, {"slice": "int", "place": "binary", "counts": "binary"})
+    found = map_partitions(counted.repartition("slice"), add, {"slice": "int", "counts": "binary"}).collect()  # a number per class and state
+    table = np.zeros((-(-(C + K + 3) // SLICE), SLICE, K))
+    for r in found:
+        table[r["slice"]] = np.frombuffer(r["counts"]).reshape(SLICE, K)
+    emits, rest = np.split(table.reshape(-1, K), [C])
     new = model.from_counts(rest[:2], rest[2:2 + K], emits)
-    return new, float(rest[-1, 0])
+    return new, float(rest[2 + K, 0])
 
 
 def log10_likelihood(seqs: list[np.ndarray], model: Model) -> np.ndarray:
@@ -292,7 +309,7 @@ def log10_likelihood(seqs: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, id, trained, n_tokens, known, base, score) without what rare words add."""
+    """(row, id, trained, n_tokens, known, base, score) without the logarithms of the counts of rare words."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = {"row": "long", "id": type_of(rows, "id"), "trained": "boolean", "n_tokens": "long", "known": "long", "base": "double"}
 
@@ -300,9 +317,9 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 seqs = [np.frombuffer(s, np.uint16) for s in batch.column(len(keep)).to_pylist()]
-                yield {k: batch.column(i) for i, k in enumerate(keep)} | {"score": log10_likelihood(seqs, shared.value)}
+                yield {k: batch.column(i) for i, k in enumerate(keep)} | {"score": log10_likelihood(seqs, shared.value) + batch.column(len(keep) + 1).to_numpy()}
 
-    return map_partitions(rows.select(*keep, "seq"), run, keep | {"score": "double"})
+    return map_partitions(rows.select(*keep, "seq", "tail"), run, keep | {"score": "double"})
 
 
 def learn(train: DataFrame, model: Model, tokens: int, rounds: int, start_rounds: int, least_gain: float) -> Model:
@@ -321,17 +338,18 @@ def fit_and_score(docs: DataFrame, usable: Column, states: int = 8, rounds: int
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from the usable ones."""
     counts = materialise(count_words(docs.where(usable), text_col))
     lex, others, share = lexicon(counts, frequent)
-    rows = materialise(encode(docs, lex, usable, id_col, text_col))
+    rows = materialise(encode(docs, lex, share, usable, id_col, text_col))
     model = initial(np.concatenate([lex.counts, lex.ending_tokens]), states)
     if lex.tokens:
-        model = learn(rows.where("trained"), model, lex.tokens, rounds, start_rounds, least_gain)
+        train = rows.where("trained").coalesce(-(-lex.tokens // TASK_TOKENS))
+        model = learn(train, model, lex.tokens, rounds, start_rounds, least_gain)
     scored = likelihoods(rows, model)
-    of_class = F.array(*[F.lit(float(math.log10(x))) for x in share])
     rare = rows.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("w")).select("row", F.col("w").cast("binary").alias("word"))
-    met = rare.join(others, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"), (F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int").alias("class"))
-    log = F.log10(F.col("c") + 0.1)
-    added = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(log - math.log10(lex.tokens + 0.1 * (lex.distinct + 1))).alias("base"),
-                                   F.sum(log - F.element_at(of_class, F.col("class") + 1)).alias("score"))
+    parts = -(-lex.other_bytes // JOIN_BYTES)  # so many that a task can look its words up without sorting
+    if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rare, others = rare.repartition(parts, "word"), others.repartition(parts, "word")
+    met = rare.join(others.hint("shuffle_hash"), "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
+    added = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.log10(F.col("c") + 0.1)).alias("base")).withColumn("score", F.col("base"))
     none = [F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in ("id", "trained", "n_tokens")]
     both = scored.unionByName(added.select("row", *none, "known", "base", "score"))
     out = both.groupBy("row").agg(F.max("id").alias(id_col), F.max("trained").alias("trained"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),

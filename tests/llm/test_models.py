@@ -187,3 +187,45 @@ def test_every_round_reads_all_training_texts(spark):
     found = hmm_lm.fit_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), F.lit(True), states=3, rounds=5, start_rounds=5)
     want = hmm_lm.log10_likelihood(seqs, model)
     assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in found.collect())
+
+
+def test_counts_of_a_round_meet_in_slices(spark, monkeypatch):
+    """The same model whatever the slices, with tasks that have not met all classes."""
+    rng = np.random.default_rng(8)
+    seqs = [rng.integers(k, k + 9, n).astype(np.uint16) for k, n in zip(range(0, 30, 3), (1, 4, 90, 200, 3, 5, 140, 2, 33, 128))]
+    model = hmm_lm.initial(np.ones(40), 3)
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in seqs], "seq binary").repartition(4)
+    *counts, total = hmm_lm.expected(seqs, model)
+    want = model.from_counts(*counts)
+    for size in (7, 43, 4096):
+        monkeypatch.setattr(hmm_lm, "SLICE", size)
+        new, got = hmm_lm.baum_welch(rows, model)
+        assert math.isclose(got, total, rel_tol=1e-12)
+        assert all(np.allclose(getattr(new, f), getattr(want, f), rtol=1e-12, atol=0) for f in ("start", "move", "emit"))
+
+
+@pytest.mark.parametrize("join_bytes", [16 << 20, 64])
+def test_rare_words_look_up_their_counts(spark, monkeypatch, join_bytes):
+    """Scores of words outside the frequent ones, known and unknown; no sort in their join, and small tables in few tasks of a round."""
+    monkeypatch.setattr(hmm_lm, "JOIN_BYTES", join_bytes)
+    learned, learn = [], hmm_lm.learn
+    monkeypatch.setattr(hmm_lm, "learn", lambda train, *more: learned.append((train.rdd.getNumPartitions(), learn(train, *more))) or learned[-1][1])
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(0, 30))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    out = hmm_lm.fit_and_score(docs, F.col("doc_id") < 20, states=2, rounds=2, frequent=9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    (tasks, model), words = learned[0], [hmm_lm.words_of(t.encode()) for t in texts]
+    assert tasks == 1
+    c = Counter(w for x in words[:20] for w in x)
+    often = sorted(c, key=lambda w: (-c[w], w))[:9]
+    per = {e: [c[w] for w in c if w not in often and hmm_lm.ending(w) == e] for e in range(hmm_lm.ENDINGS)}
+    N, V = sum(c.values()), len(c)
+    for r in out.collect():
+        own = words[r.doc_id]
+        seq = np.array([often.index(w) if w in often else len(often) + hmm_lm.ending(w) for w in own], np.uint16)
+        share = [math.log10((c[w] + 0.1) / (sum(x) + 0.1 * (len(x) + 1))) for w in own if w not in often for x in [per[hmm_lm.ending(w)]]]
+        assert math.isclose(r.score, hmm_lm.log10_likelihood([seq], model)[0] + sum(share), rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (N + 0.1 * (V + 1))) for w in own), rel_tol=1e-9)
+        assert r.n_known == sum(c[w] > 0 for w in own)
