@@ -219,3 +219,52 @@ def test_a_hundred_thousand_rules(spark):
     assert {(r.id, int(r.rule_id)) for r in got} == {(i, i * 33) for i in range(3000)} and len(got) == 3000
     out = decisions.decide(rows.limit(50), table).collect()
     assert {r.risk_label for r in out} == {"SUSPICIOUS"} and all(r.rules_triggered == [f"n{r.id * 33}"] for r in out)
+
+
+def test_rules_in_pieces_equal_compiled_rules(spark, monkeypatch):
+    """Many small pieces (more than are kept), few pairs held and few hits put out at once; repeated and null ids and names."""
+    import random
+
+    import pyarrow as pa
+    draw = random.Random(7)
+    for name, value in (("PIECE_RULES", 16), ("KEPT_PIECES", 2), ("PAIRS", 7), ("HELD_PAIRS", 40), ("OUT_HITS", 11)):
+        monkeypatch.setattr(rule_index, name, value)
+    values = [-1.0, -0.0, 0.0, 1.0, 2.5, math.inf, -math.inf, math.nan]
+    rules = [(f"r{i // 2:03}" if i % 9 else None, f"n{i}" if i % 10 else None, draw.choice(["flag", "escalate", None]),
+              [(draw.choice(["a", "b"]), draw.choice(list(decisions.COMPARE)), draw.choice(values)) for _ in range(draw.randrange(4))]) for i in range(100)]
+    table = spark.createDataFrame(rules, RULE_TABLE)
+    rows = [(draw.choice(values), draw.choice(values)) for _ in range(90)]
+    folder = rule_index._uri(rule_index.write_rules(table))
+    assert len(rule_index._pieces(folder)) > 7
+    given = pa.table({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
+    same = lambda x, y: x == y or (x != x and y != y)
+    above = lambda x, y: (x != x and y == y) or x > y
+    holds = {">": above, ">=": lambda x, y: above(x, y) or same(x, y), "<": lambda x, y: above(y, x), "<=": lambda x, y: above(y, x) or same(x, y),
+             "==": same, "!=": lambda x, y: not same(x, y)}
+    order = lambda h: (h[0] is None, h[0] or "", h[1] is None, h[1] or "")
+    seen = set()
+    for at, counts, numbers, acted in rule_index._matched(given, {"a": "x", "b": "y"}, folder, "escalate"):
+        found = iter(zip(*(rule_index._named(folder, numbers, c).to_pylist() for c in rule_index.NAMES)))
+        for row, n, flag in zip(at.tolist(), counts.tolist(), acted.tolist()):
+            got = [next(found) for _ in range(n)]
+            here = dict(zip("ab", rows[row]))
+            want = [r[:3] for r in rules if r[3] and all(holds[op](here[f], v) for f, op, v in r[3])]
+            assert sorted(got, key=repr) == sorted(want, key=repr) and [order(g) for g in got] == sorted(order(g) for g in got)
+            assert flag == any(w[2] == "escalate" for w in want)
+            seen.add(row)
+    assert seen == set(range(90))
+
+
+def test_rules_look_at_few_rows():
+    """40,000 rules with bands of their own and 40,000 rows: some pairs a rule are looked at, not rows times rules."""
+    import numpy as np
+    import pyarrow as pa
+    n = 40_000
+    bands = [[{"field": "amount", "op": ">=", "value": float(i)}, {"field": "amount", "op": "<", "value": i + 2.0}, {"field": "other", "op": "!=", "value": 5.0}] for i in range(n)]
+    piece = rule_index.Piece(pa.table({"action": pa.array(["flag"] * n), "conditions": pa.array(bands)}))
+    values = {"amount": np.arange(n) + 0.5, "other": np.arange(n) % 10.0}
+    of, at, rules = piece.matches(values, n, 2 * n)
+    for row in (0, 1, 5, 17, n - 1):
+        want = [] if row % 10 == 5 else [r for r in (row - 1, row) if r >= 0]
+        assert rules[at[of[row]]:at[of[row] + 1]].tolist() == want
+    assert piece.matches(values, n, 2 * n - 2) is None
