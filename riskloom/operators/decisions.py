@@ -104,17 +104,17 @@ def decide(df: DataFrame, rules, watchlist: DataFrame | None = None, threshold:
     label = verdict(F.col("risk_score"), threshold)
     if isinstance(rules, DataFrame):
         from riskloom.operators import rule_index
-        df = rule_index.triggered(df, rules)
+        df = rule_index.triggered(df, rules, fields=("name",), acted=("escalate", "_escalates"))
+        names, escalates, helpers = F.col("_rules"), F.col("_escalates"), ("_rules", "_escalates")
     else:
         df = df.withColumn("_rules", triggered(df, rules))
-    escalates = F.exists("_rules", lambda r: r["action"] == "escalate")
+        names, escalates, helpers = F.transform("_rules", lambda r: r["name"]), F.exists("_rules", lambda r: r["action"] == "escalate"), ("_rules",)
     watched = F.col("watch").isNotNull()
-    names = F.transform("_rules", lambda r: r["name"])
     return df.withColumns({
         "risk_label": F.when(watched, "FRAUD").when(escalates, lifted(label)).otherwise(label),
         "rules_triggered": F.when(watched, F.array_append(names, F.concat(F.lit("Watchlist:"), F.col("watch.kind")))).otherwise(names),
         "risk_score": F.when(watched, F.greatest("risk_score", F.lit(0.99))).otherwise(F.col("risk_score")),
-    }).drop("_rules")
+    }).drop(*helpers)
 
 
 def rule_hit_counts(decided: DataFrame) -> DataFrame:
