@@ -17,6 +17,7 @@ from riskloom.sources.files import scratch
 
 TOPIC = "raw-transactions"
 ROWS_PER_TRIGGER = 1_000_000  # bounds what one key can bring into one task
+PARTS_PER_CORE = 2  # of the state, in a run over what is there now
 
 
 def from_kafka(spark: SparkSession, servers: str, topic: str = TOPIC, rows_per_trigger: int = ROWS_PER_TRIGGER) -> DataFrame:
@@ -91,13 +92,26 @@ def feature_updates(features: DataFrame) -> DataFrame:
 
 def start(stream: DataFrame, sink: str | Callable[[DataFrame, int], None], mode: str = "append", available_now: bool = True,
           checkpoint: str | None = None) -> StreamingQuery:
-    """Start a query into a Parquet folder or a batch function, with state in RocksDB and a shared checkpoint."""
+    """Start a query into a Parquet folder or a batch function, with state in RocksDB and a shared checkpoint.
+
+    A trigger commits what it changed in the state, not a snapshot of all of it. Each part of the state costs every trigger a task, whatever
+    the rows, so a run over what is there now has at most some parts a core; a stream that stays keeps the session's number, which
+    its checkpoint holds on to.
+    """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or scratch(spark, "stream"))
     writer = writer.foreachBatch(sink) if callable(sink) else writer.format("parquet").option("path", sink)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if not available_now:
+        return writer.start()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", min(parts, PARTS_PER_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        return writer.trigger(availableNow=True).start()  # it runs in a copy of the session as it is here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
 def run(stream: DataFrame, sink=None, mode: str = "append") -> DataFrame:
