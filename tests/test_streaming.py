@@ -163,6 +163,76 @@ def test_a_trigger_that_broke_off_is_not_seen(spark, monkeypatch):
     assert {r.id for r in keyed.read(spark, path).collect()} == {"a", "b", "c"}
 
 
+def test_a_trigger_costs_its_rows_and_not_the_table(spark):
+    """Triggers of the same size: what is written in all grows with a logarithm of the triggers, and the first row of an id stays."""
+    path = files.scratch(spark, "alerts")
+    write, n = keyed.upsert(path, "id", buckets=1), 12
+    for k in range(n):
+        write(spark.range(k * 100 - 10 * (k > 0), k * 100 + 100).select("id", F.lit(k).alias("v")), k)
+    rows = keyed.read(spark, path)
+    assert rows.columns == ["id", "v"] and {r.id: r.v for r in rows.collect()} == {i: i // 100 for i in range(100 * n)}
+    assert spark.read.parquet(f"{path}/data").count() < 4 * 100 * n  # a rewrite in each trigger writes 6.5 times the table
+
+
+def test_entities_share_a_few_calls_to_the_state():
+    """300 entities of a bucket in one trigger: calls to the state store for the pages, not for each entity; and an entity is forgotten."""
+    calls = []
+
+    class Counted(Kept):
+        def __getattribute__(self, name):
+            if name.endswith(("Value", "Key")) or name in ("get", "update", "clear"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def get(self):
+            return self.rows.get("")
+
+        def update(self, value):
+            self.rows[""] = value
+
+        def clear(self):
+            self.rows.clear()
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = {}, set()
+
+        def getValueState(self, name, *_):
+            return self.state.setdefault(name, Counted())
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Watermark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, bucket, n = Handle(), state.Features(), 300
+    bucket.init(handle)
+    row = lambda e, t, i: (0, f"e{e}", None, float(t), i, t * 1_000_000, 1.0, "d", f"m{i}")
+    whole = []
+    for k, rows in enumerate(([row(e, 10 + e % 7, e) for e in range(n)], [row(e, 3000 + j, 1000 + 100 * e + j) for e in range(n) for j in range(3)],
+                              [row(0, 4000 + j, 100_000 + j) for j in range(200)])):
+        calls.clear()
+        list(bucket.handleInputRows((0,), iter(rows), Watermark(0)))
+        at = handle.timers.pop()
+        whole += [r for packed in bucket.handleExpiredTimer((0,), Watermark(1_000_000 * (k + 10)), None) for r in zip(*packed)]
+        assert len(calls) < 100
+    assert len(whole) == n + 3 * n + 200
+    names = ["entity_id", "t", "id", "us", *bucket.given, *bucket.made]
+    found = {r[2]: dict(zip(names, r)) for r in whole}
+    assert found[1002]["tx_count_1h"] == 4 and found[1000 + 100 * 7 + 1]["unique_merchants_1h"] == 3 and found[100_199]["tx_count_24h"] == 204
+    assert {k for k in handle.state["seconds"].rows} == {("0|e0",), ("1|e0",), ("2|e0",)}
+    at = handle.timers.pop()
+    assert not list(bucket.handleExpiredTimer((0,), Watermark(at + 2_000_000), None))
+    assert not any(s.rows for s in handle.state.values()) and not handle.timers
+
+
 def test_late_rows_are_dropped_and_counted(spark):
     schema = "id long, event_ts timestamp, risk_label string"
     path = files.scratch(spark, "in")
