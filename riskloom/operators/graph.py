@@ -56,8 +56,23 @@ def accounts(rows: DataFrame) -> DataFrame:
 
 
 def usage(long: DataFrame) -> DataFrame:
-    """Edges account -> identifier with transaction counts."""
-    return long.groupBy("account", "kind", "id").agg(F.count(F.lit(1)).alias("transactions"), F.min("label").alias("label"))
+    """Edges account -> identifier with transaction counts. A label that is the id itself is not moved beside it."""
+    own = F.col("label").eqNullSafe(F.col("id"))
+    marked = long.select("account", "kind", "id", own.alias("_own"), F.when(~own, F.col("label")).alias("_label"))
+    edges = marked.groupBy("account", "kind", "id").agg(
+        F.count(F.lit(1)).alias("transactions"), F.max("_own").alias("_own"), F.min("_label").alias("_label"))
+    return edges.select("account", "kind", "id", "transactions", F.least("_label", F.when(F.col("_own"), F.col("id"))).alias("label"))
+
+
+def without_own_labels(edges: DataFrame) -> DataFrame:
+    """Edges to be stored: labels that repeat the id as a flag."""
+    own = F.col("label").eqNullSafe(F.col("id"))
+    return edges.withColumns({"own_label": own, "label": F.when(~own, F.col("label"))})
+
+
+def labelled(stored: DataFrame) -> DataFrame:
+    """The edges of ``without_own_labels``."""
+    return stored.withColumn("label", F.when(F.col("own_label"), F.col("id")).otherwise(F.col("label"))).drop("own_label")
 
 
 def identifiers(edges: DataFrame) -> DataFrame:
@@ -77,11 +92,16 @@ def binding(edges: DataFrame, max_degree: int = MAX_DEGREE) -> DataFrame:
 
 def candidate_pairs(edges: DataFrame, max_degree: int = MAX_DEGREE) -> DataFrame:
     """(kind, id, a, b) with a < b as text; at most max_degree * (max_degree - 1) / 2 pairs per identifier."""
-    groups = binding(edges, max_degree).groupBy("kind", "id").agg(F.sort_array(F.collect_list("account")).alias("m"))
+    return pairs(binding(edges, max_degree))
+
+
+def pairs(bound: DataFrame) -> DataFrame:
+    """The candidate pairs of the edges that ``binding`` leaves."""
+    groups = bound.groupBy("kind", "id").agg(F.sort_array(F.collect_list("account")).alias("m"))
     size = F.size("m")
-    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(
+    both = F.flatten(F.transform("m", lambda a, i: F.transform(
         F.slice("m", i + 2, size), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return groups.select("kind", "id", F.inline(pairs))
+    return groups.select("kind", "id", F.inline(both))
 
 
 def links(pairs: DataFrame, min_shared: int = MIN_SHARED, min_kinds: int = MIN_KINDS) -> DataFrame:
@@ -362,7 +382,12 @@ def ring_edges(members: DataFrame, link_table: DataFrame) -> DataFrame:
 
 def ring_identifiers(members: DataFrame, edges: DataFrame, identifier_table: DataFrame, max_degree: int = MAX_DEGREE) -> DataFrame:
     """Identifiers that at least two members of a ring use; the member list is bounded by the degree."""
-    used = binding(edges, max_degree).join(members.select("account", "ring_id"), "account")
+    return identifiers_in_use(members, binding(edges, max_degree), identifier_table)
+
+
+def identifiers_in_use(members: DataFrame, bound: DataFrame, identifier_table: DataFrame) -> DataFrame:
+    """``ring_identifiers`` from the edges that ``binding`` leaves."""
+    used = bound.join(members.select("account", "ring_id"), "account")
     touched = used.groupBy("ring_id", "kind", "id").agg(F.sort_array(F.collect_set("account")).alias("members"))
     touched = touched.where(F.size("members") >= 2).withColumn("accounts", F.size("members"))
     return touched.join(identifier_table.select("kind", "id", F.coalesce("label", "id").alias("label")), ["kind", "id"])

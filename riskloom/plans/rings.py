@@ -18,13 +18,16 @@ def build(rows: DataFrame, limit: int = 25, min_size: int = graph.MIN_RING_SIZE,
           louvain: bool = True) -> DataFrame:
     """Ring documents of the riskiest rings."""
     graph.check_parameters(limit, min_size, max_degree)
-    edges = materialise(graph.usage(graph.long_form(rows)))
-    links = materialise(graph.links(graph.candidate_pairs(edges, max_degree)))
+    edges = graph.labelled(materialise(graph.without_own_labels(graph.usage(graph.long_form(rows)))))
+    bound = materialise(graph.binding(edges, max_degree))
+    links = materialise(graph.links(graph.pairs(bound)))
     components = materialise(graph.components(links))
     found = graph.communities(links, components) if louvain else None
     members = materialise(graph.ring_members(components, found))
     top = graph.top_rings(graph.rings(members, graph.accounts(rows), min_size), limit)
-    identifiers = graph.ring_identifiers(members, edges, graph.identifiers(edges), max_degree)
+    touched = materialise(bound.join(members, "account", "left_semi").select("kind", "id").distinct())
+    named = graph.identifiers(edges.join(touched, ["kind", "id"], "left_semi"))  # labels of others are not looked up
+    identifiers = graph.identifiers_in_use(members, bound, named)
     return graph.ring_documents(top, members, graph.ring_edges(members, links), identifiers)
 
 

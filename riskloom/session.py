@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("riskloom")
@@ -58,9 +61,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors.
 
     A table instead of ``checkpoint()``: the plan is computed once and not twice, later readers prune columns, and sizes
-    are measured. A checkpointed plan keeps multiplying its estimated size in iterative joins.
+    are measured. A checkpointed plan keeps multiplying its estimated size in iterative joins. Nothing reads the shuffle files of the
+    write again, so they go when it ends and not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

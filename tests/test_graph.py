@@ -162,3 +162,24 @@ def test_a_settled_level_has_no_gainful_move():
     assert quality(place) > quality({n: n for n in place})
     for u, v, _ in edges:
         assert quality(place | {u: place[v]}) <= quality(place)
+
+
+def test_edges_keep_their_labels_and_stored_tables_leave_no_shuffle_files(spark):
+    """Labels equal to the id, others, both for one edge, and nulls; a stored table's shuffle files go with its write."""
+    import os
+    from riskloom import session
+    rows = [("a", "x", "x"), ("a", "x", "b"), ("a", "y", "y"), ("a", "y", "z"), ("b", "x", None), ("b", "x", "x"), ("b", "y", None), ("c", "z", "z"), ("c", None, None)]
+    long = spark.createDataFrame(rows, "account string, id string, label string").withColumn("kind", F.lit("Device")).repartition(3)
+    edges = graph.usage(long)
+    assert edges.columns == ["account", "kind", "id", "transactions", "label"]
+    want = {}
+    for a, i, label in rows:
+        want.setdefault((a, i), []).append(label)
+    want = {k: (len(v), min((x for x in v if x is not None), default=None)) for k, v in want.items()}
+    files_of = lambda: {f for d, _, fs in os.walk(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for f in fs if f.startswith("shuffle_")}
+    before = files_of()
+    stored = session.materialise(graph.without_own_labels(edges))
+    assert not files_of() - before
+    assert stored.where("own_label AND label IS NOT NULL").count() == 0
+    for found in (edges, graph.labelled(stored)):
+        assert {(r.account, r.id): (r.transactions, r.label) for r in found.collect()} == want
