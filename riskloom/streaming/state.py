@@ -304,6 +304,7 @@ class Entity:
 class InOrder(StatefulProcessor):
     """Rows of a key wait until the watermark has passed them; :meth:`take` then gets them in order.
 
+    Few waiting rows are kept in the head, which a call reads and writes in any case; more than ``WAITING`` go to entries of their own.
     ``keep`` is how many seconds after its last event a key is forgotten.
     """
 
@@ -328,7 +329,7 @@ class InOrder(StatefulProcessor):
 
     def _read(self) -> dict:
         found = self.head.get()
-        return json.loads(found[0]) if found else {"next": 0, "open": [], "timer": None}
+        return json.loads(found[0]) if found else {"next": 0, "open": [], "here": [], "timer": None}
 
     def _set_timer(self, head: dict, at: int) -> None:
         if head["timer"] is not None:
@@ -342,22 +343,26 @@ class InOrder(StatefulProcessor):
         new = [list(r[2:]) for r in rows if r.event_us is not None and r.event_time_seconds is not None]  # others have no place in the order
         if not new:
             return iter(())
-        new.sort(key=lambda r: r[2])
-        head, waiting = self._read(), Entries(self.waiting)
-        for k in range(0, len(new), WAITING):
-            waiting.put(head["next"], new[k:k + WAITING])
-            head["open"].append([head["next"], new[k][2]])
-            head["next"] += 1
-        waiting.write()
-        at = -(-new[0][2] // 1000)
+        head = self._read()
+        at = -(-min(r[2] for r in new) // 1000)
+        head["here"] += new
+        if len(head["here"]) > WAITING:
+            new, head["here"], waiting = sorted(head["here"], key=lambda r: r[2]), [], Entries(self.waiting)
+            for k in range(0, len(new), WAITING):
+                waiting.put(head["next"], new[k:k + WAITING])
+                head["open"].append([head["next"], new[k][2]])
+                head["next"] += 1
+            waiting.write()
         if head["timer"] is None or at < head["timer"]:
             self._set_timer(head, at)
         self.head.update((json.dumps(head),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        head, waiting, due, still = self._read(), Entries(self.waiting), [], []
+        head, waiting, still = self._read(), Entries(self.waiting), []
         passed = timerValues.getCurrentWatermarkInMs()
+        due = [r for r in head["here"] if r[2] <= passed * 1000]
+        head["here"] = [r for r in head["here"] if r[2] > passed * 1000]
         for entry, first in head["open"]:
             if first > passed * 1000:
                 still.append([entry, first])
@@ -375,8 +380,9 @@ class InOrder(StatefulProcessor):
         made = self.take(head, due) if due else []
         if due:
             head["last"] = due[-1][2]
-        if still:
-            self._set_timer(head, -(-min(first for _, first in still) // 1000))
+        firsts = [first for _, first in still] + [r[2] for r in head["here"]]
+        if firsts:
+            self._set_timer(head, -(-min(firsts) // 1000))
         elif head["last"] // 1000 + int(self.keep * 1000) > passed:
             self._set_timer(head, head["last"] // 1000 + int(self.keep * 1000))
         else:

@@ -6,6 +6,7 @@ from fractions import Fraction
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from riskloom.sources import files
@@ -233,6 +234,40 @@ def test_entities_share_a_few_calls_to_the_state():
     assert not any(s.rows for s in handle.state.values()) and not handle.timers
 
 
+def test_few_waiting_rows_stay_in_the_head():
+    """Rows of a key in the head until there are more than an entry holds; both are released in order, each event once."""
+    class Head(Kept):
+        get, clear = (lambda self: self.rows.get("")), (lambda self: self.rows.clear())
+        update = lambda self, value: self.rows.update({"": value})
+
+    class Handle:
+        def __init__(self):
+            self.head, self.waiting, self.timers = Head(), Kept(), []
+
+        getValueState, getMapState = (lambda self, *_: self.head), (lambda self, *_: self.waiting)
+        registerTimer, deleteTimer = (lambda self, at: self.timers.append(at)), (lambda self, at: self.timers.remove(at))
+
+    class Watermark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, windows = Handle(), state.OpenedWindows(600, 1)
+    windows.init(handle)
+    row = Row("entity_id", "event_ts", "event_time_seconds", "transaction_id", "event_us")
+    send = lambda *rows: list(windows.handleInputRows(("a",), iter([row("a", None, float(t), i, t * 1_000_000) for t, i in rows]), Watermark(0)))
+    send((700, 3), (10, 1)), send((10, 1), (20, 2))
+    assert not handle.waiting.rows and handle.timers == [10_000]
+    handle.timers.clear()
+    assert [(r.transaction_id, r.window_count) for r in windows.handleExpiredTimer(("a",), Watermark(30_000), None)] == [(1, 1), (2, 2)]
+    assert handle.timers == [700_000]
+    many = [(701 + k, 10 + k) for k in range(2 * state.WAITING)]
+    send(*many)
+    assert len(handle.waiting.rows) == 3
+    handle.timers.clear()
+    out = [r.transaction_id for r in windows.handleExpiredTimer(("a",), Watermark(2_000_000), None)]
+    assert out == [3, *[i for _, i in many]] and not handle.head.rows and not handle.waiting.rows
+
+
 def test_late_rows_are_dropped_and_counted(spark):
     schema = "id long, event_ts timestamp, risk_label string"
     path = files.scratch(spark, "in")
